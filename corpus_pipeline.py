@@ -2,9 +2,47 @@
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfwise.llm import boosting, fertility, minhash, packing
+from shelfwise.llm.common import stored, table
+
+
+def keep_classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality forest, fitted on the labels, does not reject."""
+    forest = boosting.fit_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.where(boosting.predicted_quality(forest)(F.col("text")) == 1)
+
+
+def keep_by_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents within the base rules and the fertility bands."""
+    return docs.where(fertility.keeps()(F.col("text")))
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group, and one row of each id."""
+    return minhash.without_near_duplicates(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences."""
+    return packing.pack_documents(docs)
+
+
+STAGES = [
+    ("quality_classifier", keep_classified),
+    ("quality_rules", keep_by_rules),
+    ("near_duplicates", keep_one_of_each_group),
+    ("packing", pack),
+]
+
+#: The stages are models, signatures and a packing heuristic, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return docs
