@@ -24,7 +24,7 @@ SCRIPTS = {
 #: By script: least and most characters a token, for the piece vocabulary and for the multilingual byte vocabulary; most share of
 #: byte-fallback tokens; least entropy in bits of the text's tokens, relative to the most that so many tokens can have.
 BANDS = {
-    "latin": (1.5, 9.0, 1.5, 9.0, 0.10, 0.25), "greek": (0.6, 6.0, 0.6, 6.0, 0.30, 0.25), "cyrillic": (1.0, 8.0, 1.0, 8.0, 0.15, 0.25),
+    "latin": (1.5, 9.0, 1.75, 9.0, 0.10, 0.40), "greek": (0.6, 6.0, 0.6, 6.0, 0.30, 0.25), "cyrillic": (1.0, 8.0, 1.0, 8.0, 0.15, 0.25),
     "other": (0.3, 6.0, 0.3, 6.0, 0.75, 0.2),
 }
 _RUNS = {name: re.compile(f"[{span}]") for name, span in SCRIPTS.items()}

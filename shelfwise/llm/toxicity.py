@@ -191,9 +191,9 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     expect = n_toxic / (n_clean + n_toxic)
     g = 2 * (a * F.log(a / (all_ * expect)) + F.when(b > 0, b * F.log(b / (all_ * (1 - expect)))).otherwise(0.0))
     pure = (a / n_toxic) / (a / n_toxic + b / n_clean)
-    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.9)).orderBy(F.desc("g"), "unit").limit(most_arcs).collect()
+    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.97)).orderBy(F.desc("g"), "unit").limit(most_arcs).collect()
     arcs: list[tuple[str, bool, float]] = []
-    for least in (0.98, 0.9):
+    for least in (0.99, 0.97):
         for r in sorted(found, key=lambda r: (len(r["unit"]), r["unit"])):
             text = r["unit"][1:]
             if r["pure"] >= least and not any(text.startswith(x) for x, whole, _ in arcs if not whole) and (text, True) not in {(x, w) for x, w, _ in arcs}:
