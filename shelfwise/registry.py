@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.quality import CHECKS
 from .operators.reports import REPORTS, run_sql
 from .plans.ledger import LEDGER_SQL
 from .plans.views import VIEW_SQL, Mart
@@ -40,6 +41,6 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_sql(spark, mart(spark, sf_dir), text)
 
 
-TEXTS = dict(REPORTS)
+TEXTS = REPORTS | CHECKS
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text) for name, text in TEXTS.items()}
 ORACLES: dict[str, str] = {_key(name): with_roles(text) for name, text in TEXTS.items()}
