@@ -1,0 +1,66 @@
+"""First-expired-first-out allocation of sales to received lots, and what follows from it."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+PARTS = "site_key long, item_key long, transaction_id long, day_no long, batch_id string, quantity long, price_c long, discount_c long, total_c long"
+
+
+def split_discount(quantity: int, parts: list[int], discount: int, price: int) -> list[int]:
+    """Floor shares of the discount; the first part takes the rest; no part gets more than its gross value."""
+    shares = [discount * q // quantity for q in parts]
+    shares[0] += discount - sum(shares)
+    return [min(s, q * price) for s, q in zip(shares, parts)]
+
+
+def _replay(sales: pd.DataFrame, lots: pd.DataFrame) -> Iterator[tuple]:
+    """Sales of one (site, item) in order of day: received lots that haven't expired, earliest expiry first, then the opening lot."""
+    import heapq
+
+    arrivals = sorted(lots[["day_no", "expiry_day_no", "batch_id", "quantity"]].itertuples(index=False, name=None))
+    usable: list[list] = []
+    at = 0
+    for row in sales.sort_values(["day_no", "transaction_id", "batch_id", "quantity", "total_c"]).itertuples(index=False):
+        while at < len(arrivals) and arrivals[at][0] <= row.day_no:
+            day, expiry, batch, units = arrivals[at]
+            heapq.heappush(usable, [expiry, day, batch, units])
+            at += 1
+        need, parts = int(row.quantity), []
+        while need and usable:
+            lot = usable[0]
+            if lot[0] <= row.day_no:
+                heapq.heappop(usable)
+                continue
+            taken = min(need, lot[3])
+            parts.append((lot[2], taken))
+            need -= taken
+            lot[3] -= taken
+            if not lot[3]:
+                heapq.heappop(usable)
+        if need:
+            parts.append((f"OPENING-{row.item_key}", need))
+        for (batch, units), off in zip(parts, split_discount(int(row.quantity), [u for _, u in parts], int(row.discount_c), int(row.price_c))):
+            yield row.site_key, row.item_key, row.transaction_id, row.day_no, batch, units, row.price_c, off, units * row.price_c - off
+
+
+def allocate(sales: DataFrame, receipts: DataFrame, batches: DataFrame) -> DataFrame:
+    """Sale lines cut into parts by lot. Order within a (site, item) matters, so each is replayed in one task; keys run in parallel."""
+    lots = receipts.groupBy("site_key", "item_key", "batch_id", "day_no").agg(F.sum("quantity").alias("quantity")).join(batches.select("batch_id", "expiry_day_no"), "batch_id")
+    names = [c.split()[0] for c in PARTS.split(", ")]
+
+    def pair(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(list(_replay(own, got)), columns=names)
+
+    keys = ["site_key", "item_key"]
+    wanted = sales.select(F.col("site_key").cast("long").alias("site_key"), "item_key", "transaction_id", "day_no", "batch_id", "quantity", "price_c", "discount_c", "total_c")
+    return wanted.groupBy(*keys).cogroup(lots.withColumn("site_key", F.col("site_key").cast("long")).groupBy(*keys)).applyInPandas(pair, PARTS)
+
+
+def opening_lots(parts: DataFrame) -> DataFrame:
+    """The opening stock that the sales imply: units of each (site, item) that no lot covers."""
+    return parts.where(F.col("batch_id").startswith("OPENING-")).groupBy("site_key", "item_key", "batch_id").agg(F.sum("quantity").alias("opening_units"), F.min("day_no").alias("first_need"))

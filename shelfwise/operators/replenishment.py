@@ -1,0 +1,72 @@
+"""Replenishment decisions as of a day: pair state, live lots, stockout risk, reorder, overstock, expiry, action queue."""
+
+from __future__ import annotations
+
+from .reports import money, total, where
+
+#: Days before the last one at which the as-of operators decide; lead time and review period in days; the service level's quantile.
+BACK, LEAD, REVIEW, Z95 = 60, 5, 7, "1.6448536269514722e0"
+
+
+def _as_of(back: int) -> str:
+    return f"(select max(day_no) - {back} as as_of from t_calendar)"
+
+
+def pair_state(back: int) -> str:
+    """State of every pair from rows up to the day only; 26 blocks of seven days end with it."""
+    block = f"(select site_key, maker, floor((as_of - day_no) / 7) as block, {total('sold')} as units from t_ledger cross join {_as_of(back)} d where day_no <= as_of and day_no > as_of - 182 group by site_key, maker, floor((as_of - day_no) / 7))"
+    windows = ", ".join(f"{total('case when day_no > as_of - ' + str(w) + ' then sold else 0 end')} as units_{w}d" for w in (7, 28, 30, 90))
+    return f"""(select p.*, w.n_weeks, w.weekly_mean, w.weekly_sd from (
+      select site_key, site, maker, max(as_of) as as_of, {total('case when day_no = as_of then closing else 0 end')} as stock, {total('case when day_no = as_of then value_c else 0 end')} as stock_value_c, {windows},
+        {total('case when closing = 0 and day_no > as_of - 28 then 1 else 0 end')} as empty_28d, {total('case when closing = 0 and coalesce(before, 1) > 0 then 1 else 0 end')} as stockout_events
+      from (select l.*, lag(closing) over (partition by site_key, maker order by day_no) as before from t_ledger l) x cross join {_as_of(back)} d where day_no <= as_of group by site_key, site, maker) p
+    left join (select site_key, maker, count(*) as n_weeks, {total('units')} / count(*) as weekly_mean, case when count(*) > 1 then sqrt(cast(count(*) * {total('units * units')} - {total('units')} * {total('units')} as double) / (count(*) * (count(*) - 1))) end as weekly_sd
+      from {block} b group by site_key, maker) w on w.site_key = p.site_key and w.maker = p.maker)"""
+
+
+def decision_frame(back: int) -> str:
+    """Expected daily demand: the larger of the last week's and the last four weeks' daily mean; its deviation from weeks if there are eight."""
+    return f"(select s.*, greatest(units_7d / 7e0, units_28d / 28e0) as daily, case when n_weeks >= 8 then weekly_sd / sqrt(7e0) end as daily_sd, stock_value_c / nullif(stock, 0) as unit_c from {pair_state(back)} s)"
+
+
+def stockout_risk(back: int) -> str:
+    return f"""(select f.*, case when daily = 0 then 'NO_DEMAND_DATA' when stock = 0 then 'CRITICAL' when stock < 3 * daily then 'CRITICAL' when stock < 7 * daily then case when empty_28d > 0 then 'CRITICAL' else 'HIGH' end
+      when stock < 14 * daily then case when empty_28d > 0 then 'HIGH' else 'MEDIUM' end else 'LOW' end as risk, stock / nullif(daily, 0) as cover_days,
+      concat_ws('; ', case when stock = 0 then 'no stock' end, case when daily > 0 and stock < 7 * daily then 'under a week of cover' end, case when empty_28d > 0 then 'recent stockouts' end) as reasons from {decision_frame(back)} f)"""
+
+
+def reorder(back: int) -> str:
+    return f"""(select r.*, case when daily = 0 then 'NO_DEMAND_DATA' when stock <= reorder_point then 'ORDER_NOW' else 'NO_REORDER' end as reorder_status, case when daily > 0 and stock <= reorder_point then cast(greatest(ceil(reorder_point + {REVIEW} * daily - stock), 0) as bigint) else 0 end as order_quantity
+      from (select k.*, {LEAD} * daily + {Z95} * coalesce(daily_sd, sqrt(daily)) * sqrt({LEAD}e0) as reorder_point from {stockout_risk(back)} k) r)"""
+
+
+def overstock(back: int) -> str:
+    """More than 90 days of cover, by integers."""
+    return f"(select r.*, case when units_30d = 0 and stock > 0 then 'OVERSTOCK' when stock * 30 > 90 * units_30d then 'OVERSTOCK' else 'NORMAL' end as overstock_status, greatest(stock - 3 * units_30d, 0) as excess_units from {reorder(back)} r)"
+
+
+LOTS = "(select site, maker, batch_id, remaining, days_to_expiry, projected_unsold, value_at_risk_c, case when risk_class = 'EXPIRED' then 'WRITE_OFF' when risk_class = 'CRITICAL' then 'CLEAR_NOW' when risk_class = 'HIGH' then 'DISCOUNT' when risk_class = 'MEDIUM' then 'TRANSFER' else 'MONITOR' end as expiry_action from v_expiry)"
+WORST = f"(select site, maker, expiry_action, value_at_risk_c, lots from (select *, row_number() over (partition by site, maker order by value_at_risk_c desc, batch_id) as place, count(*) over (partition by site, maker) as lots from {LOTS} l where expiry_action <> 'MONITOR') w where place = 1 and value_at_risk_c >= 10000)"
+QUEUE = f"""(select q.*, row_number() over (order by score desc, exposure_c desc, site, maker) as position from (
+  select o.site, o.maker, o.risk, o.reorder_status, o.order_quantity, o.overstock_status, o.excess_units, w.expiry_action,
+    case when risk = 'CRITICAL' and reorder_status = 'ORDER_NOW' then 'ORDER_NOW' when w.expiry_action in ('WRITE_OFF', 'CLEAR_NOW') then w.expiry_action when overstock_status = 'OVERSTOCK' then 'REDUCE_STOCK' when reorder_status = 'ORDER_NOW' then 'ORDER_SOON' when w.expiry_action is not null then w.expiry_action else 'MONITOR' end as primary_action,
+    concat_ws(',', case when risk in ('CRITICAL', 'HIGH') then 'stockout' end, case when overstock_status = 'OVERSTOCK' then 'overstock' end, case when w.expiry_action is not null then 'expiry' end) as issues,
+    cast(coalesce(excess_units * unit_c, 0) + coalesce(w.value_at_risk_c, 0) as bigint) as exposure_c,
+    case risk when 'CRITICAL' then 400 when 'HIGH' then 300 when 'MEDIUM' then 200 else 0 end + case when overstock_status = 'OVERSTOCK' then 50 else 0 end + case when w.expiry_action is null then 0 else 75 end as score
+  from {overstock(0)} o left join {WORST} w on w.site = o.site and w.maker = o.maker) q where primary_action <> 'MONITOR')"""
+
+TEXTS = {
+    "Y1": f"select site, maker, as_of, stock, stock_value_c, units_7d, units_28d, units_30d, units_90d, empty_28d, stockout_events, n_weeks, weekly_mean, weekly_sd from {pair_state(BACK)} s",
+    "Y2": "select site, item_key, batch_id, days_to_expiry, remaining, units_90d / 90e0 as daily_demand_90d, units_ahead from v_expiry where days_to_expiry > 0",
+    "Y3": "select site, maker, " + ", ".join(f"max(case when horizon = {h} then expected end) as f{h}" for h in (7, 14, 30)) + f" from (select site, maker, horizon, units_28d * horizon / 28e0 as expected from {pair_state(BACK)} s cross join (select 7 as horizon union all select 14 union all select 30) h) x group by site, maker",
+    "Y4": f"select site, maker, stock, daily, daily_sd, unit_c from {decision_frame(BACK)} f",
+    "Y5": f"select site, maker, stock, daily, risk, cover_days, reasons from {stockout_risk(BACK)} r",
+    "Y6": f"select site, maker, stock, daily, reorder_point, reorder_status, order_quantity from {reorder(BACK)} r",
+    "Y7": f"select site, maker, stock, units_30d, overstock_status, excess_units, excess_units * unit_c as excess_value_c from {overstock(BACK)} o",
+    "Y8": f"select site, maker, batch_id, remaining, days_to_expiry, projected_unsold, expiry_action from {LOTS} l",
+    "Y9": f"select site, maker, expiry_action, value_at_risk_c, lots from {WORST} w",
+    "Y10": f"select position, site, maker, primary_action, issues, exposure_c, score from {QUEUE} q",
+    "Y11": f"select primary_action, count(*) as pairs, {money('exposure_c')} as exposure, count(*) {where('score >= 400')} as urgent from {QUEUE} q group by primary_action",
+    "Y12": f"select a.site, a.maker, a.risk as risk_then, b.risk as risk_later, a.stock as stock_then, b.stock as stock_later from {stockout_risk(BACK)} a join {stockout_risk(0)} b on b.site = a.site and b.maker = a.maker",
+    "Y13": f"select count(*) as pairs, {total('case when stock < 0 or daily < 0 then 1 else 0 end')} as negatives, {total('case when order_quantity > 0 and stock > reorder_point then 1 else 0 end')} as orders_above_point, count(*) - count(distinct concat(site, '/', maker)) as repeated from {overstock(0)} o",
+}

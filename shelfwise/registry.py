@@ -6,8 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.forecasting import TEXTS as FORECASTING
+from .operators.ingest import TEXTS as INGEST
+from .operators.mining import TEXTS as MINING
 from .operators.quality import CHECKS
+from .operators.relational import TEXTS as RELATIONAL
+from .operators.replenishment import TEXTS as REPLENISHMENT
 from .operators.reports import REPORTS, run_sql
+from .plans import fitted
 from .plans.ledger import LEDGER_SQL
 from .plans.views import VIEW_SQL, Mart
 from .sources.roles import ROLE_SQL, roles
@@ -30,7 +36,7 @@ def _prelude() -> str:
 
 def with_roles(text: str) -> str:
     """SQL on the source tables alone: the roles and views as common table expressions before the text."""
-    return f"{_prelude()} {text}"
+    return f"{_prelude()}, {text[5:]}" if text.startswith("with ") else f"{_prelude()} {text}"
 
 
 def _key(name: str) -> str:
@@ -41,6 +47,10 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: run_sql(spark, mart(spark, sf_dir), text)
 
 
-TEXTS = REPORTS | CHECKS
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text) for name, text in TEXTS.items()}
-ORACLES: dict[str, str] = {_key(name): with_roles(text) for name, text in TEXTS.items()}
+#: a text for both engines, or a pair (Spark's, the other's)
+TEXTS = REPORTS | CHECKS | RELATIONAL | MINING | FORECASTING | REPLENISHMENT | INGEST | {"ST2_run_onset": fitted.ST2}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text if isinstance(text, str) else text[0]) for name, text in TEXTS.items()}
+ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str) else text[1]) for name, text in TEXTS.items()}
+
+QUERIES |= fitted.QUERIES
+ORACLES |= fitted.ORACLES
