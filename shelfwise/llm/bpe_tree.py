@@ -9,6 +9,7 @@ sides agree. In BPE a sequence is right if any two neighbours are, and every pai
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -128,6 +129,19 @@ def join_encodings(path: str, text: str, start: int, cut: int, end: int, left: t
         reach *= 2
 
 
+def packed_spans(ids: np.ndarray, spans: np.ndarray) -> bytes:
+    """Ids, distances of starts and lengths, compressed: what a part sends to its text's join."""
+    flat = np.concatenate([ids, np.diff(spans[:, 0], prepend=0), spans[:, 1] - spans[:, 0]])
+    small = not len(flat) or flat.max() < 1 << 16
+    return bytes([small]) + zlib.compress(flat.astype("<u2" if small else "<u4").tobytes(), 1)
+
+
+def unpacked_spans(packed: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
+    ids, steps, lengths = np.frombuffer(zlib.decompress(packed[1:]), "<u2" if packed[0] else "<u4").astype(np.int64).reshape(3, -1)
+    begins = np.cumsum(steps) + start
+    return ids, np.column_stack([begins, begins + lengths])
+
+
 def encode_tree(path: str, text: str, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     """Ids of the text from the encodings of its parts (ids and spans), joined level by level."""
     starts = [0, *ends[:-1]]
@@ -185,7 +199,7 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
         for batch in batches:
             for *same, start, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "part", "start", "text")), strict=True):
                 ids, spans = _spans(path, text, start)
-                packed = np.column_stack([ids, spans - start]).astype("<u4").tobytes()
+                packed = packed_spans(ids, spans - start)
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*same, start, text, packed), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "key", "part", "start", "text", "packed"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +209,7 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
             text = "".join(x[1] for x in own)
             made = []
             for start, _, packed in own:
-                flat = np.frombuffer(packed, "<u4").reshape(-1, 3).astype(np.int64)
-                made.append((flat[:, 0], flat[:, 1:] + start))
+                made.append(unpacked_spans(packed, start))
             ids = encode_tree(path, text, [x[0] for x in own[1:]] + [len(text)], made).tolist()
             row = (doc, len(ids), *_digest(" ".join(map(str, ids)), cache.tokens(ids)))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA)], schema=_SCHEMA)
