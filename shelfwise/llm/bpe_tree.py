@@ -21,7 +21,7 @@ from .common import CACHE_ENTRIES, SLICE_ROWS, stored, table
 from .vocab import hf_tokenizer, space_chunks, tokenizer_path
 
 #: Characters of a text that is encoded at once; the window that a join begins with, to either side.
-LEAF, WINDOW = 1 << 14, 64
+LEAF, WINDOW = 1 << 15, 64
 #: Characters that a token must lie away from a cut or from a window's edge to count: more than any look-ahead of the splitter.
 MARGIN = 16
 
