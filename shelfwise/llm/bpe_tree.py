@@ -133,7 +133,7 @@ def packed_spans(ids: np.ndarray, spans: np.ndarray) -> bytes:
     """Ids, distances of starts and lengths, compressed: what a part sends to its text's join."""
     flat = np.concatenate([ids, np.diff(spans[:, 0], prepend=0), spans[:, 1] - spans[:, 0]])
     small = not len(flat) or flat.max() < 1 << 16
-    return bytes([small]) + zlib.compress(flat.astype("<u2" if small else "<u4").tobytes(), 1)
+    return bytes([int(small)]) + zlib.compress(flat.astype("<u2" if small else "<u4").tobytes(), 1)
 
 
 def unpacked_spans(packed: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
