@@ -269,7 +269,7 @@ def test_quality_forest(spark, none):
 
 def test_toxicity_grammar(spark, none):
     insults = ["grobnik", "snarlow", "vexling"]
-    docs, labels = labelled(spark, lambda i: f"Quiet text {i} about rivers. You walk on.", lambda i: f"Quiet text {i} about rivers. You are a {insults[i % 3]} today.", "toxic")
+    docs, labels = labelled(spark, lambda i: f"Quiet text {i} about rivers. You are out today.", lambda i: f"Quiet text {i} about rivers. You are a {insults[i % 3]} today.", "toxic")
     grammar = toxicity.fit_toxicity(docs, labels)
     got = {r.doc_id: r for r in toxicity.score_toxicity(docs, grammar).collect()}
     held = [r for r in got.values() if r.held_out and r.doc_id is not None and r.doc_id < 480]
