@@ -38,7 +38,7 @@ def clean_sales(raw: DataFrame, mapping: dict[str, str]) -> tuple[DataFrame, Dat
     text = {c: F.trim(F.col(mapping[c])) if c in mapping else F.lit(None).cast("string") for c in SYNONYMS}
     number = lambda c: F.regexp_replace(c, ",", "").try_cast("decimal(14,2)")
     typed = raw.select(
-        F.try_to_date(text["transaction_date"], F.lit("yyyy-MM-dd")).alias("d"), F.nullif(text["item_id"], F.lit("")).alias("item_id"), number(text["quantity"]).cast("long").alias("quantity"),
+        F.try_to_date(text["transaction_date"], "yyyy-MM-dd").alias("d"), F.nullif(text["item_id"], F.lit("")).alias("item_id"), number(text["quantity"]).cast("long").alias("quantity"),
         (number(text["unit_price"]) * 100).cast("long").alias("price_c"), F.coalesce(text["transaction_id"], F.lit("-")).alias("transaction_id"), F.coalesce(text["site_id"], F.lit("MAIN")).alias("site_id"),
         F.coalesce((number(text["discount"]) * 100).cast("long"), F.lit(0)).alias("discount_c"),
     )
