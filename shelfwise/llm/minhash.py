@@ -278,11 +278,11 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def without_near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """documents, all columns, without those that near_duplicates doesn't keep; of rows with one id a single one stays.
 
-    Rows without an id stay.
+    The verdicts are one row an id and are joined by id: documents are shuffled once for it, at every size alike. Rows without an id
+    stay.
     """
     found = stored(near_duplicates(documents.select("doc_id", "text"), how), "near-duplicates")
-    dropped = found.where("not kept").select("doc_id").distinct()
-    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = documents.join(dropped, "doc_id", "left_anti")
-    single = left.join(again, "doc_id", "left_anti")
-    return single.unionByName(left.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(documents.columns)
+    verdict = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
+    joined = documents.join(verdict.select("doc_id", "_rows").hint("merge"), "doc_id")
+    single = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id"]))
+    return single.select(documents.columns).unionByName(documents.where("doc_id is null"))
