@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, SLICE_ROWS, stored, table
+from .common import CACHE_ENTRIES, SLICE_ROWS, stored, table, worker_cache
 from .vocab import hf_tokenizer, space_chunks, tokenizer_path
 
 #: Characters of a text that is encoded at once; the window that a join begins with, to either side.
@@ -50,13 +50,8 @@ class Chunks(dict):
         return " ".join([self.names[k] for k in ids])
 
 
-_CHUNKS: dict[str, Chunks] = {}
-
-
 def _chunks(path: str) -> Chunks:
-    if path not in _CHUNKS:
-        _CHUNKS[path] = Chunks(path)
-    return _CHUNKS[path]
+    return worker_cache(("chunks", path), lambda: Chunks(path))
 
 
 def _spans(path: str, text: str, start: int) -> tuple[np.ndarray, np.ndarray]:

@@ -49,6 +49,15 @@ class WordHashes(dict):
 
 
 _HASHES = WordHashes()
+_ACTIVE: dict = {}
+
+
+def worker_cache(key, make):
+    """The worker's cache for `key`; that of another operator, which ran before in the same worker, goes."""
+    if key not in _ACTIVE:
+        _ACTIVE.clear()
+        _ACTIVE[key] = make()
+    return _ACTIVE[key]
 
 #: Odd multipliers of the splitmix64 generator.
 MIX_A, MIX_B, GOLDEN = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)

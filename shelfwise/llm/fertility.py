@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, SLICE_ROWS, table
+from .common import CACHE_ENTRIES, SLICE_ROWS, table, worker_cache
 from .textstats import base_counts
 from .vocab import piece_model, rank_encoding, tokenizer_path
 
@@ -78,13 +78,8 @@ def within(bands: dict, script: str, measured: tuple[float, float, float, float]
     return low <= a <= high and low2 <= b <= high2 and fallback <= most_fallback and entropy >= least_entropy
 
 
-_CACHES: dict = {}
-
-
 def _cache(piece_path: str, ranks_path: str) -> WordPieces:
-    if (piece_path, ranks_path) not in _CACHES:
-        _CACHES[piece_path, ranks_path] = WordPieces(piece_path, ranks_path)
-    return _CACHES[piece_path, ranks_path]
+    return worker_cache(("fertility", piece_path, ranks_path), lambda: WordPieces(piece_path, ranks_path))
 
 
 def quality_rules(documents: DataFrame, bands: dict | None = None, piece_path: str | None = None, ranks_path: str | None = None) -> DataFrame:

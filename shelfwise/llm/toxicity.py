@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, SLICE_ROWS, held_out, label_sample, table
+from .common import CACHE_ENTRIES, SLICE_ROWS, held_out, label_sample, table, worker_cache
 
 #: Closed-class words of English, Spanish, French and German.
 THREATS = "kill hurt destroy attack beat burn shoot stab matar matare golpear destruir quemar tuer frapper brûler détruire töten schlagen verbrennen zerstören".split()
@@ -120,14 +120,8 @@ class Grammar:
         return _symbols(self.arcs)
 
 
-_CACHES: dict = {}
-
-
 def _symbols(arcs: tuple) -> Symbols:
-    if arcs not in _CACHES:
-        _CACHES.clear()
-        _CACHES[arcs] = Symbols({a: k for k, (a, whole, _) in enumerate(arcs) if whole}, {a: k for k, (a, whole, _) in enumerate(arcs) if not whole})
-    return _CACHES[arcs]
+    return worker_cache(("toxicity", arcs), lambda: Symbols({a: k for k, (a, whole, _) in enumerate(arcs) if whole}, {a: k for k, (a, whole, _) in enumerate(arcs) if not whole}))
 
 
 def features(text: str | None, symbols: Symbols, weights: list[float]) -> list[float]:

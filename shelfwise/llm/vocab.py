@@ -11,7 +11,7 @@ import re
 
 import numpy as np
 
-from .common import CACHE_ENTRIES
+from .common import CACHE_ENTRIES, worker_cache
 
 _OPEN: dict = {}
 
@@ -90,7 +90,4 @@ class ByteBpe(dict):
 
 
 def byte_bpe(json_path: str, ranks_path: str) -> ByteBpe:
-    key = ("byte", json_path, ranks_path)
-    if key not in _OPEN:
-        _OPEN[key] = ByteBpe(json_path, ranks_path)
-    return _OPEN[key]
+    return worker_cache(("byte_bpe", json_path, ranks_path), lambda: ByteBpe(json_path, ranks_path))
