@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers.pre_tokenizers import ByteLevel
 
 from .common import CACHE_ENTRIES, SLICE_ROWS, stored, table, worker_cache
 from .vocab import hf_tokenizer, space_chunks, tokenizer_path
@@ -26,18 +27,64 @@ LEAF, WINDOW = 1 << 15, 64
 MARGIN = 16
 
 
+class Spans(dict):
+    """Cache: chunk -> (ids, spans within the chunk)."""
+
+    def __init__(self, tokenizer):
+        self.tokenizer = tokenizer
+
+    def __missing__(self, chunk: str) -> tuple[list[int], list[tuple[int, int]]]:
+        if len(self) >= CACHE_ENTRIES // 4:
+            self.clear()
+        plain = chunk.lstrip(" ")
+        stem = plain.rstrip(".,;:!?")
+        if not plain.isascii() or not stem.isalpha():
+            found = self.tokenizer.encode(chunk, add_special_tokens=False)
+            value = found.ids, found.offsets
+        elif stem.lower() == chunk:
+            tokens = self.tokenizer.model.tokenize(chunk)
+            value = [t.id for t in tokens], [t.offsets for t in tokens]
+        else:
+            at = len(chunk) - len(plain)
+            ids, spans = self[stem.lower()]
+            value = ids, [(a + at, b + at) for a, b in spans]
+            if len(stem) < len(plain):
+                more, spans = self[plain[len(stem) :]]
+                value = ids + more, value[1] + [(a + at + len(stem), b + at + len(stem)) for a, b in spans]
+        if len(chunk) <= 64:
+            self[chunk] = value
+        return value
+
+
 class Chunks(dict):
-    """Cache: chunk -> (ids as text, tokens as text, count)."""
+    """Cache: chunk -> (ids as text, tokens as text, count).
+
+    A word of Latin-1 letters with closing punctuation is put together from the lower-case word and the punctuation: the tokenizer
+    lowers letters, and splits between letters and other characters.
+    """
 
     def __init__(self, path: str):
         self.tokenizer = hf_tokenizer(path)
+        self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.names: dict[int, str] = {}
+        self.spans = Spans(self.tokenizer)
 
     def __missing__(self, chunk: str) -> tuple[str, str, int]:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
-        value = " ".join(map(str, ids)), self.tokens(ids), len(ids)
+        plain = chunk.lstrip(" ")
+        stem = plain.rstrip(".,;:!?")
+        if stem.isalpha() and stem.lower() != chunk and max(plain) < "Ā":
+            value = self[stem.lower()]
+            if len(stem) < len(plain):
+                value = tuple(f"{a} {b}" if isinstance(a, str) else a + b for a, b in zip(value, self[plain[len(stem) :]]))
+        elif stem == chunk and stem.isalpha() and max(stem) < "Ā":
+            # a word in its normal form goes to the vocabulary's merges at once
+            found = self.model.tokenize(stem if stem.isascii() else self.bytes.pre_tokenize_str(stem)[0][0])
+            value = " ".join([str(t.id) for t in found]), " ".join([t.value for t in found]), len(found)
+        else:
+            ids = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            value = " ".join(map(str, ids)), self.tokens(ids), len(ids)
         if len(chunk) <= 64:
             self[chunk] = value
         return value
@@ -56,13 +103,12 @@ def _chunks(path: str) -> Chunks:
 
 def _spans(path: str, text: str, start: int) -> tuple[np.ndarray, np.ndarray]:
     """Ids and (start, end) places in the whole text, of a part that begins at `start`."""
-    ids, spans = [], []
-    tokenizer = hf_tokenizer(path)
+    ids, spans, cache = [], [], _chunks(path).spans
     at = start
     for chunk in space_chunks(text):
-        found = tokenizer.encode(chunk, add_special_tokens=False)
-        ids += found.ids
-        spans += [(a + at, b + at) for a, b in found.offsets]
+        found, places = cache[chunk]
+        ids += found
+        spans += [(a + at, b + at) for a, b in places]
         at += len(chunk)
     return np.array(ids, np.int64), np.array(spans, np.int64).reshape(-1, 2)
 
@@ -179,7 +225,8 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
                 batch = whole.slice(at, SLICE_ROWS)
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    found = [x for x in map(cache.__getitem__, space_chunks(text)) if x[2]]
+                    # white space is in no token, so that spaces and line ends part the chunks
+                    found = [x for x in map(cache.__getitem__, filter(None, text.replace("\n", " ").split(" "))) if x[2]]
                     out.append((doc_id, sum(x[2] for x in found), *_digest(" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
