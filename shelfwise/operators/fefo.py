@@ -51,14 +51,16 @@ def _replay(sales: pd.DataFrame, lots: pd.DataFrame) -> Iterator[tuple]:
 def allocate(sales: DataFrame, receipts: DataFrame, batches: DataFrame) -> DataFrame:
     """Sale lines cut into parts by lot. Order within a (site, item) matters, so each is replayed in one task; keys run in parallel."""
     lots = receipts.groupBy("site_key", "item_key", "batch_id", "day_no").agg(F.sum("quantity").alias("quantity")).join(batches.select("batch_id", "expiry_day_no"), "batch_id")
+    # columns of their own: sales and receipts may come from the same lines
+    lots = lots.select(F.col("site_key").cast("long").alias("site_key"), *(F.col(c).alias(c) for c in lots.columns if c != "site_key"))
     names = [c.split()[0] for c in PARTS.split(", ")]
 
     def pair(own: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(list(_replay(own, got)), columns=names)
 
     keys = ["site_key", "item_key"]
-    wanted = sales.select(F.col("site_key").cast("long").alias("site_key"), "item_key", "transaction_id", "day_no", "batch_id", "quantity", "price_c", "discount_c", "total_c")
-    return wanted.groupBy(*keys).cogroup(lots.withColumn("site_key", F.col("site_key").cast("long")).groupBy(*keys)).applyInPandas(pair, PARTS)
+    wanted = sales.select(F.col("site_key").cast("long").alias("site_key"), *(F.col(c).alias(c) for c in ("item_key", "transaction_id", "day_no", "batch_id", "quantity", "price_c", "discount_c", "total_c")))
+    return wanted.groupBy(*keys).cogroup(lots.groupBy(*keys)).applyInPandas(pair, PARTS)
 
 
 def opening_lots(parts: DataFrame) -> DataFrame:
