@@ -81,8 +81,8 @@ TEXTS = {
         cast(floor(discount_c * (case when part = 1 then quantity - cast(floor(quantity / 2) as bigint) else cast(floor(quantity / 2) as bigint) end) / quantity) as bigint) as floor_share
         from (select transaction_id, item_key, {total('quantity')} as quantity, {total('discount_c')} as discount_c from t_sales group by transaction_id, item_key) s cross join (select 1 as part union all select 2) p) x""",
     "F5": f"""select i.item_key, greatest(coalesce(r.cost_c, i.price_c * m.ratio), 1e0) as cost_c from (select item_key, {total('total_c')} / {total('quantity')} as price_c from t_sales group by item_key) i
-      left join (select item_key, {total('total_c')} / {total('quantity')} as cost_c from t_receipts where supplier_key % 3 = 0 group by item_key) r on r.item_key = i.item_key
-      cross join (select median(c.cost_c / s.price_c) as ratio from (select item_key, {total('total_c')} / {total('quantity')} as cost_c from t_receipts where supplier_key % 3 = 0 group by item_key) c join (select item_key, {total('total_c')} / {total('quantity')} as price_c from t_sales group by item_key) s on s.item_key = c.item_key) m""",
+      left join (select item_key, {total('total_c')} / {total('quantity')} as cost_c from t_receipts group by item_key) r on r.item_key = i.item_key
+      cross join (select median(c.cost_c / s.price_c) as ratio from (select item_key, {total('total_c')} / {total('quantity')} as cost_c from t_receipts group by item_key) c join (select item_key, {total('total_c')} / {total('quantity')} as price_c from t_sales group by item_key) s on s.item_key = c.item_key) m""",
     "F8": f"""select case when n > 1 then concat(lot, '/', cast(supplier_key as varchar(20))) else lot end as batch_id, day_no, expiry_day_no, quantity from (select *, count(*) over (partition by lot) as n from (
         select cast(item_key as varchar(20)) as lot, supplier_key, greatest(min(r.day_no), min(f.first_day)) as day_no, min(r.day_no) + 200 as expiry_day_no, {total('quantity')} as quantity from t_receipts r cross join (select min(day_no) as first_day from t_sales) f
         where r.day_no + 200 > f.first_day group by item_key, supplier_key) g) x""",

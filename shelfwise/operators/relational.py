@@ -121,8 +121,8 @@ WINDOWS = {
     "W8": "select site, maker, count(*) over () as total_rows from v_stock where stock_status = 'OVERSTOCK'",
     "W9": f"select site, maker, day_no, case when row_number() over ({PAIR}) >= 7 then {total('sold', f'over ({PAIR} rows between 6 preceding and current row)')} end as sold_7d from t_ledger",
     "W10": (
-        f"select site, maker, day_no, case when n = 28 then median28 end as median28, case when n = 28 then percentile_of end as mad28 from (select site, maker, day_no, size(seen) as n, element_at(array_sort(seen), 14) / 2 + element_at(array_sort(seen), 15) / 2 as median28, aggregate(slice(array_sort(transform(seen, x -> abs(x - (array_sort(seen)[13] / 2 + array_sort(seen)[14] / 2)))), 14, 2), cast(0 as double), (a, x) -> a + x / 2) as percentile_of from (select site, maker, day_no, collect_list(sold) over ({PAIR} rows between 27 preceding and current row) as seen from t_ledger where site = 'ASIA' and family = 'Brand#2') x where size(seen) = 28) y",
-        f"select site, maker, day_no, median(seen_x) as median28, any_value(mad28) as mad28 from (select site, maker, day_no, unnest(seen) as seen_x, list_median(list_transform(seen, lambda x: abs(x - list_median(seen)))) as mad28 from (select site, maker, day_no, list(sold) over ({PAIR} rows between 27 preceding and current row) as seen from t_ledger where site = 'ASIA' and family = 'Brand#2') x where len(seen) = 28) y group by site, maker, day_no",
+        f"select site, maker, day_no, element_at(s, 14) / 2 + element_at(s, 15) / 2 as median28, element_at(away, 14) / 2 + element_at(away, 15) / 2 as mad28 from (select *, array_sort(transform(s, x -> abs(x - (element_at(s, 14) / 2 + element_at(s, 15) / 2)))) as away from (select site, maker, day_no, array_sort(collect_list(sold) over ({PAIR} rows between 27 preceding and current row)) as s from t_ledger) x where size(s) = 28) y",
+        f"select site, maker, day_no, median(seen_x) as median28, any_value(mad28) as mad28 from (select site, maker, day_no, unnest(seen) as seen_x, list_median(list_transform(seen, lambda x: abs(x - list_median(seen)))) as mad28 from (select site, maker, day_no, list(sold) over ({PAIR} rows between 27 preceding and current row) as seen from t_ledger) x where len(seen) = 28) y group by site, maker, day_no",
     ),
     "W11": f"select site, maker, day_no, lag(sold, 7) over ({PAIR}) as lag_7, {total('sold', f'over ({PAIR} rows between 1 following and 7 following)')} as next_7 from t_ledger",
     "W12": f"select site, maker, day_no, row_number() over (partition by site_key, maker, island order by day_no) as run_length from (select *, {total('case when sold > 0 then 1 else 0 end', f'over ({PAIR})')} as island from t_ledger) x where sold = 0",
