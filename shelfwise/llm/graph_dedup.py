@@ -174,7 +174,12 @@ def _dealt(reps: DataFrame, centers: np.ndarray, overlap: int, how: Graph) -> Da
 
 
 def _search(members: DataFrame, how: Graph) -> DataFrame:
-    """(vec_id, n_links, other): links counted for each query and part, and links that connect what the part's links connect."""
+    """(vec_id, n_links, other, back): links counted, links that connect what a part's links connect, and links to be counted.
+
+    A link between two vectors whose home and part a task has is seen by no other task: it's counted there for both ends, whichever
+    end finds it (other and back are null). Any other link may be found by the task of either end: it's a row of both ends, the
+    smaller first, with what each adds to the other's links, to be counted once (back isn't null).
+    """
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", ignore_index=True)
@@ -193,7 +198,9 @@ def _search(members: DataFrame, how: Graph) -> DataFrame:
         own = group[group["member"]].sort_values("vec_id", ignore_index=True)
         asked = group[group["home"]].sort_values("vec_id", ignore_index=True)
         ids, weight = own["vec_id"].to_numpy(), own["n"].to_numpy()
-        out: list[tuple] = []
+        edges: list[tuple] = []
+        counted = pd.DataFrame({"vec_id": [], "n_links": []})
+        shared: list[np.ndarray] = []
         if len(own) and len(asked):
             x = _unit(own["vector"])
             lists = own["near"].tolist()
@@ -209,27 +216,47 @@ def _search(members: DataFrame, how: Graph) -> DataFrame:
                     group_of[v] = v = group_of[group_of[v]]
                 return v
 
+            asked_ids, asked_weight = asked["vec_id"].to_numpy(), asked["n"].to_numpy()
+            at_home, within = np.isin(ids, asked_ids), np.zeros((len(ids), len(ids)), bool)
             for a in range(0, len(asked), 128):
-                some = asked["vec_id"].to_numpy()[a : a + 128]
+                some = asked_ids[a : a + 128]
                 found = range_search(x, _unit(asked["vector"][a : a + 128]), neighbours, how) >= how.threshold
                 found &= ids[None, :] != some[:, None]
+                place = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
+                here = ids[place] == some
+                inner = found & here[:, None] & at_home[None, :]
+                within[place[here]] = inner[here]
+                q_at, o_at = np.nonzero(found & ~inner)
+                q_id, o_id, q_n, o_n = some[q_at], ids[o_at], asked_weight[a + q_at], weight[o_at]
+                first = q_id < o_id
+                shared.append(np.column_stack([np.where(first, q_id, o_id), np.where(first, o_n, q_n), np.where(first, o_id, q_id), np.where(first, q_n, o_n)]))
                 for q, links in zip(some.tolist(), found):
-                    out.append((q, int(weight[links].sum()), None))
                     for other in ids[links].tolist():
                         r, s = root(q), root(other)
                         if r != s:
                             group_of[max(r, s)] = min(r, s)
-                            out.append((q, 0, other))
-        return pd.DataFrame({"vec_id": pd.Series([o[0] for o in out], dtype="int64"), "n_links": pd.Series([o[1] for o in out], dtype="int64"), "other": pd.Series([o[2] for o in out], dtype="Int64")})
+                            edges.append((q, 0, other))
+            counted = pd.DataFrame({"vec_id": ids, "n_links": (within | within.T) @ weight})
+            counted = counted[counted["n_links"] > 0]
+        parts = [counted, pd.DataFrame(edges, columns=["vec_id", "n_links", "other"]), pd.DataFrame(np.concatenate([np.empty((0, 4), np.int64), *shared]), columns=["vec_id", "n_links", "other", "back"])]
+        return pd.concat([x.reindex(columns=["vec_id", "n_links", "other", "back"]).astype("Int64") for x in parts], ignore_index=True)
 
     joined = members.join(union, "vec_id")
     targets = joined.select("shard", "part", "vec_id", "n", "vector", "near", F.lit(True).alias("member"), F.lit(False).alias("home"))
     queries = members.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "n", "vector", F.array().cast("array<long>").alias("near"), F.lit(False).alias("member"), F.lit(True).alias("home"))
-    return targets.unionByName(queries).groupBy("shard", "part").applyInPandas(search, "vec_id long, n_links long, other long")
+    return targets.unionByName(queries).groupBy("shard", "part").applyInPandas(search, "vec_id long, n_links long, other long, back long")
+
+
+def _links(found: DataFrame) -> DataFrame:
+    """(vec_id, links) of what _search finds: each link counts once at both of its ends, whichever found it."""
+    once = found.where("back is not null").distinct()
+    rows = found.where("back is null").select("vec_id", "n_links").unionByName(once.select("vec_id", "n_links")).unionByName(once.select(F.col("other").alias("vec_id"), F.col("back").alias("n_links")))
+    return rows.groupBy("vec_id").agg(F.sum("n_links").alias("links"))
 
 
 def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
-    """Share of the links of a bounded sample of vectors (the first by a hash) that the search has found, against all vectors."""
+    """Share of a vector's links that the search has found, against all vectors: the mean over those with links in a bounded sample
+    (the first by a hash), so that members of large groups count no more than others."""
     sample = reps.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(how.audit_queries).collect()
     by_size: dict[int, list] = {}
     for r in sample:
@@ -251,9 +278,9 @@ def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["vec_id", "truth"])
 
     truth = reps.mapInArrow(count, "vec_id long, truth long").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
-    got = found.groupBy("vec_id").agg(F.sum("n_links").alias("got"))
-    row = truth.join(got, "vec_id", "left").agg(F.sum(F.least(F.coalesce("got", F.lit(0)), "truth")).alias("got"), F.sum("truth").alias("truth")).first()
-    return row["got"] / row["truth"] if row["truth"] else 1.0
+    share = F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth")
+    mean = truth.where("truth > 0").join(_links(found), "vec_id", "left").agg(F.avg(share).alias("recall")).first()["recall"]
+    return 1.0 if mean is None else mean
 
 
 def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
@@ -262,8 +289,9 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
     Equal vectors are one class, whose smallest id stands for it and whose size weighs its links. Representatives are dealt to the
     shards of their nearest centroids (found on a bounded sample, broadcast within max_shards), each shard's graph is built and
     pruned in a task, a vector's lists are united over its shards, and every vector is searched for in its home shard by
-    range-expanding greedy search, in double precision. A shard with very many members is dealt into parts that each have their own
-    graph, and its queries go to all parts. Tasks count links and pass on only those that connect something new. The recall is
+    range-expanding greedy search, in double precision; a link that either end's search finds counts at both. A shard with very many members is dealt into parts that each have their own
+    graph, and its queries go to all parts. Tasks count the links that only they see and pass on those that
+    another task may find as well, and the few that connect something new. The recall of vectors with links is
     audited on a bounded sample against all vectors; while it is below least_recall, vectors become members of twice as many shards.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different
@@ -275,7 +303,7 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
     named = packed.where("vec_id is not null and vector is not null")
     classes = stored(named.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "classes")
     total = classes.count()
-    empty = spark.createDataFrame([], "vec_id long, n_links long, other long")
+    empty = spark.createDataFrame([], "vec_id long, n_links long, other long, back long")
     found, overlap = empty, how.overlap
     if total:
         sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample_rows).select("vector").collect()
@@ -287,8 +315,8 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
             if overlap >= len(centers) or audit_recall(classes, found, how) >= how.least_recall:
                 break
             overlap *= 2
-    linked = found.groupBy("vec_id").agg(F.sum("n_links").alias("links"))
-    groups = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    linked = _links(found)
+    groups = components(found.where("other is not null and back is null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
     of_class = classes.join(linked, "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     joined = packed.join(of_class, "vector", "left")
     unnamed = F.col("vec_id").isNull()
