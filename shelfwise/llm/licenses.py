@@ -55,6 +55,9 @@ RULES = {
 GAP = 2
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPLIT, _OTHER = "[.!?;]+[ \\t\\r\\n]+|[\\r\\n]+", "[^a-z0-9]+"
+#: For wrapped texts: ends of sentences, blank lines (but for comment marks) and numbers of list items; other line breaks join.
+_MARKS, _BREAK = "[ \\t#*/%!|-]*", "(?:\\r\\n|\\n|\\r(?!\\n))"
+_SPLIT_WRAPPED = f"[.!?;]+[ \\t\\r\\n]+|{_BREAK}{_MARKS}{_BREAK}|{_BREAK}{_MARKS}[0-9]+[.)][ \\t]"
 
 
 def normalised(sentence: str) -> list[str]:
@@ -85,24 +88,33 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     """doc_id, n_sentences, n_known, rules, licenses (comma-joined in the order of RULES; empty if none) for every document.
 
     One pass without a shuffle or a join: the known sentences are a short literal array, and rules are tried only on documents with
-    a known sentence. Whole texts count; of a licence with several matching rules the first is reported.
+    a known sentence. A text is read twice: with each line break as the end of a sentence, for notices on a line of their own, and
+    with single line breaks (and comment marks after them) as spaces, for wrapped texts. A rule matches if it does in one of them;
+    n_sentences counts the first, n_known is the larger number of the two. Whole texts count; of a licence with several matching rules the first is reported.
 
     Null or empty text: no sentences, empty strings. Null ids and repeated rows keep their row; an empty table gives no rows; other
     columns are ignored.
     """
     sentences, _ = known()
-    raw = F.split(F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER), _SPLIT)
-    clean = F.filter(F.transform(raw, lambda s: F.trim(F.regexp_replace(s, _OTHER, " "))), lambda s: s != "")
+    lower = F.translate(F.coalesce(F.col("text"), F.lit("")), _UPPER, _LOWER)
     literal = F.array(*map(F.lit, sentences))
-    places = documents.select(F.col("doc_id").alias("doc_id"), F.transform(clean, lambda s: F.array_position(literal, s)).alias("places"))
-    marked = places.withColumn("n_known", F.size(F.filter("places", lambda k: k > 0)))
-    mark = F.when(F.col("n_known") > 0, F.array_join(F.transform("places", lambda k: F.when(k > 0, F.concat(F.lit("<"), k.cast("string"), F.lit(">"))).otherwise(".")), "")).otherwise("")
-    marked = marked.select("doc_id", F.size("places").alias("n_sentences"), "n_known", mark.alias("marks"))
+
+    def located(pattern: str):
+        clean = F.filter(F.transform(F.split(lower, pattern), lambda s: F.trim(F.regexp_replace(s, _OTHER, " "))), lambda s: s != "")
+        return F.transform(clean, lambda s: F.array_position(literal, s))
+
+    def marks(places: str):
+        text = F.array_join(F.transform(places, lambda k: F.when(k > 0, F.concat(F.lit("<"), k.cast("string"), F.lit(">"))).otherwise(".")), "")
+        return F.when(F.col("n_known") > 0, text).otherwise("")
+
+    placed = documents.select(F.col("doc_id").alias("doc_id"), located(_SPLIT).alias("places"), located(_SPLIT_WRAPPED).alias("wrapped"))
+    marked = placed.withColumn("n_known", F.greatest(*(F.size(F.filter(c, lambda k: k > 0)) for c in ("places", "wrapped"))))
+    marked = marked.select("doc_id", F.size("places").alias("n_sentences"), "n_known", marks("places").alias("marks"), marks("wrapped").alias("wrapped_marks"))
     matched = {}
     for licence, rules in rule_patterns().items():
         hit = F.lit(None).cast("string")
         for name, pattern in reversed(rules):
-            hit = F.when(F.col("marks").rlike(pattern), name).otherwise(hit)
+            hit = F.when(F.col("marks").rlike(pattern) | F.col("wrapped_marks").rlike(pattern), name).otherwise(hit)
         matched[licence] = F.when(F.col("n_known") > 0, hit)
     found = marked.withColumns({f"_{k}": hit for k, hit in enumerate(matched.values())})
     rules = F.concat_ws(",", *(F.col(f"_{k}") for k in range(len(matched))))

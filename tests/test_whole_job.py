@@ -1,10 +1,12 @@
 """Queries cover all of their input: small fixtures against brute force."""
 
+import textwrap
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.llm import graph_dedup
+from shelfwise.llm import graph_dedup, licenses
 from shelfwise.operators import ingest, relational
 from shelfwise.operators.reports import run_sql
 from shelfwise.plans.views import Mart
@@ -69,3 +71,25 @@ def test_vector_links_count_at_both_ends(spark):
     found = np.array([whole[i] for i in range(600)])
     has = links.any(1)
     assert (found[has] / links.sum(1)[has]).mean() >= 0.97
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_licences_are_found(spark, mark, end):
+    known = licenses.SENTENCES
+    paragraphs = {
+        "MIT": ["Copyright 2020 Someone", known["mit_grant"], known["mit_condition"] + ".", known["mit_disclaimer"] + "."],
+        "GPL-3.0": [known["gpl3_grant"] + ".", known["gpl_hope"] + ".  " + known["gpl_see"] + "."],
+        "GPL-2.0": [known["gpl2_grant"] + ".", known["gpl_hope"] + ".  " + known["gpl_see"] + "."],
+        "BSD": [known["bsd_grant"], "1. " + known["bsd_source"] + ".", "2. " + known["bsd_binary"] + "."],
+        "Apache-2.0": [known["apache_notice_long"] + ". " + known["apache_copy"], "    http://www.apache.org/licenses/LICENSE-2.0", known["apache_basis"] + ". " + known["apache_see"] + "."],
+    }
+    names = {"MIT": "mit_text", "GPL-3.0": "gpl3_header", "GPL-2.0": "gpl2_header", "BSD": "bsd_text", "Apache-2.0": "apache_header"}
+
+    def wrapped(parts, between):
+        lines = [line for p in parts for line in [*textwrap.wrap(p, 72), *between]]
+        return end.join(mark + line if line else mark.rstrip() for line in lines)
+
+    rows = [(f"{k} {len(b)}", wrapped(p, b)) for k, p in paragraphs.items() for b in ([[""], []] if k == "BSD" else [[""]])]
+    got = {r.doc_id: (r.rules, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {i: (names[i.split()[0]], i.split()[0]) for i, _ in rows}
