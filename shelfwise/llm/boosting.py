@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_ROWS, held_out, label_sample, table
+from .common import SLICE_ROWS, fit_labels, held_out, label_sample, table
 from .textstats import base_counts
 
 FEATURES = (
@@ -100,10 +100,10 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE
     """A forest from at most per_class labelled documents of either class that are not held out.
 
     Statistics are computed on the executors; the driver gets numbers only, 2 * per_class rows at most. Both classes weigh what
-    they weigh among the labels; without labels of both classes the scores are the share of label 1 (1 without any).
+    they weigh among the labels that are not held out; without such labels of both classes the scores are the share of label 1 (1
+    without any). Null labels and null ids, and labels of unknown documents, are ignored; a repeated id counts with each of its rows.
     """
-    sample = label_sample(labels, "quality", per_class)
-    share = labels.where("quality in (0, 1)").agg(F.avg("quality")).first()[0]
+    sample, share = label_sample(fit_labels(labels, "quality"), per_class)
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +125,8 @@ def fit_quality(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE
 def score_quality(documents: DataFrame, forest: Forest, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted for every document; a map without a shuffle over whole texts.
 
-    Null or empty text is scored by statistics of zero. Null ids and repeated rows keep their row; an empty table gives no rows.
+    Null or empty text is scored by statistics of zero. Null ids keep their row, with held_out null; repeated rows keep a row each.
+    An empty table gives no rows; other columns are ignored.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

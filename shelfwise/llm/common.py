@@ -22,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="shelfwise-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -86,22 +88,25 @@ def windows(hashes: np.ndarray, width: int) -> np.ndarray:
     return splitmix(out)
 
 
-def held_out(doc_id) -> bool:
-    """The split of the labels: crc32 of the id as text, modulo 5, is 0."""
-    return zlib.crc32(str(doc_id).encode()) % 5 == 0
+def held_out(doc_id) -> bool | None:
+    """The split of the labels: crc32 of the id as text, modulo 5, is 0; null for a null id."""
+    return None if doc_id is None else zlib.crc32(str(doc_id).encode()) % 5 == 0
 
 
-def label_sample(labels: DataFrame, column: str, per_class: int) -> DataFrame:
-    """(doc_id, label) of at most per_class rows a class that are not held out, the first by a hash of doc_id.
+def fit_labels(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, label) of the rows that a fit may learn from: those that are not held out.
 
-    The bound keeps the fit's input independent of the corpus; labels other than 0 and 1 and null ids are ignored, an id with
-    contradicting labels counts by its largest.
+    Labels other than 0 and 1 and null ids are ignored, an id with contradicting labels counts by its largest.
+    """
+    rows = labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
+    return rows.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).groupBy("doc_id").agg(F.max("label").alias("label"))
+
+
+def label_sample(rows: DataFrame, per_class: int) -> tuple[DataFrame, float | None]:
+    """At most per_class rows of either class of fit_labels, the first by a hash of doc_id, and the share of label 1 among all rows.
+
+    The bound keeps the fit's input independent of the corpus; the share is null without rows.
     """
-    rows = (
-        labels.select(F.col("doc_id").alias("doc_id"), F.col(column).cast("int").alias("label"))
-        .where("doc_id is not null and label in (0, 1)")
-        .where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-        .groupBy("doc_id").agg(F.max("label").alias("label"))
-    )
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    return rows.where("label = 0").orderBy(*order).limit(per_class).unionByName(rows.where("label = 1").orderBy(*order).limit(per_class))
+    sample = rows.where("label = 0").orderBy(*order).limit(per_class).unionByName(rows.where("label = 1").orderBy(*order).limit(per_class))
+    return sample, rows.agg(F.avg("label")).first()[0]

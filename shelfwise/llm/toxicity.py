@@ -1,8 +1,9 @@
 """Toxicity: a weighted finite-state grammar over the clauses of a text.
 
-Words become symbols (insult, threat, target, negation, report, other). Four transducers rewrite the symbols in turn: negation
-marks attacks in its scope, reported speech marks attacks after a verb of saying, the target transducer marks attacks near an
-addressed person, and the last one adds up weights. They are composed once into one table; a clause is scored by its run.
+Words become symbols (slur, harm, intent, degree, person, deny, say, other). Five weighted transducers rewrite the symbols in turn:
+the insult transducer makes insults of slurs, the threat transducer threats of verbs of harm, negation and reported speech take back
+the attacks in their scope, and the target transducer marks attacks with an addressed person on either side. They are composed once
+into one table of states, symbols out and weights; a clause is scored by its run.
 """
 
 from __future__ import annotations
@@ -15,78 +16,105 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, SLICE_ROWS, held_out, label_sample, table, worker_cache
+from .common import CACHE_ENTRIES, SLICE_ROWS, fit_labels, held_out, label_sample, table, worker_cache
 
 #: Closed-class words of English, Spanish, French and German.
-THREATS = "kill hurt destroy attack beat burn shoot stab matar matare golpear destruir quemar tuer frapper brûler détruire töten schlagen verbrennen zerstören".split()
-TARGETS = "you your yours u they them tú usted ustedes vosotros tu toi vous votre du dich dir ihr euch".split()
-NEGATIONS = "not never isn't aren't wasn't don't no nunca jamás ne pas jamais nicht kein keine nie niemals".split()
-REPORTS = "said says called claims claimed wrote quoted reported dijo dice llamó escribió dit disait appelé écrit sagte sagt nannte schrieb".split()
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+WORDS = {
+    "harm": "kill murder hurt harm destroy attack beat burn shoot stab strangle crush matar matarte golpear golpearte destruir quemar herir apuñalar tuer frapper brûler détruire blesser poignarder étrangler töten umbringen schlagen verbrennen zerstören erschießen erstechen verletzen",
+    "intent": "will shall going gonna must i'll we'll voy va vamos quiero vais allons veux dois werde werden wirst soll muss",
+    "degree": "such so very total complete utter tan muy pura puro très tellement vrai vraie sehr völlig echter",
+    "person": "you your yours u they them tú usted ustedes vosotros te tu toi vous votre du dich dir ihr euch",
+    "deny": "not never isn't aren't wasn't don't won't no nunca jamás ne pas jamais nicht kein keine nie niemals",
+    "say": "said says called claims claimed wrote quoted reported dijo dice llamó escribió dit disait appelé écrit sagte sagt nannte schrieb",
+}
+ALPHABET = ("other", "slur", *WORDS)
+SLUR, HARM, PERSON = (ALPHABET.index(x) for x in ("slur", "harm", "person"))
 #: What the composed run tells apart.
 KINDS = ("insult", "insult_at_target", "threat", "threat_at_target", "negated", "reported")
+_ATTACKS = ("insult", "threat")
+#: Every symbol that stands between two transducers.
+_SYMBOLS = tuple(dict.fromkeys([*ALPHABET, *KINDS]))
 _EDGE = " \t\n.,;:!?\"'()[]{}<>«»“”„…-*#$%&|"
 _ENDS = (b".", b"!", b"?", b";", b":")
-#: Labelled rows of either class in the fit; arcs that the learned part of the grammar has at most.
-SAMPLE_PER_CLASS, MOST_ARCS = 3000, 2000
+#: Labelled rows of either class in the fit.
+SAMPLE_PER_CLASS = 3000
 
 
 class Transducer:
-    """Deterministic: arcs (state, symbol) -> (next state, symbol out); symbols without an arc pass and the state stays."""
+    """Deterministic and weighted: arcs (state, symbol) -> (next state, symbol out, weight); without an arc the symbol passes with
+    weight 1 and the state stays."""
 
-    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str]]):
+    def __init__(self, arcs: dict[tuple[int, str], tuple[int, str, float]]):
         self.arcs = arcs
 
-    def step(self, state: int, symbol: str) -> tuple[int, str]:
-        return self.arcs.get((state, symbol), (state, symbol))
+    def step(self, state: int, symbol: str) -> tuple[int, str, float]:
+        return self.arcs.get((state, symbol), (state, symbol, 1.0))
 
 
-def composed(machines: list[Transducer], alphabet: tuple[str, ...]) -> tuple[np.ndarray, list[list[str]]]:
-    """The product of the machines in order: next state by (state, symbol), symbol out by (state, symbol)."""
+def composed(machines: list[Transducer], alphabet: tuple[str, ...]) -> tuple[list[list[int]], list[list[str]], list[list[float]]]:
+    """The product of the machines in order, by (state, symbol): next state, symbol out, product of the weights."""
     start = (0,) * len(machines)
-    states, after, out = {start: 0}, [], []
-    queue = [start]
+    states, queue, after, out, weight = {start: 0}, [start], [], [], []
     for state in queue:
-        row, said = [], []
+        rows: tuple[list, list, list] = ([], [], [])
         for symbol in alphabet:
-            now = []
+            now, product = [], 1.0
             for machine, s in zip(machines, state):
-                s, symbol = machine.step(s, symbol)
+                s, symbol, w = machine.step(s, symbol)
                 now.append(s)
+                product *= w
             if tuple(now) not in states:
                 states[tuple(now)] = len(states)
                 queue.append(tuple(now))
-            row.append(states[tuple(now)])
-            said.append(symbol)
-        after.append(row)
-        out.append(said)
-    return np.array(after), out
+            for row, value in zip(rows, (states[tuple(now)], symbol, product)):
+                row.append(value)
+        for table_, row in zip((after, out, weight), rows):
+            table_.append(row)
+    return after, out, weight
 
 
-ALPHABET = ("other", "insult", "threat", "target", "negation", "report")
+def _armed(arm: str, reach: int, hits: dict[str, tuple[str, float]]) -> dict:
+    """Arcs that `arm` sets to `reach` words, in which the symbols of `hits` become others; every other word counts one down."""
+    arcs = {(s, x): (s - 1, x, 1.0) for s in range(1, reach + 1) for x in _SYMBOLS}
+    arcs |= {(s, x): (s - 1, *hit) for s in range(1, reach + 1) for x, hit in hits.items()}
+    return arcs | {(s, arm): (reach, "other", 1.0) for s in range(reach + 1)}
 
 
-def _negation(scope: int = 3) -> Transducer:
-    arcs = {(s, "negation"): (scope, "other") for s in range(scope + 1)}
-    for s in range(1, scope + 1):
-        arcs |= {(s, x): (s - 1, x) for x in ("other", "target", "report")} | {(s, x): (s - 1, "negated") for x in ("insult", "threat")}
-    return Transducer(arcs)
+def insult_transducer(reach: int = 2) -> Transducer:
+    """slur -> insult, with more weight after a word of degree."""
+    return Transducer(_armed("degree", reach, {"slur": ("insult", 1.5)}) | {(0, "slur"): (0, "insult", 1.0)})
+
+
+def threat_transducer(reach: int = 4) -> Transducer:
+    """harm -> threat, with less weight unless a word of intent comes before."""
+    return Transducer(_armed("intent", reach, {"harm": ("threat", 1.5)}) | {(0, "harm"): (0, "threat", 0.5)})
+
 
+def negation_transducer(scope: int = 3) -> Transducer:
+    return Transducer(_armed("deny", scope, {x: ("negated", 1.0) for x in _ATTACKS}))
 
-def _report() -> Transducer:
-    return Transducer({(0, "report"): (1, "other")} | {(1, x): (1, "reported") for x in ("insult", "threat")})
 
+def report_transducer() -> Transducer:
+    """After a verb of saying the clause's attacks are another's."""
+    return Transducer({(0, "say"): (1, "other", 1.0), (1, "say"): (1, "other", 1.0)} | {(1, x): (1, "reported", 1.0) for x in _ATTACKS})
 
-def _target(reach: int = 4) -> Transducer:
-    arcs = {(s, "target"): (reach, "other") for s in range(reach + 1)}
-    for s in range(1, reach + 1):
-        arcs |= {(s, "other"): (s - 1, "other")} | {(s, x): (s, f"{x}_at_target") for x in ("insult", "threat")}
+
+def target_transducer(reach: int = 4) -> Transducer:
+    """An attack within `reach` words after a person is one at a target; a person within `reach` words after an attack says so of it
+    (its run repeats the attack's own weight). States: 0, then those after a person, then those after an insult and after a threat."""
+    after = {x: reach * (k + 1) for k, x in enumerate(_ATTACKS)}
+    arcs = _armed("person", reach, {})
+    for x, base in after.items():
+        arcs |= {(s, x): (s, f"{x}_at_target", 1.0) for s in range(1, reach + 1)}
+        arcs |= {(base + s, y): (base + s - 1 if s > 1 else 0, y, 1.0) for s in range(1, reach + 1) for y in _SYMBOLS}
+        arcs |= {(base + s, "person"): (reach, f"{x}_at_target", 1.0) for s in range(1, reach + 1)}
+    for x, base in after.items():
+        arcs |= {(s, x): (base + reach, x, 1.0) for s in (0, *range(reach + 1, reach * (len(after) + 1) + 1))}
     return Transducer(arcs)
 
 
-NEXT, OUT = composed([_negation(), _report(), _target()], ALPHABET)
+_AFTER, OUT, _WEIGHT = composed([insult_transducer(), threat_transducer(), negation_transducer(), report_transducer(), target_transducer()], ALPHABET)
 _KIND = [[KINDS.index(x) if x in KINDS else -1 for x in row] for row in OUT]
-_AFTER = NEXT.tolist()
 
 
 class Symbols(dict):
@@ -95,7 +123,7 @@ class Symbols(dict):
     def __init__(self, words: dict[str, int], prefixes: dict[str, int]):
         self.words, self.prefixes = words, prefixes
         self.longest = max(map(len, prefixes), default=0)
-        self.closed = {w: s for s, found in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)) for w in found}
+        self.closed = {w: ALPHABET.index(name) for name, found in WORDS.items() for w in found.split()}
 
     def __missing__(self, raw: bytes) -> int:
         if len(self) >= CACHE_ENTRIES:
@@ -105,13 +133,13 @@ class Symbols(dict):
         for k in range(self.longest, 0, -1):
             if arc < 0:
                 arc = self.prefixes.get(word[:k], -1) if len(word) >= k else -1
-        self[raw] = value = (16 * arc + 2 * INSULT if arc >= 0 else 2 * self.closed.get(word, OTHER)) + raw.endswith(_ENDS)
+        self[raw] = value = (16 * arc + 2 * SLUR if arc >= 0 else 2 * self.closed.get(word, 0)) + raw.endswith(_ENDS)
         return value
 
 
 @dataclass(frozen=True)
 class Grammar:
-    """The learned part: insult arcs (exact words and word beginnings) with weights, and the weights of the document's features."""
+    """The learned part: slurs (exact words and word beginnings) with weights, and the weights of the document's features."""
 
     arcs: tuple[tuple[str, bool, float], ...]  # text, whole word, weight
     coefficients: tuple[float, ...] = ()
@@ -130,22 +158,24 @@ def features(text: str | None, symbols: Symbols, weights: list[float]) -> list[f
     words = (text or "").encode("utf-8", "surrogatepass").split()
     codes = np.fromiter(map(symbols.__getitem__, words), np.int64, len(words))
     kinds = (codes >> 1) & 7
-    if ((kinds == INSULT) | (kinds == THREAT)).any():
+    if ((kinds == SLUR) | (kinds == HARM)).any():
         ends = np.flatnonzero(codes & 1) + 1
         clause_of = np.zeros(len(codes), np.int64)
         clause_of[ends[ends < len(codes)]] = 1
         clause_of = clause_of.cumsum()
         clauses = int(clause_of[-1]) + 1
-        attacked = np.unique(clause_of[(kinds == INSULT) | (kinds == THREAT)])
+        attacked = np.unique(clause_of[(kinds == SLUR) | (kinds == HARM)])
         starts, stops = np.searchsorted(clause_of, attacked), np.searchsorted(clause_of, attacked, side="right")
         for a, b in zip(starts.tolist(), stops.tolist()):
-            state, found = 0, 0.0
+            state, found, own = 0, 0.0, 0.0
             for code in codes[a:b].tolist():
                 symbol = (code >> 1) & 7
-                kind = _KIND[state][symbol]
+                kind, weight = _KIND[state][symbol], _WEIGHT[state][symbol]
                 state = _AFTER[state][symbol]
                 if kind >= 0:
-                    worth = weights[code >> 4] if symbol == INSULT else 1.0
+                    if symbol != PERSON:
+                        own = weights[code >> 4] if symbol == SLUR else 1.0
+                    worth = weight * own
                     sums[kind] += worth
                     found += worth if kind < 4 else 0.0
             largest = max(largest, found)
@@ -164,20 +194,21 @@ def _units(label_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["unit", "clean", "toxic"])
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, most_arcs: int = MOST_ARCS, least_g: float = 24.0) -> Grammar:
+def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, least_g: float = 24.0) -> Grammar:
     """A grammar from at most per_class labelled documents of either class that are not held out.
 
-    Insult arcs are words and word beginnings that toxic documents have far oftener (G statistic of at least least_g), counted by
-    Spark over the sample's documents; the driver gets at most most_arcs of them and 2 * per_class rows of features. Without toxic
-    labels the grammar has no learned arcs and scores near the share of toxic labels.
+    Slurs are all words and word beginnings that toxic documents have far oftener (G statistic of at least least_g, which takes
+    about 17 toxic documents at the least), counted by Spark over the sample's documents; their number and the 2 * per_class rows of
+    features that the driver gets are bounded by the sample. Without toxic labels the grammar has no slurs and scores near the share
+    of toxic labels. Null labels and null ids, and labels of unknown documents, are ignored; a repeated id counts with each of its rows.
     """
-    # bounded by per_class rows of either class
-    sample = F.broadcast(label_sample(labels, "toxic", per_class))
+    chosen, share = label_sample(fit_labels(labels, "toxic"), per_class)
+    share = share or 0.0
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(sample, "doc_id").select("label", "text")
+    # bounded by per_class rows of either class
+    rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = total.get(0, 0), total.get(1, 0)
-    share = labels.where("toxic in (0, 1)").agg(F.avg("toxic")).first()[0] or 0.0
     if not n_clean or not n_toxic:
         return Grammar((), (float(np.log((share + 1e-4) / (1 - share + 1e-4))), *[0.0] * (len(KINDS) + 3)))
     units = rows.mapInArrow(_units, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
@@ -185,13 +216,15 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     expect = n_toxic / (n_clean + n_toxic)
     g = 2 * (a * F.log(a / (all_ * expect)) + F.when(b > 0, b * F.log(b / (all_ * (1 - expect)))).otherwise(0.0))
     pure = (a / n_toxic) / (a / n_toxic + b / n_clean)
-    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.97)).orderBy(F.desc("g"), "unit").limit(most_arcs).collect()
+    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.97)).collect()
     arcs: list[tuple[str, bool, float]] = []
+    beginnings, whole = set(), set()
     for least in (0.99, 0.97):
         for r in sorted(found, key=lambda r: (len(r["unit"]), r["unit"])):
             text = r["unit"][1:]
-            if r["pure"] >= least and not any(text.startswith(x) for x, whole, _ in arcs if not whole) and (text, True) not in {(x, w) for x, w, _ in arcs}:
+            if r["pure"] >= least and text not in whole and not any(text[:k] in beginnings for k in range(1, len(text) + 1)):
                 weight = float(np.log((r["toxic"] + 0.5) / (n_toxic + 1)) - np.log((r["clean"] + 0.5) / (n_clean + 1)))
+                (whole if r["unit"][0] == "=" else beginnings).add(text)
                 arcs.append((text, r["unit"][0] == "=", max(weight, 0.1)))
     grammar = Grammar(tuple(arcs))
 
@@ -223,8 +256,8 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0
 def score_toxicity(documents: DataFrame, grammar: Grammar, threshold: float = 0.5) -> DataFrame:
     """doc_id, held_out, score, predicted, then the log sums by kind, for every document; a map without a shuffle over whole texts.
 
-    Null or empty text matches nothing and gets the score of no match. Null ids and repeated rows keep their row; an empty table
-    gives no rows; other columns are ignored.
+    Null or empty text matches nothing and gets the score of no match. Null ids keep their row, with held_out null; repeated rows
+    keep a row each. An empty table gives no rows; other columns are ignored.
     """
     names = [*KINDS, "largest_clause", "matched_clauses", "matched_share"]
 
