@@ -27,6 +27,8 @@ class Similarity:
     rows: int = 5
     #: rows that a task compares with each other at once; larger groups are dealt out in blocks
     block: int = 128
+    #: keys over which the members of one hub are dealt for look-ups by hub
+    salts: int = 64
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -88,9 +90,14 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def text_key() -> F.Column:
+    """What tells the texts of one id apart."""
+    return F.coalesce(F.md5(F.col("text").cast("binary")), F.lit("null"))
+
+
 def _signed(documents: DataFrame, how: Similarity) -> DataFrame:
-    """doc_id, n_shingles, set_key (16 bytes; null for empty sets), keys (one for each band)."""
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    """doc_id, text_key, n_shingles, set_key (16 bytes; null for empty sets), keys (one for each band)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.string()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("keys", pa.list_(pa.int64()))])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -105,10 +112,10 @@ def _signed(documents: DataFrame, how: Similarity) -> DataFrame:
                     for k, row in zip(full, band_keys(signatures, how.bands, how.rows)):
                         keys[k] = row
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(list(map(len, sets)), pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], schema=schema)
 
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, set_key binary, keys array<long>")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_key().alias("text_key"))
+    return rows.mapInArrow(sign, "doc_id long, text_key string, n_shingles long, set_key binary, keys array<long>")
 
 
 class _Union:
@@ -217,38 +224,84 @@ def _members(bands: DataFrame, how: Similarity) -> DataFrame:
 
 
 def _block(n: str, of: str, how: Similarity) -> F.Column:
-    return F.pmod(F.xxhash64(of), F.ceil(F.col(n) / how.block)).cast("int")
+    return F.pmod(F.xxhash64(of), F.ceil(F.coalesce(F.col(n), F.lit(1)) / how.block)).cast("int")
+
+
+def _of_hub(rows: DataFrame, per_hub: DataFrame, how: Similarity, kind: str = "inner") -> DataFrame:
+    """rows (hub, doc_id, ...) with the values of their hub: a hub's rows are dealt over `salts` keys, per_hub is repeated for each."""
+    salted = per_hub.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(how.salts)).cast("int")).join(salted, ["hub", "salt"], kind).drop("salt")
 
 
-def near_links(texts: DataFrame, bands: DataFrame, how: Similarity) -> DataFrame:
+def _blocks(n: str, how: Similarity) -> F.Column:
+    return F.sequence(F.lit(0), F.ceil(F.col(n) / how.block).cast("int") - 1)
+
+
+def near_links(texts: DataFrame, bands: DataFrame, how: Similarity, repeated: bool = False) -> DataFrame:
     """Links (a, b) between different sets that connect all that verified candidates connect.
 
     Candidates are the members of a bucket. A bucket's pairs are tested within the group of its hub: first every member against the
     hub and against its own block; then those that don't hang together with the hub, against all blocks. Members in one group
     already need no test, since only connections count. Every task gets at most two blocks of documents; rows grow with the
-    members and, for members apart from the hub, with the number of blocks.
+    members and, for members apart from the hub, with the number of blocks. `repeated`: an id may have several rows in texts, of
+    which each different text counts.
     """
     members = stored(_members(bands, how), "members")
     # the members' texts: the only shuffle of texts, cut down to candidates by the semi join
     wanted = stored(texts.join(members.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("n"))
-    sized = members.join(sizes, "hub")
-    own = sized.where("doc_id <> hub").select("hub", _block("n", "doc_id", how).alias("block"), "doc_id", F.lit(1).alias("role"))
-    hub = sizes.select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / how.block).cast("int") - 1)).alias("block"), F.col("hub").alias("doc_id"), F.lit(0).alias("role"))
+    if repeated:
+        wanted = stored(wanted.groupBy("doc_id", "text_key").agg(F.first("text").alias("text")), "candidates")
+    wanted = wanted.select("doc_id", "text")
+    sizes = stored(members.groupBy("hub").agg(F.count(F.lit(1)).alias("n")), "hubs")
+    large = sizes.where(F.col("n") > how.block)
+    # only large hubs have more than one block: their members alone find a size
+    own = _of_hub(members.where("doc_id <> hub"), large, how, "left").select("hub", _block("n", "doc_id", how).alias("block"), "doc_id", F.lit(1).alias("role"))
+    hub = sizes.select("hub", F.explode(_blocks("n", how)).alias("block"), F.col("hub").alias("doc_id"), F.lit(0).alias("role"))
     one = own.unionByName(hub).withColumn("block2", F.lit(0)).join(wanted, "doc_id")
     found = stored(_verified(one, how, first=True), "links")
     links = found.where("b is not null").select("a", "b")
 
-    large = sizes.where(F.col("n") > how.block)
-    apart = found.where("b is null").select("hub", F.col("a").alias("doc_id")).join(large, "hub")
-    n_apart = apart.groupBy("hub").agg(F.count(F.lit(1)).alias("n_apart"))
-    apart = apart.join(n_apart, "hub")
-    probes = apart.select("hub", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / how.block).cast("int") - 1)).alias("block"), _block("n_apart", "doc_id", how).alias("block2"), "doc_id", F.lit(1).alias("role"))
-    targets = sized.join(n_apart, "hub").where(F.col("n") > how.block).select("hub", _block("n", "doc_id", how).alias("block"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_apart") / how.block).cast("int") - 1)).alias("block2"), "doc_id", F.lit(0).alias("role"))
+    alone = found.where("b is null").select("hub", F.col("a").alias("doc_id"))
+    apart_of = stored(alone.groupBy("hub").agg(F.count(F.lit(1)).alias("n_apart")).join(large, "hub"), "apart")
+    probes = _of_hub(alone, apart_of, how).select("hub", F.explode(_blocks("n", how)).alias("block"), _block("n_apart", "doc_id", how).alias("block2"), "doc_id", F.lit(1).alias("role"))
+    targets = _of_hub(members, apart_of, how).select("hub", _block("n", "doc_id", how).alias("block"), F.explode(_blocks("n_apart", how)).alias("block2"), "doc_id", F.lit(0).alias("role"))
     two = probes.unionByName(targets).join(wanted, "doc_id")
     return links.unionByName(_verified(two, how, first=False).select("a", "b"))
 
 
+def _grouped(documents: DataFrame, how: Similarity, text_key: F.Column) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept, text_key for every document."""
+    signed = stored(_signed(documents, how, text_key), "signed")
+    named = signed.where("doc_id is not null and set_key is not null")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
+    reps = named.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("keys").alias("keys")).select("set_key", "doc_id", "keys")
+    # the text by which a class is compared; its texts have equal sets
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key.alias("text_key"), F.col("text").cast("string").alias("text"))
+    spoken = named.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("at")).select("at.doc_id", "at.text_key", "set_key")
+    found = components(near_links(texts, spoken, reps, how))
+    rep_of = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.join(rep_of, "set_key", "left")
+    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), "text_key").withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _grouped(documents: DataFrame, how: Similarity) -> DataFrame:
+    """doc_id, text_key, n_shingles, component_id, kept for every document."""
+    signed = stored(_signed(documents, how), "signed")
+    named = signed.where("doc_id is not null and set_key is not null")
+    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("keys").alias("keys"))
+    # ids with several rows; those with several sets link them
+    again = stored(named.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.min("set_key").alias("low"), F.max("set_key").alias("high")).where("n > 1"), "repeated")
+    own = named.join(again.where("low <> high").select("doc_id"), "doc_id", "left_semi").join(classes.select("set_key", "rep"), "set_key")
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"), F.col("text").cast("string").alias("text"))
+    links = near_links(texts, classes.select(F.col("rep").alias("doc_id"), "keys"), how, repeated=not again.isEmpty())
+    found = components(links.unionByName(own.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
+    rep_of = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
+    out = signed.join(rep_of, "set_key", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", "text_key", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
 def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every document.
 
@@ -256,19 +309,10 @@ def near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> Dat
     cost a partial aggregation. Links between representatives come from near_links, groups from components.
 
     Null or empty text, or white space only: n_shingles 0, linked with nothing. A null doc_id can't name a group: such a row is
-    linked with nothing, component_id null, kept true. Repeated rows are in the same class and keep a row each; of an id with
-    several texts every row follows its own text. An empty table gives no rows; other columns are ignored.
+    linked with nothing, component_id null, kept true. Repeated rows keep a row each. Rows of one id are one document: if their texts
+    differ, what any of them links is linked. An empty table gives no rows; other columns are ignored.
     """
-    signed = stored(_signed(documents, how), "signed")
-    named = signed.where("doc_id is not null and set_key is not null")
-    classes = named.groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    reps = named.join(classes.select(F.col("set_key"), F.col("rep").alias("doc_id")), ["set_key", "doc_id"], "left_semi").dropDuplicates(["set_key"]).select("doc_id", "keys")
-    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = components(near_links(texts, reps, how))
-    rep_of = classes.join(found, classes["rep"] == found["node"], "left").select("set_key", F.coalesce("component_id", "rep").alias("component_id"))
-    out = signed.join(rep_of, "set_key", "left")
-    component = F.when(F.col("doc_id").isNull(), F.lit(None)).otherwise(F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return _grouped(documents, how).drop("text_key")
 
 
 def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -276,13 +320,20 @@ def op8_superminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_near_duplicates(documents: DataFrame, how: Similarity = Similarity()) -> DataFrame:
-    """documents, all columns, without those that near_duplicates doesn't keep; of rows with one id a single one stays.
+    """documents, all columns, with one row of each near-duplicate group.
+
+    That row has the group's smallest doc_id; of several such rows (an id that is repeated) the one whose text has the smallest MD5
+    stays, of rows with that id and text the one whose columns have it as JSON. So what stays doesn't depend on the order of rows.
+    Rows without an id and texts without words are linked with nothing: the former all stay, of the latter one of each id and text.
+    Other columns may have any names. An empty table gives no rows.
 
-    The verdicts are one row an id and are joined by id: documents are shuffled once for it, at every size alike. Rows without an id
-    stay.
+    The verdicts are a row for each id and text and are joined by both: documents are shuffled once for it, at every size alike.
     """
-    found = stored(near_duplicates(documents.select("doc_id", "text"), how), "near-duplicates")
-    verdict = found.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or("kept").alias("_kept"), F.count(F.lit(1)).alias("_rows")).where("_kept")
-    joined = documents.join(verdict.select("doc_id", "_rows").hint("merge"), "doc_id")
-    single = joined.where("_rows = 1").unionByName(joined.where("_rows > 1").dropDuplicates(["doc_id"]))
-    return single.select(documents.columns).unionByName(documents.where("doc_id is null"))
+    rows = documents.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("text_key"))
+    found = stored(_grouped(documents, how), "near-duplicates").where("doc_id is not null and kept")
+    # of an id's texts one stays; texts without words are groups of their own
+    verdict = found.groupBy("doc_id", F.when(F.col("n_shingles") == 0, F.col("text_key")).alias("alone")).agg(F.min("text_key").alias("text_key"), F.count(F.lit(1)).alias("rows"))
+    joined = rows.join(verdict.select("doc_id", "text_key", "rows").hint("merge"), ["doc_id", "text_key"])
+    one = joined.where("rows = 1").select("row")
+    first = joined.where("rows > 1").groupBy("doc_id", "text_key").agg(F.min_by("row", F.md5(F.to_json("row"))).alias("row"))
+    return one.unionByName(first.select("row")).unionByName(rows.where("doc_id is null").select("row")).select("row.*")
