@@ -74,9 +74,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     stored headers with the permitted fields of the revisit on top, for 'match' and 'no_validator'; otherwise null.
 
     The as-of join is one range sort by (url, captured_at, record_id) and a scan with one response in hand, so a URL with very many
-    captures spreads over partitions; what crosses a partition's border is one row a partition, composed on the driver.
+    captures spreads over partitions. What crosses a partition's border is one response a partition: the driver matches digests of
+    URLs, the responses themselves are joined.
 
-    Null target_uri, captured_at or record_id: a revisit is 'no_response', a response is left out. Null headers count as none.
+    Null target_uri, captured_at or record_id: a revisit is 'no_response', a response is left out; an empty URL is one like any other.
+    Null headers count as none, lists of any length are merged whole.
     Repeated rows keep a row each. An empty table gives no rows; other columns are ignored.
     """
     headers = F.coalesce(_lower_keys(F.col("headers")), F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")))
@@ -88,17 +90,24 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     order = ["url", "captured_at", "record_id", "full"]
     ranged = rows.where(usable).drop("revisit").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
     scanned = stored(ranged.mapInArrow(_scan, "tail boolean, part int, url string, record_id long, captured_at long, headers map<string,string>, response struct<id:long,at:long,headers:map<string,string>>"), "revisits")
-    # one row for each partition of the sort
-    carried, url, response = [], None, None
-    for r in scanned.where("tail").orderBy("part").collect():
-        carried.append((r["part"], url, response))
-        if r["response"] is not None or r["url"] != url or not r["record_id"]:
-            response = r["response"]
-        url = r["url"]
-    before = records.sparkSession.createDataFrame(carried, "part int, url string, before struct<id:long,at:long,headers:map<string,string>>")
-    found = scanned.where("not tail").join(F.broadcast(before), ["part", "url"], "left").withColumn("response", F.coalesce("response", "before"))
+    # what the driver sees of each partition's tail: numbers and a digest of its URL, neither the URL nor headers
+    tails = scanned.where("tail").select("part", F.md5("url").alias("url_key"), (F.col("record_id") == 1).alias("alone"), F.col("response").isNotNull().alias("full"))
+    carried, key, source = [], None, None
+    for r in tails.orderBy("part").collect():
+        if source is not None:
+            carried.append((r["part"], key, source))
+        if r["full"] or r["url_key"] != key or not r["alone"]:
+            source = r["part"] if r["full"] else None
+        key = r["url_key"]
+    links = records.sparkSession.createDataFrame(carried, "part int, url_key string, source int")
+    last = scanned.where("tail").select(F.col("part").alias("source"), F.col("response").alias("before"))
+    before = links.join(last, "source").drop("source")
+    # only rows without a response of their own partition look for one; a join by partition and URL, of the kind that Spark finds fit
+    open_ = scanned.where("not tail and response is null").withColumn("url_key", F.md5("url")).join(before, ["part", "url_key"], "left")
+    columns = ["url", "record_id", "captured_at", "headers", "response"]
+    found = scanned.where("not tail and response is not null").select(columns).unionByName(open_.withColumn("response", F.col("before")).select(columns))
     lost = rows.where(~usable & F.col("revisit")).select("url", "record_id", "captured_at", "headers", F.lit(None).cast(found.schema["response"].dataType).alias("response"))
-    found = found.select("url", "record_id", "captured_at", "headers", "response").unionByName(lost)
+    found = found.unionByName(lost)
     found = found.withColumn("old", F.col("response.headers"))
     weak = lambda c: F.regexp_replace(c, "^W/", "")
     tag, tag_old, date, date_old = _header("headers", "etag"), _header("old", "etag"), _header("headers", "last-modified"), _header("old", "last-modified")

@@ -212,6 +212,15 @@ def test_revisits(spark):
     assert revisits.resolve_revisits(spark.createDataFrame([], schema)).count() == 0
 
 
+def test_revisits_with_empty_urls_and_long_headers(spark):
+    many = {f"X-Field-{k}": "v" * 50 for k in range(2000)}
+    rows = [(1, "", 1, "response", 200, many), (2, "", 2, "revisit", 304, {"Date": "now", "X-New": "no"}), (2, "", 2, "revisit", 304, {"Date": "now", "X-New": "no"}), (3, "x" * 9000, 3, "revisit", 304, many)]
+    got = revisits.resolve_revisits(spark.createDataFrame(rows, "record_id long, target_uri string, captured_at long, record_type string, status int, headers map<string,string>")).collect()
+    assert sorted((r.record_id, r.response_id, r.verdict) for r in got if r.response_id) == [(2, 1, "no_validator")] * 2
+    assert all(len(r.merged_headers) == 2001 and r.merged_headers["date"] == "now" for r in got if r.response_id)
+    assert [r.verdict for r in got if r.record_id == 3] == ["no_response"]
+
+
 def test_revisits_of_one_hot_url_cross_partitions(spark):
     """Brute force over one URL with many captures, dealt over many partitions."""
     rng = np.random.default_rng(2)
