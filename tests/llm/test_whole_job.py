@@ -2,6 +2,7 @@
 
 import textwrap
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -27,23 +28,53 @@ def test_vector_links_count_at_both_ends(spark):
     assert (found[has] / links.sum(1)[has]).mean() >= 0.97
 
 
+def full_texts():
+    """Licence -> (rule, paragraphs), put together from the sentences of each licence's first rule; conditions as list items."""
+    out = {}
+    for licence, (_, _, rules) in licenses.LICENSES.items():
+        if rules:
+            name, sentences = rules[0]
+            paragraphs = ["Copyright 2020 Someone. All rights reserved."]
+            for k, s in enumerate(sentences):
+                number = f"{k}. " if s in ("bsd_source", "bsd_binary", "bsd_names") else ""
+                end = "" if licenses.SENTENCES[s].endswith((":", " v", " at")) else "."
+                paragraphs.append(number + licenses.SENTENCES[s] + end + (" 2.0." if s == "mpl_subject" else ""))
+            out[licence] = name, paragraphs
+    return out
+
+
+def wrapped(parts, between, mark="", end="\n"):
+    lines = [line for p in parts for line in [*textwrap.wrap(p, 72), *between]]
+    return end.join(mark + line if line else mark.rstrip() for line in lines)
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_wrapped_licences_are_found(spark, mark, end):
-    known = licenses.SENTENCES
-    paragraphs = {
-        "MIT": ["Copyright 2020 Someone", known["mit_grant"], known["mit_condition"] + ".", known["mit_disclaimer"] + "."],
-        "GPL-3.0": [known["gpl3_grant"] + ".", known["gpl_hope"] + ".  " + known["gpl_see"] + "."],
-        "GPL-2.0": [known["gpl2_grant"] + ".", known["gpl_hope"] + ".  " + known["gpl_see"] + "."],
-        "BSD": [known["bsd_grant"], "1. " + known["bsd_source"] + ".", "2. " + known["bsd_binary"] + "."],
-        "Apache-2.0": [known["apache_notice_long"] + ". " + known["apache_copy"], "    http://www.apache.org/licenses/LICENSE-2.0", known["apache_basis"] + ". " + known["apache_see"] + "."],
-    }
-    names = {"MIT": "mit_text", "GPL-3.0": "gpl3_header", "GPL-2.0": "gpl2_header", "BSD": "bsd_text", "Apache-2.0": "apache_header"}
-
-    def wrapped(parts, between):
-        lines = [line for p in parts for line in [*textwrap.wrap(p, 72), *between]]
-        return end.join(mark + line if line else mark.rstrip() for line in lines)
-
-    rows = [(f"{k} {len(b)}", wrapped(p, b)) for k, p in paragraphs.items() for b in ([[""], []] if k == "BSD" else [[""]])]
+    texts = full_texts()
+    assert len(texts) == 17
+    rows = [(f"{k}|{len(b)}", wrapped(p, b, mark, end)) for k, (_, p) in texts.items() for b in ([""], [])]
     got = {r.doc_id: (r.rules, r.licenses) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
-    assert got == {i: (names[i.split()[0]], i.split()[0]) for i, _ in rows}
+    assert got == {i: (texts[i.split("|")[0]][0], i.split("|")[0]) for i, _ in rows}
+
+
+def test_licences_inside_longer_lines_and_the_same_in_sql(spark, tmp_path):
+    rows = [
+        (1, "This file is Licensed under the MIT License."), (2, "Licensed under the MIT license, see LICENSE"), (3, "text\nThe code is released under the GNU General Public License v3\nmore text"),
+        (4, "// SPDX-License-Identifier: BSD-3-Clause\nint main() {}"), (5, "released  under\nthe ISC License; distributed under the Zlib license!"), (6, "We license nothing. The permission is ours."),
+        (7, "unlicensed under the mitt license"), (8, None), (9, ""), (10, "plain words. " * 60_000 + "Licensed under CC BY 4.0"), (11, "Licensed under CC BY-NC 4.0.\n" * 3), (11, "Licensed under CC BY-NC 4.0.\n" * 3),
+    ]
+    rows += [(100 + k, wrapped(p, b, m)) for k, (_, p) in enumerate(full_texts().values()) for b in ([""], []) for m in ("", " * ")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = licenses.scan_licenses(df)
+    got = {r.doc_id: (r.rules, r.licenses) for r in found.collect()}
+    assert [got[k] for k in range(1, 12)] == [
+        ("mit_reference", "MIT"), ("mit_reference", "MIT"), ("gpl3_reference", "GPL-3.0"), ("bsd3_tag", "BSD-3-Clause"), ("isc_reference,zlib_reference", "ISC,Zlib"), ("", ""), ("", ""), ("", ""), ("", ""),
+        ("cc_by_reference", "CC-BY-4.0"), ("cc_by_nc_reference", "CC-BY-NC-4.0"),
+    ]
+    df.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    con.execute(licenses.OP2_SQL)
+    assert [d[0] for d in con.description] == found.columns
+    assert sorted(con.fetchall()) == sorted(tuple(r) for r in found.collect())
