@@ -39,12 +39,16 @@ def repeated_lines(text: str) -> int:
     return len(full) - len(set(full))
 
 
-def base_counts(text: str | None) -> tuple[list[bytes], np.ndarray, int, int, int, int]:
-    """Words, their hashes, code points in words, symbols, repeated lines, words in repeated windows."""
+def words_of(text: str | None) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split() if text else []
+
+
+def base_counts(text: str | None, hashed: tuple[list[bytes], np.ndarray] | None = None) -> tuple[list[bytes], np.ndarray, int, int, int, int]:
+    """Words, their hashes (both taken from `hashed` if known), code points in words, symbols, repeated lines, words in repeated windows."""
     if not text:
         return [], np.empty(0, np.uint64), 0, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
-    words = raw.split()
-    hashes = word_hashes(words)
+    words = hashed[0] if hashed else raw.split()
+    hashes = hashed[1] if hashed else word_hashes(words)
     chars = len(text) - sum(raw.count(x) for x in SPACES)
     return words, hashes, chars, sum(raw.count(x) for x in SYMBOLS), repeated_lines(text), repeated_words(hashes)

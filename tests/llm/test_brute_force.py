@@ -81,10 +81,30 @@ def test_fertility_counts_and_measures(spark, docs):
         entropy = -sum(c / len(ids) * math.log2(c / len(ids)) for c in counts.values())
         assert r.chars_per_piece == pytest.approx(chars / len(ids))
         assert r.fallback_share == pytest.approx(sum(pieces.is_byte(i) for i in ids) / len(ids))
-        assert r.relative_entropy == pytest.approx(entropy / math.log2(len(ids)) if len(ids) > 1 else 1.0, abs=1e-9)
+        assert r.relative_entropy == pytest.approx(entropy / math.log2(min(len(ids), 2048)) if len(ids) > 1 else 1.0, abs=1e-9)
         assert r.chars_per_byte_token == pytest.approx(chars / sum(len(ranks.encode_ordinary(" " + w)) for w in words))
 
 
+def test_bands_reject_by_each_measure():
+    """For each measure a text that fails by it alone, and clean texts of four languages that pass."""
+    cache = fertility._cache(vocab.tokenizer_path("piece_bpe_32k.model"), vocab.tokenizer_path("byte_bpe_multi_50k.tiktoken"))
+    clean = {
+        "en": "The council of the town met at the old hall and agreed that a new bridge should be built over the river, for it was said by many that the ferry is slow. " * 1 + "A plan for this work will be shown to the people in spring, with costs and dates as far as they are known.",
+        "es": "El consejo de la ciudad se reunió en una sala del museo y decidió que los puentes más antiguos se cierran por obras, pero las calles de al lado quedan abiertas para el tráfico.",
+        "fr": "Le conseil de la ville a décidé dans une réunion que les ponts sur la rivière sont à refaire, mais pas avant le printemps, et nous avons appris que des travaux plus petits commencent au mois de mars.",
+        "de": "Der Rat der Stadt hat in einer Sitzung beschlossen, dass die Brücke über den Fluss nicht mehr mit Lastwagen befahren werden darf, und auch für das nächste Jahr ist ein Umbau aus Mitteln des Landes geplant.",
+    }
+    for (language, text), (_, script, found) in zip(clean.items(), fertility.measured(list(clean.values()), cache), strict=True):
+        assert found[4] == language and fertility.within(fertility.BANDS, script, found), text
+    emoji = clean["en"] + " \U0001fae0\U0001fae1\U0001fae2" * 14
+    cases = {"pieces": "the of qzx wvk jjq and " * 9, "fallback": emoji, "entropy": "international " * 80 + "the of and"}
+    seen = {}
+    for name, (_, _, (a, b, fallback, entropy, _)) in zip(cases, fertility.measured(list(cases.values()), cache), strict=True):
+        low, _, low2, _, most, least = fertility.BANDS["en"]
+        seen[name] = (a < low, b < low2, fallback > most, entropy < least)
+    assert seen["pieces"][0] and seen["fallback"][2] and seen["entropy"] == (False, False, False, True)
+
+
 def test_forest_is_walked_tree_by_tree(spark, docs):
     forest = boosting.fit_quality(docs, spark.read.parquet(f"{SF}/labels.parquet"))
     texts = {r.doc_id: r.text for r in docs.collect()}
