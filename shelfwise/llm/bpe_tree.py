@@ -1,9 +1,14 @@
 """BPE encoding and decoding by tree concatenation.
 
-A text of up to `leaf` characters is encoded at once. A longer one is halved until its parts are short enough; parts are encoded in
-parallel and joined pairwise. At a join a window of text around it is encoded again; where a token of the left part, and one of the
-right part, stand in the window's tokens at the same place, the tokens in between are the window's. The window grows until both
-sides agree. In BPE a sequence is right if any two neighbours are, and every pair of neighbours comes from one of the encodings.
+A text is halved until its parts have at most LEAF characters, wherever the cuts fall; the parts are encoded and joined pairwise,
+level by level. At a join a window of text around it is encoded again and grows until its tokens agree with those of the left and
+of the right part at its ends; the tokens in between are the window's. Texts of more than PART characters are dealt out in parts
+over tasks, each part a tree, and the parts' trees are joined in the same way.
+
+No token reaches over white space, so agreement is first looked for between whole chunks. Where the chunk at the cut is longer than
+LONG (unsplit text), it's looked for token by token: a token of the left part, and one of the right part, stand in the window's
+tokens at the same place. In BPE a sequence is right if any two neighbours are, and every pair of neighbours comes from one of the
+encodings.
 """
 
 from __future__ import annotations
@@ -21,8 +26,11 @@ from tokenizers.pre_tokenizers import ByteLevel
 from .common import CACHE_ENTRIES, SLICE_ROWS, stored, table, worker_cache
 from .vocab import hf_tokenizer, space_chunks, tokenizer_path
 
-#: Characters of a text that is encoded at once; the window that a join begins with, to either side.
-LEAF, WINDOW = 1 << 15, 64
+#: Most characters of a tree's leaf, of a part that one task encodes, of a chunk joined as a whole; and the window that a join begins
+#: with, to either side.
+LEAF, PART, LONG, WINDOW = 512, 1 << 15, 128, 16
+#: The same for joins within a chunk.
+INNER = 64
 #: Characters that a token must lie away from a cut or from a window's edge to count: more than any look-ahead of the splitter.
 MARGIN = 16
 
@@ -64,7 +72,7 @@ class Chunks(dict):
     """
 
     def __init__(self, path: str):
-        self.tokenizer = hf_tokenizer(path)
+        self.path, self.tokenizer = path, hf_tokenizer(path)
         self.model, self.bytes = self.tokenizer.model, ByteLevel(add_prefix_space=False, use_regex=False)
         self.names: dict[int, str] = {}
         self.spans = Spans(self.tokenizer)
@@ -89,6 +97,10 @@ class Chunks(dict):
             self[chunk] = value
         return value
 
+    def items(self, text: str) -> list[tuple[str, str, int]]:
+        """One for each chunk between spaces."""
+        return list(map(self.__getitem__, filter(None, text.split(" "))))
+
     def tokens(self, ids: list[int]) -> str:
         """What the library's decode gives for a tokenizer without a decoder: the tokens joined by spaces."""
         for k in ids:
@@ -139,7 +151,7 @@ def _shared(ids_a: np.ndarray, spans_a: np.ndarray, ids_b: np.ndarray, spans_b:
     return np.array([k for k, _ in found], np.int64), np.array([j for _, j in found], np.int64)
 
 
-def join_encodings(path: str, text: str, start: int, cut: int, end: int, left: tuple, right: tuple, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+def join_encodings(path: str, text: str, start: int, cut: int, end: int, left: tuple, right: tuple, window: int = INNER) -> tuple[np.ndarray, np.ndarray]:
     """The encoding of text[start:end] from those of text[start:cut] and text[cut:end]."""
     reach = window
     while True:
@@ -183,8 +195,8 @@ def unpacked_spans(packed: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.column_stack([begins, begins + lengths])
 
 
-def encode_tree(path: str, text: str, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Ids of the text from the encodings of its parts (ids and spans), joined level by level."""
+def encode_tree(path: str, text: str, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and spans of the text from the encodings of its parts (ids and spans), joined level by level."""
     starts = [0, *ends[:-1]]
     level = [(s, e, p) for s, e, p in zip(starts, ends, parts)]
     while len(level) > 1:
@@ -193,7 +205,52 @@ def encode_tree(path: str, text: str, ends: list[int], parts: list[tuple[np.ndar
             (s, m, x), (_, e, y) = level[k : k + 2]
             joined.append((s, e, join_encodings(path, text, s, m, e, x, y)))
         level = joined + level[len(level) - len(level) % 2 :]
-    return level[0][2][0]
+    return level[0][2]
+
+
+def encode_part(path: str, text: str, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and spans of a part, from a tree of its own."""
+    ends = cut_points(len(text), leaf)
+    return encode_tree(path, text, ends, [_spans(path, text[a:b], a) for a, b in zip([0, *ends[:-1]], ends)])
+
+
+def _inner_join(cache: Chunks, text: str, a: int, cut: int, b: int, left: tuple, right: tuple) -> tuple:
+    """The item of the chunk text[a:b] from those of text[a:cut] and text[cut:b], joined token by token."""
+    sides = (x[3:] if len(x) > 3 else _spans(cache.path, text[s:e], s) for x, s, e in ((left, a, cut), (right, cut, b)))
+    ids, spans = join_encodings(cache.path, text, a, cut, b, *sides)
+    return " ".join(map(str, ids.tolist())), cache.tokens(ids.tolist()), len(ids), ids, spans
+
+
+def join_items(cache: Chunks, text: str, start: int, cut: int, end: int, left: list[tuple], right: list[tuple]) -> list[tuple]:
+    """The items (one for each chunk between spaces) of text[start:end] from those of text[start:cut] and text[cut:end]."""
+    a, b = text.rfind(" ", start, cut) + 1 or start, text.find(" ", cut, end)
+    b = end if b < 0 else b
+    if b - a > LONG and a < cut < b:
+        return [*left[:-1], _inner_join(cache, text, a, cut, b, left[-1], right[0]), *right[1:]]
+    reach = WINDOW
+    while True:
+        a = text.rfind(" ", start, cut - reach) + 1 or start if cut - reach > start else start
+        b = text.find(" ", cut + reach, end) if cut + reach < end else end
+        b = end if b < 0 else b
+        window = cache.items(text[a:b])
+        n_left, n_right = (sum(map(bool, text[x:y].split(" "))) for x, y in ((a, cut), (cut, b)))
+        # the first chunk of the window in the left part, the last one in the right part; neither may be one that the cut parts
+        whole_left, whole_right = n_left > 1 or text[cut - 1] == " ", n_right > 1 or text[cut] == " "
+        agree_left = a == start or not n_left or (whole_left and left[-n_left][0] == window[0][0])
+        agree_right = b == end or not n_right or (whole_right and right[n_right - 1][0] == window[-1][0])
+        if agree_left and agree_right:
+            return left[: len(left) - n_left] + window + right[n_right:]
+        reach *= 2
+
+
+def encode_items(cache: Chunks, text: str, leaf: int = LEAF) -> list[tuple]:
+    """The items of a whole text, by its tree."""
+    text = text.replace("\n", " ")  # white space is in no token
+    ends = cut_points(len(text), leaf)
+    level = [(a, b, cache.items(text[a:b])) for a, b in zip([0, *ends[:-1]], ends)]
+    while len(level) > 1:
+        level = [(s, e, join_items(cache, text, s, m, e, x, y)) for (s, m, x), (_, e, y) in zip(level[::2], level[1::2])]
+    return level[0][2]
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -204,19 +261,20 @@ def _digest(ids: str, tokens: str) -> tuple[str, str]:
     return hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(tokens.encode()).hexdigest()
 
 
-def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEAF) -> DataFrame:
+def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEAF, part: int = PART) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document's encoding and its decoding.
 
-    Short texts go through one map without a shuffle. Long ones are exploded into their parts, which are dealt out evenly and
-    encoded in parallel; the parts of a text meet in one task for the joins, which holds one document at a time. Chunks of plain
-    words are encoded once while a worker's bounded cache holds them.
+    Every text of more than `leaf` characters is encoded as a tree. Up to `part` characters the tree stays in the task that reads the
+    text, without a shuffle. Longer texts are exploded into their parts, which are dealt out evenly and encoded in parallel; the
+    parts of a text meet in one task for the upper joins, which holds one document at a time. Chunks of plain words are encoded once
+    while a worker's bounded cache holds them.
 
     Null or empty text: no tokens, digests of the empty string. Null ids and repeated rows keep their row: long texts are told
     apart by a key of their own. An empty table gives no rows; other columns are ignored.
     """
     path = path or tokenizer_path("word_bpe_49k.json")
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    long = F.length("text") > leaf
+    long = F.length("text") > part
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _chunks(path)
@@ -225,23 +283,21 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
                 batch = whole.slice(at, SLICE_ROWS)
                 out = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    # white space is in no token, so that spaces and line ends part the chunks
-                    found = [x for x in map(cache.__getitem__, filter(None, text.replace("\n", " ").split(" "))) if x[2]]
-                    out.append((doc_id, sum(x[2] for x in found), *_digest(" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))))
+                    found = [x for x in encode_items(cache, text, leaf) if x[2]]
+                    out.append((doc_id, sum([x[2] for x in found]), *_digest(" ".join([x[0] for x in found]), " ".join([x[1] for x in found]))))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _SCHEMA)], schema=_SCHEMA)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for doc_id, key, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text")), strict=True):
-                ends = cut_points(len(text), leaf)
+                ends = cut_points(len(text), part)
                 for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends)):
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((doc_id, pa.int64()), (key, pa.int64()), (k, pa.int32()), (a, pa.int64()), (text[a:b], pa.string()))], names=["doc_id", "key", "part", "start", "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for *same, start, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "part", "start", "text")), strict=True):
-                ids, spans = _spans(path, text, start)
-                packed = packed_spans(ids, spans - start)
+                packed = packed_spans(*encode_part(path, text, leaf))
                 yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*same, start, text, packed), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "key", "part", "start", "text", "packed"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +308,7 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
             made = []
             for start, _, packed in own:
                 made.append(unpacked_spans(packed, start))
-            ids = encode_tree(path, text, [x[0] for x in own[1:]] + [len(text)], made).tolist()
+            ids = encode_tree(path, text, [x[0] for x in own[1:]] + [len(text)], made)[0].tolist()
             row = (doc, len(ids), *_digest(" ".join(map(str, ids)), cache.tokens(ids)))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 

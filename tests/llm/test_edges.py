@@ -105,8 +105,8 @@ def test_packing(spark, docs, none):
 def test_bpe_tree(spark, docs, none):
     path = vocab.tokenizer_path("word_bpe_49k.json")
     full = Tokenizer.from_file(path)
-    for leaf in (50, 1000, bpe_tree.LEAF):
-        got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_tree.encode_decode(docs, leaf=leaf).collect()}
+    for leaf, part in ((50, 1000), (bpe_tree.LEAF, 2048), (bpe_tree.LEAF, bpe_tree.PART)):
+        got = {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_tree.encode_decode(docs, leaf=leaf, part=part).collect()}
         want = set()
         for i, t in ROWS:
             ids = full.encode(t or "", add_special_tokens=False).ids
@@ -124,7 +124,27 @@ def test_bpe_joins_on_awkward_cuts():
         text = "".join(rng.choice(alphabet, 300)) if k % 2 else "".join(rng.choice(list("abcdefgh"), 600))
         ends = bpe_tree.cut_points(len(text), 40)
         parts = [bpe_tree._spans(path, text[a:b], a) for a, b in zip([0, *ends[:-1]], ends)]
-        assert bpe_tree.encode_tree(path, text, ends, parts).tolist() == full.encode(text, add_special_tokens=False).ids
+        assert bpe_tree.encode_tree(path, text, ends, parts)[0].tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_bpe_joins_decide_tokens():
+    """Leaves cut through words: the joins mend them, for any leaf; counted against encoding the leaves alone."""
+    path = vocab.tokenizer_path("word_bpe_49k.json")
+    full, cache = Tokenizer.from_file(path), bpe_tree._chunks(path)
+    rng = np.random.default_rng(5)
+    alphabet = list("aabcdeéÄßfgh  '’s12—日本́\n\t\u00a0") + ["<|endoftext|>", "'ll", "\r\n", "  ", " the "]
+    mended = 0
+    for k in range(300):
+        text = "".join(rng.choice(alphabet, int(rng.integers(1, 400)))) if k % 3 else "".join(rng.choice(list("abcdefgh"), 700)) + " x " + "y" * 300
+        want = full.encode(text, add_special_tokens=False)
+        for leaf in (7, 40, 512):
+            items = [x for x in bpe_tree.encode_items(cache, text, leaf) if x[2]]
+            assert " ".join(x[0] for x in items) == " ".join(map(str, want.ids)) and " ".join(x[1] for x in items) == full.decode(want.ids, skip_special_tokens=False)
+            assert bpe_tree.encode_part(path, text, leaf)[0].tolist() == want.ids
+            ends = bpe_tree.cut_points(len(text), leaf)
+            alone = [i for a, b in zip([0, *ends[:-1]], ends) for i in full.encode(text[a:b], add_special_tokens=False).ids]
+            mended += alone != want.ids
+    assert mended > 500
 
 
 def test_fertility(spark, docs, none):
