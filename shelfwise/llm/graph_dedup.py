@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,19 +18,21 @@ from .components import components
 @dataclass(frozen=True)
 class Graph:
     threshold: float = 0.9
-    #: vectors that have their home in a shard, on average; shards have at most max_shards centroids, found on sample_rows vectors
+    #: vectors that have their home in a shard, on average; centroids at most, found on sample_rows vectors. Where there are more
+    #: vectors, a centroid's are parted by the signs of random projections of what they differ from it
     shard_rows: int = 500
-    max_shards: int = 2048
+    max_centers: int = 2048
     sample_rows: int = 8192
-    #: shards that a vector is a member of, and members from which on a shard is dealt into parts
+    #: shards that a vector is a member of, members from which on a shard is dealt into parts, and queries that a task gets at once
     overlap: int = 4
     part_rows: int = 1500
+    query_rows: int = 1024
     #: neighbours considered and kept by pruning; slack of the pruning; random neighbours added for long edges
     pool: int = 48
     degree: int = 16
     alpha: float = 1.2
     far: int = 12
-    #: width of the greedy search, its entry points, and how far below the threshold the range still expands
+    #: width of the greedy search, its medoids, and how far below the threshold the range still expands
     beam: int = 24
     entries: int = 8
     margin: float = 0.06
@@ -39,23 +41,24 @@ class Graph:
     least_recall: float = 0.98
 
 
-def _unit(packed: pd.Series) -> np.ndarray:
-    x = np.stack([np.frombuffer(v, "<f4") for v in packed]).astype(np.float64)
+def _unit(packed: Iterable[bytes]) -> np.ndarray:
+    x = np.frombuffer(b"".join(packed), "<f8").reshape(len(packed), -1)
+    x = x / np.abs(x).max(1, keepdims=True)  # so that squares of tiny or huge components stay within doubles
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _packed(embeddings: DataFrame) -> DataFrame:
-    """vec_id, vector: little-endian floats; null if the vector is null, zero or holds a null or non-finite component."""
+    """vec_id, vector: little-endian doubles; null if the vector is null, zero or holds a null or non-finite component."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for v in batch.column(1).to_pylist():
-                x = None if v is None or not v or any(c is None for c in v) else np.array(v, "<f4") + np.float32(0)
+                x = None if v is None or not v or any(c is None for c in v) else np.array(v, "<f8") + 0.0
                 out.append(x.tobytes() if x is not None and np.isfinite(x).all() and x.any() else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["vec_id", "vector"])
 
-    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     return rows.mapInArrow(pack, "vec_id long, vector binary")
 
 
@@ -119,11 +122,11 @@ def _padded(sources: np.ndarray, targets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def range_search(x: np.ndarray, queries: np.ndarray, neighbours: np.ndarray, how: Graph) -> np.ndarray:
+def range_search(x: np.ndarray, queries: np.ndarray, neighbours: np.ndarray, starts: tuple[np.ndarray, np.ndarray], how: Graph) -> np.ndarray:
     """Cosines of queries (rows) with the vectors that the search meets; -2 for the others.
 
-    From the medoids on, each query expands the best `beam` vectors met so far and, as soon as some are near the range, all that
-    are within it (less a margin), until nothing new comes.
+    From the medoids and the query's own `starts` (query, vector) on, each query expands the best `beam` vectors met so far and, as
+    soon as some are near the range, all that are within it (less a margin), until nothing new comes.
     """
     n = len(x)
     entry = [int((x @ x.mean(0)).argmax())]
@@ -133,6 +136,7 @@ def range_search(x: np.ndarray, queries: np.ndarray, neighbours: np.ndarray, how
         best = np.maximum(best, x @ x[entry[-1]])
     seen = np.full((len(queries), n), -2.0)
     seen[:, entry] = queries @ x[entry].T
+    seen[starts] = np.einsum("nd,nd->n", queries[starts[0]], x[starts[1]])
     expanded = np.zeros(seen.shape, bool)
     width = min(how.beam, n)
     while True:
@@ -150,108 +154,167 @@ def range_search(x: np.ndarray, queries: np.ndarray, neighbours: np.ndarray, how
             seen.ravel()[flat] = np.einsum("nd,nd->n", queries[flat // n], x[flat % n])
 
 
-def _dealt(reps: DataFrame, centers: np.ndarray, overlap: int, how: Graph) -> DataFrame:
-    """shard, part, vec_id, n, vector, home: members of shards; queries (home) of a shard go to all of its parts."""
+def _home_codes(x: np.ndarray, center: int, centers: np.ndarray, bits: int) -> tuple[int, list[int]]:
+    """The code of a vector among those of its centroid, and its codes across the nearest of the planes that part them."""
+    side = np.random.default_rng(center).normal(size=(bits, len(x))) @ (x - centers[center])
+    code = int(((side > 0) << np.arange(bits)).sum())
+    return code, [code ^ (1 << int(k)) for k in np.argsort(np.abs(side))]
+
+
+def _assigned(reps: DataFrame, centers: np.ndarray, bits: np.ndarray, overlap: int) -> DataFrame:
+    """shard, vec_id, n, vector, home (shard): the shards that each vector is a member of."""
+    fields = pa.schema([("shard", pa.int64()), ("vec_id", pa.int64()), ("n", pa.int64()), ("vector", pa.binary()), ("home", pa.int64())])
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = {"vec_id": [], "n": [], "vector": [], "shard": [], "home": []}
-            for vec_id, n, vector in zip(*(batch.column(c).to_pylist() for c in ("vec_id", "n", "vector")), strict=True):
-                x = np.frombuffer(vector, "<f4").astype(float)
-                if len(x) != centers.shape[1]:
-                    order = [-len(x)]  # vectors of another dimension: a shard to themselves
-                else:
-                    order = np.argsort(-(centers @ x), kind="stable")[:overlap].tolist()
-                for k, shard in enumerate(order):
-                    for name, value in zip(rows, (vec_id, n, vector, shard, k == 0)):
-                        rows[name].append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[c], t) for c, t in zip(rows, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.bool_()))], names=list(rows))
-
-    members = stored(reps.mapInArrow(assign, "vec_id long, n long, vector binary, shard int, home boolean"), "shards")
-    # a row for each shard: at most max_shards and the number of dimensions
-    sizes = F.broadcast(members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.part_rows).cast("int").alias("parts")))
-    return members.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
-
-
-def _search(members: DataFrame, how: Graph) -> DataFrame:
-    """(vec_id, n_links, other, back): links counted, links that connect what a part's links connect, and links to be counted.
-
-    A link between two vectors whose home and part a task has is seen by no other task: it's counted there for both ends, whichever
-    end finds it (other and back are null). Any other link may be found by the task of either end: it's a row of both ends, the
-    smaller first, with what each adds to the other's links, to be counted once (back isn't null).
-    """
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                rows = []
+                for vec_id, n, vector in zip(*(whole.slice(at, 1024).column(c).to_pylist() for c in ("vec_id", "n", "vector")), strict=True):
+                    x = _unit([vector])[0]
+                    if len(x) != centers.shape[1]:
+                        shards = [-len(vector)]  # vectors of another dimension: a shard to themselves
+                    else:
+                        order = np.argsort(-(centers @ x), kind="stable")[:overlap].tolist()
+                        codes = [_home_codes(x, c, centers, bits[c]) for c in order]
+                        shards = [c + len(centers) * code for c, (code, _) in zip(order, codes)] + [order[0] + len(centers) * code for code in codes[0][1][: overlap - 1]]
+                    rows += [(shard, vec_id, n, vector, shards[0]) for shard in shards]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)
+
+    return reps.mapInArrow(assign, "shard long, vec_id long, n long, vector binary, home long")
+
+
+def _grouped_lists(source: np.ndarray, values: np.ndarray, n: int) -> list[list[int]]:
+    """Distinct values of each source 0 .. n - 1."""
+    pairs = np.unique(np.column_stack([source, values]), axis=0)
+    return [v.tolist() for v in np.split(pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(1, n)))]
+
+
+def united_graph(members: DataFrame, how: Graph) -> DataFrame:
+    """vec_id, near, homes: a vector's neighbours, united over its shards, and the home shards of those near the range."""
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("vec_id", ignore_index=True)
-        ids = group["vec_id"].to_numpy()
-        kept = build_graph(_unit(group["vector"]), how)
-        node = np.repeat(np.arange(len(ids)), kept.shape[1])[kept.ravel() >= 0]
-        to = kept.ravel()[kept.ravel() >= 0]
-        both = _padded(np.concatenate([node, to]), np.concatenate([to, node]), len(ids))
-        return pd.DataFrame({"vec_id": ids, "near": [ids[r[r >= 0]].tolist() for r in both]})
+        ids, home = group["vec_id"].to_numpy(), group["home"].to_numpy()
+        x = _unit(group["vector"]).astype(np.float32)
+        kept = build_graph(x, how)
+        node, to = np.repeat(np.arange(len(ids)), kept.shape[1])[kept.ravel() >= 0], kept.ravel()[kept.ravel() >= 0]
+        a, b = np.concatenate([node, to]), np.concatenate([to, node])
+        close = np.einsum("nd,nd->n", x[a], x[b]) >= how.threshold - how.margin
+        return pd.DataFrame({"vec_id": ids, "near": _grouped_lists(a, ids[b], len(ids)), "homes": _grouped_lists(a[close], home[b[close]], len(ids))})
+
+    lists = members.select("shard", "part", "vec_id", "vector", "home").groupBy("shard", "part").applyInPandas(build, "vec_id long, near array<long>, homes array<long>")
+    # as many lists a vector as it has shards
+    return lists.groupBy("vec_id").agg(*(F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("near", "homes")))
 
-    lists = members.select("shard", "part", "vec_id", "vector").groupBy("shard", "part").applyInPandas(build, "vec_id long, near array<long>")
-    # at most `overlap` lists a vector
-    union = stored(lists.groupBy("vec_id").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph")
+
+def _pairs(lists: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of all values of lists."""
+    sizes = lists.map(len).to_numpy()
+    return np.repeat(np.arange(len(lists)), sizes), np.concatenate([np.empty(0, np.int64), *lists])
+
+
+def _places(ids: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of wanted in the sorted ids, and which are there."""
+    at = np.minimum(np.searchsorted(ids, wanted), len(ids) - 1)
+    return at, ids[at] == wanted
+
+
+def _has(lists: pd.Series, columns: np.ndarray) -> np.ndarray:
+    """Which list (row) holds which of the sorted columns."""
+    out = np.zeros((len(lists), len(columns)), bool)
+    row, value = _pairs(lists)
+    at, there = _places(columns, value)
+    out[row[there], at[there]] = True
+    return out
+
+
+def _walked(shard: int, own: pd.DataFrame, asked: pd.DataFrame, how: Graph) -> Iterator[pd.DataFrame]:
+    """What the queries find in one part of a shard: see search_round."""
+    ids, n, x = own["vec_id"].to_numpy(), own["n"].to_numpy(), _unit(own["vector"])
+    source, target = _pairs(own["near"])
+    at, there = _places(ids, target)
+    neighbours = _padded(source[there], at[there], len(ids))
+    q_ids, q_n = asked["vec_id"].to_numpy(), asked["n"].to_numpy()
+    homes = np.unique(np.concatenate([asked["home"].to_numpy(), _pairs(own["homes"])[1]]))
+    of_home = np.searchsorted(homes, asked["home"].to_numpy())
+    leads, before, now = _has(own["homes"], homes), _has(own["seen"], homes), _has(own["new"], homes)
+    known = _has(asked["seen"], homes) | _has(asked["new"], homes)
+    lives_here = own["home"].to_numpy() == shard
+    everyone = np.union1d(ids, q_ids)
+    label, links = np.arange(len(everyone)), np.zeros(len(everyone), np.int64)
+    of_member, of_query = np.searchsorted(everyone, ids), np.searchsorted(everyone, q_ids)
+    for a in range(0, len(asked), 128):
+        some = slice(a, a + 128)
+        row, value = _pairs(asked["near"][some])
+        place, there = _places(ids, value)
+        own_place, own_there = _places(ids, q_ids[some])
+        starts = np.concatenate([row[there], np.flatnonzero(own_there)]), np.concatenate([place[there], own_place[own_there]])
+        found = range_search(x, _unit(asked["vector"][some]), neighbours, starts, how) >= how.threshold
+        found &= ids[None, :] != q_ids[some, None]
+        q, shard_at = np.nonzero((found.astype(np.float32) @ leads.astype(np.float32) > 0) & ~known[some])
+        yield pd.DataFrame({"vec_id": q_ids[some][q], "visit": homes[shard_at]})
+        # a link counts in the first round in which one end visits the other's home, there once: by the smaller id if both do
+        theirs = of_home[some]
+        counted = found & lives_here[None, :] & ~before[:, theirs].T & (~now[:, theirs].T | (q_ids[some, None] < ids[None, :]))
+        links[of_query[some]] += counted @ n
+        np.add.at(links, of_member, counted.T.astype(np.int64) @ q_n[some])
+        for k in np.flatnonzero(counted.any(1)):
+            merged = np.unique(np.append(label[of_member[counted[k]]], label[of_query[a + k]]))
+            if len(merged) > 1:
+                label[np.isin(label, merged)] = merged[0]
+                yield pd.DataFrame({"vec_id": everyone[merged[1:]], "other": everyone[merged[0]]})
+    yield pd.DataFrame({"vec_id": everyone[links > 0], "n_links": links[links > 0]})
+
+
+def search_round(walk: DataFrame, members: DataFrame, how: Graph) -> DataFrame:
+    """(vec_id, n_links), (vec_id, other) or (vec_id, visit): links counted, links that connect what is counted, shards to go on to.
+
+    walk: a row a vector with its neighbours, the shards that it visited (seen) and is to visit now (new). A task has one part of a
+    shard and a bounded block of the queries that visit it. It counts links with vectors at home there, at both ends, and each link
+    in one task only; so counts add up without a row for each link. A query that finds vectors whose neighbours live in a shard that
+    it hasn't visited goes on to that shard in the next round: so the shards' graphs are walked as one.
+    """
+    columns = ["vec_id", "n", "vector", "home", "near", "homes", "seen", "new"]
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        own = group[group["member"]].sort_values("vec_id", ignore_index=True)
-        asked = group[group["home"]].sort_values("vec_id", ignore_index=True)
-        ids, weight = own["vec_id"].to_numpy(), own["n"].to_numpy()
-        edges: list[tuple] = []
-        counted = pd.DataFrame({"vec_id": [], "n_links": []})
-        shared: list[np.ndarray] = []
-        if len(own) and len(asked):
-            x = _unit(own["vector"])
-            lists = own["near"].tolist()
-            source = np.repeat(np.arange(len(ids)), [len(v) for v in lists])
-            target_ids = np.concatenate([np.asarray(v, np.int64) for v in lists]) if len(source) else np.empty(0, np.int64)
-            target = np.minimum(np.searchsorted(ids, target_ids), len(ids) - 1)
-            here = ids[target] == target_ids
-            neighbours = _padded(source[here], target[here], len(ids))
-            group_of: dict[int, int] = {}
-
-            def root(v: int) -> int:
-                while group_of.setdefault(v, v) != v:
-                    group_of[v] = v = group_of[group_of[v]]
-                return v
-
-            asked_ids, asked_weight = asked["vec_id"].to_numpy(), asked["n"].to_numpy()
-            at_home, within = np.isin(ids, asked_ids), np.zeros((len(ids), len(ids)), bool)
-            for a in range(0, len(asked), 128):
-                some = asked_ids[a : a + 128]
-                found = range_search(x, _unit(asked["vector"][a : a + 128]), neighbours, how) >= how.threshold
-                found &= ids[None, :] != some[:, None]
-                place = np.minimum(np.searchsorted(ids, some), len(ids) - 1)
-                here = ids[place] == some
-                inner = found & here[:, None] & at_home[None, :]
-                within[place[here]] = inner[here]
-                q_at, o_at = np.nonzero(found & ~inner)
-                q_id, o_id, q_n, o_n = some[q_at], ids[o_at], asked_weight[a + q_at], weight[o_at]
-                first = q_id < o_id
-                shared.append(np.column_stack([np.where(first, q_id, o_id), np.where(first, o_n, q_n), np.where(first, o_id, q_id), np.where(first, q_n, o_n)]))
-                for q, links in zip(some.tolist(), found):
-                    for other in ids[links].tolist():
-                        r, s = root(q), root(other)
-                        if r != s:
-                            group_of[max(r, s)] = min(r, s)
-                            edges.append((q, 0, other))
-            counted = pd.DataFrame({"vec_id": ids, "n_links": (within | within.T) @ weight})
-            counted = counted[counted["n_links"] > 0]
-        parts = [counted, pd.DataFrame(edges, columns=["vec_id", "n_links", "other"]), pd.DataFrame(np.concatenate([np.empty((0, 4), np.int64), *shared]), columns=["vec_id", "n_links", "other", "back"])]
-        return pd.concat([x.reindex(columns=["vec_id", "n_links", "other", "back"]).astype("Int64") for x in parts], ignore_index=True)
-
-    joined = members.join(union, "vec_id")
-    targets = joined.select("shard", "part", "vec_id", "n", "vector", "near", F.lit(True).alias("member"), F.lit(False).alias("home"))
-    queries = members.where("home").select("shard", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "vec_id", "n", "vector", F.array().cast("array<long>").alias("near"), F.lit(False).alias("member"), F.lit(True).alias("home"))
-    return targets.unionByName(queries).groupBy("shard", "part").applyInPandas(search, "vec_id long, n_links long, other long, back long")
+        own, asked = (group[group["member"] == m].sort_values("vec_id", ignore_index=True) for m in (True, False))
+        parts = list(_walked(int(group["shard"].iloc[0]), own, asked, how)) if len(own) and len(asked) else []
+        return pd.concat([pd.DataFrame({"vec_id": []}), *parts], ignore_index=True).reindex(columns=["vec_id", "n_links", "other", "visit"]).astype("Int64")
+
+    visits = walk.where(F.size("new") > 0).select(*columns, F.explode("new").alias("shard"))
+    parts = members.groupBy("shard").agg(F.max("parts").alias("parts"))
+    shards = parts.join(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.query_rows).cast("int").alias("blocks")), "shard")
+    numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks")).cast("int")
+    queries = visits.join(shards, "shard").withColumn("part", numbers("parts")).select("shard", "part", block.alias("block"), *columns, F.lit(False).alias("member"))
+    targets = members.select("shard", "part", "vec_id").join(shards.select("shard", "blocks"), "shard").join(walk, "vec_id").withColumn("block", numbers("blocks"))
+    both = targets.select("shard", "part", "block", *columns, F.lit(True).alias("member")).unionByName(queries)
+    return both.groupBy("shard", "part", "block").applyInPandas(search, "vec_id long, n_links long, other long, visit long")
+
+
+def walk_graph(reps: DataFrame, centers: np.ndarray, bits: np.ndarray, overlap: int, how: Graph) -> DataFrame:
+    """What all rounds find: (vec_id, n_links) to be added up and (vec_id, other)."""
+    members = stored(_assigned(reps, centers, bits, overlap), "shards")
+    sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.part_rows).cast("int").alias("parts"))
+    members = members.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    union = united_graph(members, how)
+    at_home = members.where("shard = home").select("vec_id", "n", "vector", "home")
+    none = F.array().cast("array<long>")
+    walk = stored(at_home.join(union, "vec_id").select("*", none.alias("seen"), F.array_union(F.array("home"), "homes").alias("new")), "walk")
+    found = stored(search_round(walk, members, how), "found")
+    rounds = found
+    while not found.where("visit is not null").isEmpty():
+        onward = found.where("visit is not null").groupBy("vec_id").agg(F.collect_set("visit").alias("next"))
+        walk = walk.join(onward, "vec_id", "left").withColumn("seen", F.array_union("seen", "new")).withColumn("new", F.coalesce("next", none)).drop("next")
+        walk = stored(walk, "walk")
+        found = stored(search_round(walk, members, how), "found")
+        rounds = rounds.unionByName(found)
+    return rounds
 
 
 def _links(found: DataFrame) -> DataFrame:
-    """(vec_id, links) of what _search finds: each link counts once at both of its ends, whichever found it."""
-    once = found.where("back is not null").distinct()
-    rows = found.where("back is null").select("vec_id", "n_links").unionByName(once.select("vec_id", "n_links")).unionByName(once.select(F.col("other").alias("vec_id"), F.col("back").alias("n_links")))
-    return rows.groupBy("vec_id").agg(F.sum("n_links").alias("links"))
+    """(vec_id, links) of what the rounds count."""
+    return found.where("n_links is not null").groupBy("vec_id").agg(F.sum("n_links").alias("links"))
 
 
 def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
@@ -284,15 +347,16 @@ def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
 
 
 def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
-    """vec_id, n_links, component_id, kept for every vector.
+    """vec_id, n_links, component_id, kept, audited_recall for every vector.
+
+    Equal vectors are one class, whose smallest id stands for it and whose size weighs its links. Representatives are members of the
+    shards of their nearest centroids (found on a bounded sample); shards are parted further where vectors outgrow the centroids.
+    Each part's graph is built and pruned in a task, a vector's lists are united over its shards, and the united graph is walked by
+    range-expanding greedy search in double precision, from the medoids of its home shard on to other shards as far as neighbours
+    within the range lead (search_round). Every task's members and queries are bounded, whatever the shard.
 
-    Equal vectors are one class, whose smallest id stands for it and whose size weighs its links. Representatives are dealt to the
-    shards of their nearest centroids (found on a bounded sample, broadcast within max_shards), each shard's graph is built and
-    pruned in a task, a vector's lists are united over its shards, and every vector is searched for in its home shard by
-    range-expanding greedy search, in double precision; a link that either end's search finds counts at both. A shard with very many members is dealt into parts that each have their own
-    graph, and its queries go to all parts. Tasks count the links that only they see and pass on those that
-    another task may find as well, and the few that connect something new. The recall of vectors with links is
-    audited on a bounded sample against all vectors; while it is below least_recall, vectors become members of twice as many shards.
+    The recall of vectors with links is always audited, on a bounded sample against all vectors, and returned; while it is below
+    least_recall, vectors become members of twice as many shards. A link that the walk doesn't meet is lost: the audit bounds how many.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different
     dimensions with each other. A null vec_id names no vector: n_links 0, component_id null, kept true. Repeated rows count as
@@ -303,25 +367,29 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
     named = packed.where("vec_id is not null and vector is not null")
     classes = stored(named.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "classes")
     total = classes.count()
-    empty = spark.createDataFrame([], "vec_id long, n_links long, other long, back long")
-    found, overlap = empty, how.overlap
+    found, recall = spark.createDataFrame([], "vec_id long, n_links long, other long, visit long"), 1.0
     if total:
         sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample_rows).select("vector").collect()
         size = max(sorted({len(r["vector"]) for r in sample}), key=lambda s: sum(len(r["vector"]) == s for r in sample))
         x = _unit(pd.Series([bytes(r["vector"]) for r in sample if len(r["vector"]) == size]))
-        centers = centroids(x, min(how.max_shards, -(-total // how.shard_rows), len(x)))
+        centers = centroids(x, min(how.max_centers, -(-total // how.shard_rows), len(x)))
+        bits, overlap = np.zeros(len(centers), np.int64), how.overlap
+        if total > 4 * how.shard_rows * len(centers):
+            # a row for each centroid, max_centers at most
+            for r in _assigned(classes, centers, bits, 1).where("home >= 0").groupBy("home").count().collect():
+                bits[r["home"]] = max(0, int(np.ceil(np.log2(r["count"] / (4 * how.shard_rows)))))
         while True:
-            found = stored(_search(_dealt(classes, centers, overlap, how), how), "found")
-            if overlap >= len(centers) or audit_recall(classes, found, how) >= how.least_recall:
+            found = walk_graph(classes, centers, bits, overlap, how)
+            recall = audit_recall(classes, found, how)
+            if recall >= how.least_recall or overlap >= len(centers) + bits.max():
                 break
             overlap *= 2
-    linked = _links(found)
-    groups = components(found.where("other is not null and back is null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    of_class = classes.join(linked, "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    groups = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
+    of_class = classes.join(_links(found), "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     joined = packed.join(of_class, "vector", "left")
     unnamed = F.col("vec_id").isNull()
     out = joined.select("vec_id", F.when(unnamed, 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(~unnamed, F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(float(recall)))
 
 
 def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
