@@ -183,7 +183,7 @@ def join_encodings(path: str, text: str, start: int, cut: int, end: int, left: t
 
 
 def packed_spans(ids: np.ndarray, spans: np.ndarray) -> bytes:
-    """Ids, distances of starts and lengths, compressed: what a part sends to its text's join."""
+    """Ids, distances of starts and lengths of a long chunk at a part's edge, compressed."""
     flat = np.concatenate([ids, np.diff(spans[:, 0], prepend=0), spans[:, 1] - spans[:, 0]])
     small = not len(flat) or flat.max() < 1 << 16
     return bytes([int(small)]) + zlib.compress(flat.astype("<u2" if small else "<u4").tobytes(), 1)
@@ -195,25 +195,6 @@ def unpacked_spans(packed: bytes, start: int) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.column_stack([begins, begins + lengths])
 
 
-def encode_tree(path: str, text: str, ends: list[int], parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and spans of the text from the encodings of its parts (ids and spans), joined level by level."""
-    starts = [0, *ends[:-1]]
-    level = [(s, e, p) for s, e, p in zip(starts, ends, parts)]
-    while len(level) > 1:
-        joined = []
-        for k in range(0, len(level) - 1, 2):
-            (s, m, x), (_, e, y) = level[k : k + 2]
-            joined.append((s, e, join_encodings(path, text, s, m, e, x, y)))
-        level = joined + level[len(level) - len(level) % 2 :]
-    return level[0][2]
-
-
-def encode_part(path: str, text: str, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and spans of a part, from a tree of its own."""
-    ends = cut_points(len(text), leaf)
-    return encode_tree(path, text, ends, [_spans(path, text[a:b], a) for a, b in zip([0, *ends[:-1]], ends)])
-
-
 def _inner_join(cache: Chunks, text: str, a: int, cut: int, b: int, left: tuple, right: tuple) -> tuple:
     """The item of the chunk text[a:b] from those of text[a:cut] and text[cut:b], joined token by token."""
     sides = (x[3:] if len(x) > 3 else _spans(cache.path, text[s:e], s) for x, s, e in ((left, a, cut), (right, cut, b)))
@@ -243,17 +224,22 @@ def join_items(cache: Chunks, text: str, start: int, cut: int, end: int, left: l
         reach *= 2
 
 
+def joined_level(cache: Chunks, text: str, level: list[tuple[int, int, list[tuple]]]) -> list[tuple]:
+    """The items of the whole text from those of its parts (start, end, items), whose number is a power of two, joined level by level."""
+    while len(level) > 1:
+        level = [(s, e, join_items(cache, text, s, m, e, x, y)) for (s, m, x), (_, e, y) in zip(level[::2], level[1::2])]
+    return level[0][2]
+
+
 def encode_items(cache: Chunks, text: str, leaf: int = LEAF) -> list[tuple]:
     """The items of a whole text, by its tree."""
     text = text.replace("\n", " ")  # white space is in no token
     ends = cut_points(len(text), leaf)
-    level = [(a, b, cache.items(text[a:b])) for a, b in zip([0, *ends[:-1]], ends)]
-    while len(level) > 1:
-        level = [(s, e, join_items(cache, text, s, m, e, x, y)) for (s, m, x), (_, e, y) in zip(level[::2], level[1::2])]
-    return level[0][2]
+    return joined_level(cache, text, [(a, b, cache.items(text[a:b])) for a, b in zip([0, *ends[:-1]], ends)])
 
 
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+_PART = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("part", pa.int32()), ("start", pa.int64()), ("text", pa.string()), ("ids", pa.binary()), ("first", pa.binary()), ("last", pa.binary())])
 _DDL = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -295,37 +281,47 @@ def encode_decode(documents: DataFrame, path: str | None = None, leaf: int = LEA
                     yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in ((doc_id, pa.int64()), (key, pa.int64()), (k, pa.int32()), (a, pa.int64()), (text[a:b], pa.string()))], names=["doc_id", "key", "part", "start", "text"])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = _chunks(path)
         for batch in batches:
             for *same, start, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "part", "start", "text")), strict=True):
-                packed = packed_spans(*encode_part(path, text, leaf))
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((*same, start, text, packed), (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string(), pa.binary()))], names=["doc_id", "key", "part", "start", "text", "packed"])
+                items = encode_items(cache, text, leaf)
+                # the ids of every chunk, and the spans of a long chunk at either edge, which goes on in the next part
+                ids = zlib.compress("\n".join(["", *(x[0] for x in items)]).encode(), 1)
+                first, last = (packed_spans(*x[3:]) if len(x) > 3 else None for x in (items[0], items[-1])) if items else (None, None)
+                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*same, start, text, ids, first, last), _PART)], schema=_PART)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, now, doc, own = _chunks(path), None, None, []
 
+        def items_of(start: int, ids: bytes, first: bytes | None, last: bytes | None) -> list[tuple]:
+            items: list[tuple] = [(x, "", 0) for x in zlib.decompress(ids).decode().split("\n")[1:]]
+            for at, packed in ((0, first), (-1, last)):
+                if packed:
+                    items[at] = (items[at][0], "", 0, *unpacked_spans(packed, start))
+            return items
+
         def close() -> pa.RecordBatch:
-            text = "".join(x[1] for x in own)
-            made = []
-            for start, _, packed in own:
-                made.append(unpacked_spans(packed, start))
-            ids = encode_tree(path, text, [x[0] for x in own[1:]] + [len(text)], made)[0].tolist()
-            row = (doc, len(ids), *_digest(" ".join(map(str, ids)), cache.tokens(ids)))
+            text = "".join(x[1] for x in own).replace("\n", " ")
+            level = [(x[0], x[0] + len(x[1]), items_of(x[0], *x[2:])) for x in own]
+            found = [x[0] for x in joined_level(cache, text, level) if x[0]]
+            ids = list(map(int, " ".join(found).split()))
+            row = (doc, len(ids), *_digest(" ".join(found), cache.tokens(ids)))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _SCHEMA)], schema=_SCHEMA)
 
         for batch in batches:
-            for doc_id, key, start, text, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "start", "text", "packed")), strict=True):
+            for doc_id, key, *part_row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "start", "text", "ids", "first", "last")), strict=True):
                 if key != now and own:
                     yield close()
                     own.clear()
                 now, doc = key, doc_id
-                own.append((start, text, packed))
+                own.append(part_row)
         if own:
             yield close()
 
     # written before its keys are used: a rerun can't give a row another key
     whole = stored(rows.where(long).withColumn("key", F.monotonically_increasing_id()), "long-texts")
     cut = whole.mapInArrow(parts, "doc_id long, key long, part int, start long, text string")
-    coded = cut.repartition(F.xxhash64("key", "part")).mapInArrow(encode, "doc_id long, key long, part int, start long, text string, packed binary")
+    coded = cut.repartition(F.xxhash64("key", "part")).mapInArrow(encode, "doc_id long, key long, part int, start long, text string, ids binary, first binary, last binary")
     joined = coded.repartition("key").sortWithinPartitions("key", "part").mapInArrow(join, _DDL)
     return rows.where(~long).mapInArrow(short, _DDL).unionByName(joined)
 

@@ -50,7 +50,6 @@ class WordHashes(dict):
         return value
 
 
-_HASHES = WordHashes()
 _ACTIVE: dict = {}
 
 
@@ -74,7 +73,7 @@ def splitmix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), dtype=np.uint64, count=len(words))
+    return np.fromiter(map(worker_cache("hashes", WordHashes).__getitem__, words), dtype=np.uint64, count=len(words))
 
 
 def windows(hashes: np.ndarray, width: int) -> np.ndarray:

@@ -115,18 +115,6 @@ def test_bpe_tree(spark, docs, none):
     assert bpe_tree.encode_decode(none).count() == 0
 
 
-def test_bpe_joins_on_awkward_cuts():
-    path = vocab.tokenizer_path("word_bpe_49k.json")
-    full = Tokenizer.from_file(path)
-    rng = np.random.default_rng(4)
-    alphabet = list("aabcdeéÄßfgh '’s12—日本́\n") + ["<|endoftext|>", "'ll"]
-    for k in range(60):
-        text = "".join(rng.choice(alphabet, 300)) if k % 2 else "".join(rng.choice(list("abcdefgh"), 600))
-        ends = bpe_tree.cut_points(len(text), 40)
-        parts = [bpe_tree._spans(path, text[a:b], a) for a, b in zip([0, *ends[:-1]], ends)]
-        assert bpe_tree.encode_tree(path, text, ends, parts)[0].tolist() == full.encode(text, add_special_tokens=False).ids
-
-
 def test_bpe_joins_decide_tokens():
     """Leaves cut through words: the joins mend them, for any leaf; counted against encoding the leaves alone."""
     path = vocab.tokenizer_path("word_bpe_49k.json")
@@ -140,13 +128,25 @@ def test_bpe_joins_decide_tokens():
         for leaf in (7, 40, 512):
             items = [x for x in bpe_tree.encode_items(cache, text, leaf) if x[2]]
             assert " ".join(x[0] for x in items) == " ".join(map(str, want.ids)) and " ".join(x[1] for x in items) == full.decode(want.ids, skip_special_tokens=False)
-            assert bpe_tree.encode_part(path, text, leaf)[0].tolist() == want.ids
             ends = bpe_tree.cut_points(len(text), leaf)
             alone = [i for a, b in zip([0, *ends[:-1]], ends) for i in full.encode(text[a:b], add_special_tokens=False).ids]
             mended += alone != want.ids
     assert mended > 500
 
 
+def test_bpe_parts_of_long_texts(spark):
+    """Texts over many parts: words, one unsplit run, a run that begins and ends inside parts, white space only."""
+    full = Tokenizer.from_file(vocab.tokenizer_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(9)
+    run = "".join(rng.choice(list("abcdeéß日"), 3000))
+    texts = ["\n".join([WORDS, run, WORDS]), run * 2, " " * 5000, WORDS.replace(" ", "\t"), "a" + " " * 3000 + "b " + run[:700], WORDS * 3]
+    docs = documents(spark, list(enumerate(texts)))
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe_tree.encode_decode(docs, leaf=60, part=500).collect()}
+    for k, text in enumerate(texts):
+        ids = full.encode(text, add_special_tokens=False).ids
+        assert got[k] == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(full.decode(ids, skip_special_tokens=False).encode()).hexdigest())
+
+
 def test_fertility(spark, docs, none):
     got = {r.doc_id: r for r in fertility.quality_rules(docs).collect()}
     assert fertility.quality_rules(none).count() == 0
