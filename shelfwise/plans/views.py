@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.io import stored
 from ..sources.roles import Roles
 from .ledger import ledger, write_offs
 
@@ -34,18 +35,37 @@ def item_performance(sales: DataFrame, calendar: DataFrame) -> DataFrame:
     totals = sales.groupBy("item_key", "category", "maker").agg(
         F.sum("quantity").alias("units"), F.sum("total_c").alias("revenue_c"), F.countDistinct("transaction_id").alias("transaction_count"), F.countDistinct("d").alias("sales_days"),
     )
-    # ranks need all items in order: one row an item
-    everything = W.partitionBy()
-    by = lambda c: everything.orderBy(F.desc(c))
-    place = F.percent_rank().over(everything.orderBy("units"))
+    ranked = totals
+    for c in ("revenue_c", "units", "transaction_count"):
+        ranked = with_rank(ranked, c)
+    whole = totals.agg(F.count(F.lit(1)).alias("n_items"), F.sum("revenue_c").alias("all_revenue_c"))
     days = calendar.agg(F.count(F.lit(1)).alias("n_days"))
-    return totals.crossJoin(F.broadcast(days)).select(
+    # percent_rank from the low end: items with fewer units, of all others
+    below = F.col("n_items") - (F.col("units_rank") - 1) - F.col("units_ties")
+    place = F.when(F.col("n_items") > 1, below / (F.col("n_items") - 1)).otherwise(0.0)
+    return ranked.crossJoin(F.broadcast(days)).crossJoin(F.broadcast(whole)).select(
         "item_key", "category", "maker", "units", "revenue_c", "transaction_count", "sales_days", (F.col("units") / F.col("n_days")).alias("avg_daily_units"),
-        (100 * F.col("revenue_c") / F.sum("revenue_c").over(everything)).alias("revenue_share_pct"), F.rank().over(by("revenue_c")).alias("revenue_rank"), F.rank().over(by("units")).alias("units_rank"),
-        F.rank().over(by("transaction_count")).alias("frequency_rank"), F.when(place >= 0.8, "FAST").when(place >= 0.5, "MEDIUM").otherwise("SLOW").alias("mover_class"),
+        (100 * F.col("revenue_c") / F.col("all_revenue_c")).alias("revenue_share_pct"), F.col("revenue_c_rank").alias("revenue_rank"), "units_rank",
+        F.col("transaction_count_rank").alias("frequency_rank"), F.when(place >= 0.8, "FAST").when(place >= 0.5, "MEDIUM").otherwise("SLOW").alias("mover_class"),
     )
 
 
+def with_rank(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
+    """rows with `<column>_rank`, from the largest value on, and `<column>_ties`, rows of the same value.
+
+    Values are cut into buckets at approximate quantiles; a rank is the rows of higher buckets and the rank within the bucket. So no
+    task sorts all rows, and what is broadcast is a row a bucket.
+    """
+    edges = rows.agg(F.array_distinct(F.percentile_approx(column, [k / buckets for k in range(1, buckets)])).alias("_edges"))
+    placed = rows.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(column)))).drop("_edges")
+    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a bucket
+    ahead = sizes.select("_bucket", (F.sum("_n").over(W.orderBy(F.desc("_bucket"))) - F.col("_n")).alias("_ahead"))
+    inside = W.partitionBy("_bucket")
+    out = placed.join(F.broadcast(ahead), "_bucket").withColumn(f"{column}_rank", F.col("_ahead") + F.rank().over(inside.orderBy(F.desc(column))))
+    return out.withColumn(f"{column}_ties", F.count(F.lit(1)).over(W.partitionBy("_bucket", column))).drop("_bucket", "_ahead")
+
+
 def site_performance(sales: DataFrame) -> DataFrame:
     totals = sales.groupBy("site_key", "site").agg(F.sum("quantity").alias("units"), F.sum("total_c").alias("revenue_c"), F.countDistinct("transaction_id").alias("transactions"))
     everything = W.partitionBy()
@@ -110,6 +130,10 @@ def expiry_risk(r: Roles) -> DataFrame:
     )
 
 
+#: What the mart keeps once it was asked for: the dense stock facts, the lots and the ranks of all items.
+KEPT = ("t_ledger", "t_lots", "v_item")
+
+
 @dataclass(frozen=True)
 class Mart:
     """Roles with the ledger and the views, by the names that reports use."""
@@ -121,10 +145,14 @@ class Mart:
         made = {
             "t_sales": lambda: r.sales, "t_receipts": lambda: r.receipts, "t_batches": lambda: r.batches, "t_calendar": lambda: r.calendar,
             "t_ledger": lambda: ledger(r), "t_lots": lambda: write_offs(r), "v_monthly": lambda: monthly_sales(r.sales), "v_item": lambda: item_performance(r.sales, r.calendar),
-            "v_site": lambda: site_performance(r.sales), "v_demand": lambda: demand_stats(ledger(r), r.calendar), "v_stockout": lambda: stockout_summary(ledger(r)),
-            "v_stock": lambda: current_stock(ledger(r)), "v_expiry": lambda: expiry_risk(r),
+            "v_site": lambda: site_performance(r.sales), "v_demand": lambda: demand_stats(self.table("t_ledger"), r.calendar), "v_stockout": lambda: stockout_summary(self.table("t_ledger")),
+            "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r),
         }
-        return made[name]()
+        if r.kept is None or name not in KEPT:
+            return made[name]()
+        if name not in r.kept:
+            r.kept[name] = stored(made[name](), f"mart-{name}")
+        return r.kept[name]
 
 
 VIEW_SQL = """

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import tempfile
 import time
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,20 +47,65 @@ def fingerprint(df: DataFrame) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*df.columns).cast("decimal(38,0)")).alias("hash_sum"))
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; where that is unset, a temporary one in local mode and an error on a cluster."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="shelfwise-shared-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """df written once to the shared folder and read from there."""
+    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def source_state(spark: SparkSession, paths: list[str]) -> tuple:
+    """(path, bytes, time of change) of every file under the paths: another state is another source."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs.Path, []
+    for path in paths:
+        at = hadoop(path)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        found = fs.listFiles(at, True)
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(out))
+
+
 def write_mart(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables under a staging folder that takes the mart's place only when every one is written."""
+    """All tables as a new version of the mart, which readers see once every one is written.
+
+    A version is a folder of its own; the pointer file that names it is replaced by one rename, and the version before the last one
+    is kept, so that there is a whole mart at any time, whatever fails.
+    """
     spark = next(iter(tables.values())).sparkSession
+    version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:8]}"
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}.staging/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(hadoop(path), True)
-    if not fs.rename(hadoop(f"{path}.staging"), hadoop(path)):
-        raise OSError(f"{path} could not be replaced")
+        df.write.parquet(f"{path}/{version}/{name}")
+    hadoop, options = spark._jvm.org.apache.hadoop.fs, spark._jvm.org.apache.hadoop.fs.Options.Rename
+    where = hadoop.Path(path)
+    context = hadoop.FileContext.getFileContext(where.toUri() if where.toUri().getScheme() else hadoop.Path(f"file:{path}").toUri(), spark._jsc.hadoopConfiguration())
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    pointer = fs.create(hadoop.Path(f"{path}/{version}.current"), True)
+    pointer.write(version.encode())
+    pointer.close()
+    kinds = spark.sparkContext._gateway.new_array(options, 1)
+    kinds[0] = options.OVERWRITE
+    context.rename(hadoop.Path(f"{path}/{version}.current"), hadoop.Path(f"{path}/CURRENT"), kinds)
+    versions = sorted(f.getPath().getName() for f in fs.listStatus(where) if f.isDirectory() and f.getPath().getName().startswith("v-"))
+    for old in versions[:-2]:
+        fs.delete(hadoop.Path(f"{path}/{old}"), True)
 
 
 def read_mart(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
-    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    return {name: spark.read.parquet(f"{path}/{version}/{name}") for name in names}
 
 
 def run_reports(spark: SparkSession, reports: dict[str, Callable[[], DataFrame]], path: str, names: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .io import source_state, stored
+
 
 def cents(c: Column) -> Column:
     return F.round(c * 100).cast("long")
@@ -56,6 +58,8 @@ class Roles:
     receipts: DataFrame
     batches: DataFrame
     calendar: DataFrame
+    #: tables derived from the roles that are stored beside them, by name; None where the roles aren't stored
+    kept: dict[str, DataFrame] | None = None
 
     def tables(self) -> dict[str, DataFrame]:
         return {"sales": self.sales, "receipts": self.receipts, "batches": self.batches, "calendar": self.calendar}
@@ -72,19 +76,36 @@ def calendar(days: DataFrame) -> DataFrame:
     )
 
 
+#: The stored marts of this process, by application, folder and state of the sources.
+_MARTS: dict[tuple, Roles] = {}
+SOURCES = ("lineitem", "orders", "customer", "nation", "region", "part")
+
+
 def roles(spark: SparkSession, sf_dir: str) -> Roles:
+    """The roles, stored as a mart: joined and written once as long as the source files stay as they are, then read from there."""
+    key = spark.sparkContext.applicationId, sf_dir, source_state(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES])
+    if key not in _MARTS:
+        for old in [k for k in _MARTS if k[:2] == key[:2]]:
+            del _MARTS[old]
+        lines = stored(_lines(spark, sf_dir).withColumn("day_no", F.unix_date("d").cast("long")), "mart-lines")
+        made = derived(lines)
+        _MARTS[key] = Roles(made.sales, made.receipts, stored(made.batches, "mart-batches"), stored(made.calendar, "mart-calendar"), {})
+    return _MARTS[key]
+
+
+def derived(lines: DataFrame) -> Roles:
     """Sales are the open lines, receipts the fulfilled ones; a batch is what one supplier delivers of one item."""
-    lines = _lines(spark, sf_dir)
-    sales = lines.where("st = 'O'").drop("st", "cost_c", "p_size").withColumn("day_no", F.unix_date("d").cast("long"))
+    sales = lines.where("st = 'O'").drop("st", "cost_c", "p_size")
     receipts = (
-        lines.where("st = 'F'").withColumn("total_c", F.col("quantity") * F.col("cost_c")).withColumn("day_no", F.unix_date("d").cast("long"))
+        lines.where("st = 'F'").withColumn("total_c", F.col("quantity") * F.col("cost_c"))
         .select("transaction_id", "d", "day_no", "site_key", "site", "area", "item_key", "category", "maker", "supplier_key", "batch_id", "quantity", "cost_c", "total_c", "p_size")
     )
     batches = receipts.groupBy("batch_id").agg(
         F.min("item_key").alias("item_key"), F.min("supplier_key").alias("supplier_key"), F.min("category").alias("category"), F.min("maker").alias("maker"),
         F.min("day_no").alias("first_day_no"), (F.max("day_no") + 180 + F.max("p_size") * 10).alias("expiry_day_no"), F.max("cost_c").alias("cost_c"), F.sum("quantity").alias("initial_quantity"),
     )
-    return Roles(sales, receipts, batches, calendar(sales.select("d").unionByName(receipts.select("d"))))
+    # lines of either status are sales or receipts, so the calendar needs one scan of their dates
+    return Roles(sales, receipts, batches, calendar(lines.where("st in ('O', 'F')").select("d")))
 
 
 ROLE_SQL = """
