@@ -1,4 +1,4 @@
-"""Baskets and rules, series anomalies, lots, episodes: SQL over roles; see forest.py and segments.py for the fitted models."""
+"""Baskets and rules, series anomalies, lots, episodes: SQL over roles; see models.py for the fitted ones."""
 
 from __future__ import annotations
 
@@ -14,47 +14,53 @@ PAIRS = f"(select a.item as i1, b.item as i2, count(*) as c from {KEPT} a join {
 TRIPLES = f"""(select a.item as i1, b.item as i2, c.item as i3, count(*) as c from {KEPT} a join {KEPT} b on b.transaction_id = a.transaction_id and a.item < b.item
   join {KEPT} c on c.transaction_id = b.transaction_id and b.item < c.item group by a.item, b.item, c.item having count(*) >= (select ceil({SUPPORT} * n) from {COUNT} n3))"""
 ITEMSETS = f"(select item as itemset, 1 as size, c from {FREQUENT} a1 union all select concat(i1, '|', i2), 2, c from {PAIRS} a2 union all select concat(i1, '|', i2, '|', i3), 3, c from {TRIPLES} a3)"
+# every way to part an itemset of two or three into antecedent and consequent
+_PARTS = {PAIRS: (("i1", "i2"), ("i2", "i1")), TRIPLES: (("i1", "concat(i2, '|', i3)"), ("i2", "concat(i1, '|', i3)"), ("i3", "concat(i1, '|', i2)"), ("concat(i2, '|', i3)", "i1"), ("concat(i1, '|', i3)", "i2"), ("concat(i1, '|', i2)", "i3"))}
+SPLITS = "(" + " union all ".join(f"select {a} as antecedent, {b} as consequent, c from {sets} p{k}" for k, (sets, sides) in enumerate(_PARTS.items()) for a, b in sides) + ")"
 RULES = f"""(select r.*, c / n as support, c / ca as confidence, c * n / (ca * cb) as lift, c / n - (ca / n) * (cb / n) as leverage, (1 - cb / n) / nullif(1 - c / ca, 0) as conviction from (
-  select p.i1 as antecedent, p.i2 as consequent, p.c, a.c as ca, b.c as cb, n.n from {PAIRS} p join {FREQUENT} a on a.item = p.i1 join {FREQUENT} b on b.item = p.i2 cross join {COUNT} n
-  union all select p.i2, p.i1, p.c, b.c, a.c, n.n from {PAIRS} p join {FREQUENT} a on a.item = p.i1 join {FREQUENT} b on b.item = p.i2 cross join {COUNT} n) r where c >= {CONFIDENCE} * ca)"""
+  select p.antecedent, p.consequent, p.c, a.c as ca, b.c as cb, a.size as antecedent_size, b.size as consequent_size, n.n from {SPLITS} p join {ITEMSETS} a on a.itemset = p.antecedent join {ITEMSETS} b on b.itemset = p.consequent cross join {COUNT} n
+  ) r where c >= {CONFIDENCE} * ca and c * n > ca * cb)"""
 
-PAIR = "partition by site_key, maker order by day_no"
-# sums over whole windows only; the 28 days before the last week are the baseline
-SERIES = f"""(select *, case when n_seen >= 35 then u7 end as units_7d, case when n_seen >= 35 then (u35 - u7) / 4e0 end as usual_7d, case when n_seen >= 35 and u35 > u7 then (sqrt(u7 + 0.375e0) - sqrt((u35 - u7) / 4e0 + 0.375e0)) * 2 end as z7 from (
-  select site, maker, day_no, sold, closing, value_c, row_number() over ({PAIR}) as n_seen, {total('sold', f'over ({PAIR} rows between 6 preceding and current row)')} as u7,
-    {total('sold', f'over ({PAIR} rows between 34 preceding and current row)')} as u35, {total('case when sold > 0 then 1 else 0 end', f'over ({PAIR})')} as island, site_key from t_ledger) s0)"""
-FLAGS = f"""(select *, case when z7 >= 5 and units_7d >= 5 and n_seen > 70 then true else false end as spike, case when z7 <= -5 and usual_7d >= 5 and n_seen > 70 then true else false end as drop_,
-  case when zero_run = 7 and n_seen > 70 then true else false end as zero_run_onset from (select *, case when sold = 0 then row_number() over (partition by site_key, maker, island order by day_no) - case when island > 0 then 1 else 0 end else 0 end as zero_run from {SERIES} s1) s2)"""
-KIND = "case when zero_run_onset then 'stockout_run' when spike then 'spike' when drop_ then 'drop' end"
-LOTS = f"""(select *, case when lot_no > 8 then initial_quantity / nullif(prior_sum / (lot_no - 1), 0) end as ratio_to_prior, case when lot_no > 8 then prior_max end as most_before from (
-  select batch_id, item_key, first_day_no, initial_quantity, row_number() over (partition by item_key order by first_day_no, batch_id) as lot_no,
-    {total('initial_quantity', 'over (partition by item_key order by first_day_no, batch_id rows between unbounded preceding and 1 preceding)')} as prior_sum,
-    max(initial_quantity) over (partition by item_key order by first_day_no, batch_id rows between unbounded preceding and 1 preceding) as prior_max from t_batches) l0)"""
-ANOMALIES = f"(select 'series' as grain, site, maker, day_no, {KIND} as anomaly_type from {FLAGS} f1 where {KIND} is not null union all select 'lot', 'ALL', cast(item_key as varchar(20)), first_day_no, 'large_lot' from {LOTS} l1 where ratio_to_prior >= 2.5)"
-EPISODES = f"""(select site, maker, anomaly_type, episode, min(day_no) as first_day, max(day_no) as last_day, count(*) as days from (select *, {total('fresh', 'over (partition by site, maker, anomaly_type order by day_no)')} as episode
-  from (select *, case when day_no - lag(day_no) over (partition by site, maker, anomaly_type order by day_no) <= 3 then 0 else 1 end as fresh from {ANOMALIES} a where grain = 'series') b) c group by site, maker, anomaly_type, episode)"""
-# events to hold detectors against: the days with by far the most units of a series
-EVENTS = f"(select site, maker, day_no as start_day, day_no + 6 as end_day from (select site, maker, day_no, sold, row_number() over (partition by site, maker order by sold desc, day_no) as place from t_ledger) e0 where place = 1 and sold >= 60)"
+#: Robust z of the week and of the day, units that a movement has at least, days without stock that make a pattern, days of history.
+Z7, ZD, BIG, RUN, HISTORY, EPISODE_GAP = 5, 6, 5, 7, 70, 3
+KNOWN = f"n_seen > {HISTORY} and z7 is not null and zd is not null"
+# sales are censored while there is no stock: a drop needs stock on every day of the week
+FLAGS = f"""(select *, {KNOWN} and ((z7 >= {Z7} and units_7d - usual_7d >= {BIG}) or (zd >= {ZD} and sold - usual_day >= {BIG})) as spike, {KNOWN} and z7 <= -{Z7} and usual_7d - units_7d >= {BIG} and empty_days_7 = 0 as drop_flag,
+  {KNOWN} and stock_run = {RUN} as stockout_onset from v_series)"""
+# half of the threshold is enough to name the type; the last match counts
+KIND = f"case when stock_run >= {RUN} then 'stockout_pattern' when z7 >= {Z7} / 2e0 and units_7d - usual_7d >= {BIG} then 'demand_spike' when z7 <= -{Z7} / 2e0 and usual_7d - units_7d >= {BIG} and empty_days_7 = 0 then 'demand_drop' else 'unclassified' end"
+LOT_KIND = "case when quantity_z >= 5 and quantity >= 2.5e0 * quantity_median then 'bulk_purchase' when gap_z >= 5 and gap >= 2 * gap_median then 'supply_gap' when abs(cost_z) >= 5 and abs(cost_c - cost_median) >= 0.25e0 * cost_median then 'cost_change' end"
+ANOMALIES = f"(select grain, site, maker, day_no, {KIND} as anomaly_type from {FLAGS} f1 where spike or drop_flag or stockout_onset union all select 'lot', 'ALL', cast(item_key as varchar(20)), day_no, {LOT_KIND} from v_lotseries l1 where {LOT_KIND} is not null)"
+EPISODES = f"""(select grain, site, maker, anomaly_type, episode, min(day_no) as first_day, max(day_no) as last_day, count(*) as days from (select *, {total('fresh', 'over (partition by grain, site, maker, anomaly_type order by day_no)')} as episode
+  from (select *, case when day_no - lag(day_no) over (partition by grain, site, maker, anomaly_type order by day_no) <= {EPISODE_GAP} then 0 else 1 end as fresh from (select distinct * from {ANOMALIES} a0) a) b) c group by grain, site, maker, anomaly_type, episode)"""
+# events to hold detectors against: the tables hold no labelled ones, so the day with most units of a series and its longest time without stock
+EVENTS = f"""(select 'demand_spike' as event_type, site, maker, day_no as start_day, day_no + 6 as end_day from (select *, row_number() over (partition by site, maker order by sold desc, day_no) as place from v_series where grain = 'site_maker') e0 where place = 1 and sold >= 60
+  union all select 'stockout_pattern', site, maker, day_no - stock_run + 1, day_no + 6 from (select *, row_number() over (partition by site, maker order by stock_run desc, day_no) as place from v_series where grain = 'site_maker') e1 where place = 1 and stock_run >= {RUN})"""
+HITS = f"""(select e.event_type, e.site, e.maker, max(case when x.anomaly_type = e.event_type then 1 else 0 end) as strict, max(case when x.anomaly_type is null then 0 else 1 end) as any_hit from {EVENTS} e
+  left join {EPISODES} x on x.site = e.site and x.maker = e.maker and x.first_day <= e.end_day and x.last_day >= e.start_day group by e.event_type, e.site, e.maker)"""
+MATCHED = f"""(select x.anomaly_type, x.site, x.maker, x.first_day, max(case when e.event_type is null then 0 else 1 end) as matched from {EPISODES} x
+  left join {EVENTS} e on e.event_type = x.anomaly_type and e.site = x.site and e.maker = x.maker and x.first_day <= e.end_day and x.last_day >= e.start_day
+  where x.grain = 'site_maker' group by x.anomaly_type, x.site, x.maker, x.first_day)"""
 
 TEXTS = {
     "N1": f"select transaction_id, item from {BASKETS} b",
     "N2": f"select itemset, size, c as support_count, c / n as support from {ITEMSETS} i cross join {COUNT} n",
-    "N3": f"select r.antecedent, r.consequent, r.c as support_count, r.support, r.confidence, r.lift, r.leverage, r.conviction, case when q.antecedent is null then false else true end as reverse_rule_present from {RULES} r left join {RULES} q on q.antecedent = r.consequent and q.consequent = r.antecedent",
+    "N3": f"select r.antecedent, r.consequent, r.antecedent_size, r.consequent_size, r.c as support_count, r.ca as antecedent_count, r.cb as consequent_count, r.support, r.confidence, r.lift, r.leverage, r.conviction, case when q.antecedent is null then false else true end as reverse_rule_present from {RULES} r left join {RULES} q on q.antecedent = r.consequent and q.consequent = r.antecedent",
     "N4": f"select s.support, i.size, count(*) as itemsets from {ITEMSETS} i cross join {COUNT} n join (select 0.002 as support union all select 0.004 union all select 0.008) s on i.c >= ceil(s.support * n.n) group by s.support, i.size",
-    "N5": f"select antecedent, consequent, confidence, lift from (select *, row_number() over (partition by least(antecedent, consequent), greatest(antecedent, consequent) order by confidence desc, antecedent) as place from {RULES} r) x where place = 1 order by lift desc, antecedent, consequent limit 15",
+    "N5": f"select antecedent, consequent, confidence, lift from (select *, row_number() over (partition by least(antecedent, consequent), greatest(antecedent, consequent) order by confidence desc, antecedent) as place from {RULES} r where antecedent_size = 1 and consequent_size = 1) x where place = 1 order by lift desc, antecedent, consequent limit 15",
     "N6": f"""select p.maker, p.units, p.revenue_c, p.items, d.stockout_days, k.closing, k.value_c, r.lots, r.bought, r.average_cost_c, w.weekly_units, w.best_week from (select maker, {total('units')} as units, {total('revenue_c')} as revenue_c, count(*) as items from v_item group by maker) p
       join (select maker, {total('stockout_days')} as stockout_days from v_stockout group by maker) d on d.maker = p.maker join (select maker, {total('closing')} as closing, {total('value_c')} as value_c from v_stock group by maker) k on k.maker = p.maker
       join (select maker, count(*) as lots, {total('quantity')} as bought, {total('total_c')} / {total('quantity')} as average_cost_c from t_receipts group by maker) r on r.maker = p.maker
       join (select maker, {total('week')} / count(*) as weekly_units, max(week) as best_week from (select maker, iso_year, iso_week, {total('sold')} as week from t_ledger l join t_calendar c on c.day_no = l.day_no group by maker, iso_year, iso_week having count(distinct l.day_no) = 7) w0 group by maker) w on w.maker = p.maker""",
-    "N7": f"select site, maker, day_no, units_7d, usual_7d, z7, u7 / nullif(u35, 0) as ratio_7_35 from {SERIES} s where z7 is not null",
-    "N9": f"select site, maker, day_no, spike, drop_ as drop_flag, zero_run_onset from {FLAGS} f where spike or drop_ or zero_run_onset",
-    "N10": f"select anomaly_type, site, count(*) as n, min(day_no) as first_day from (select site, day_no, {KIND} as anomaly_type from {FLAGS} f) x where anomaly_type is not null group by anomaly_type, site",
-    "N11": f"select batch_id, item_key, lot_no, initial_quantity, ratio_to_prior, case when ratio_to_prior >= 2.5 then 'large_lot' when ratio_to_prior <= 0.2 then 'small_lot' when initial_quantity > most_before then 'record_lot' else 'normal' end as lot_label from {LOTS} l where ratio_to_prior is not null",
-    "N12": f"select site, maker, anomaly_type, episode, first_day, last_day, days from {EPISODES} e",
-    "N13": f"""select count(*) as events, {total('strict')} as strict_hits, {total('any_hit')} as any_hits, {total('strict')} / nullif(count(*), 0) as strict_recall from (select e.site, e.maker, e.start_day,
-        max(case when x.anomaly_type = 'spike' then 1 else 0 end) as strict, max(case when x.anomaly_type is null then 0 else 1 end) as any_hit from {EVENTS} e
-        left join {EPISODES} x on x.site = e.site and x.maker = e.maker and x.first_day <= e.end_day and x.last_day >= e.start_day group by e.site, e.maker, e.start_day) h""",
+    "N7": "select grain, site, maker, day_no, units_7d, usual_7d, z7, usual_day, zd, (sold + 1) / (usual_day + 1) as ratio_to_usual_day, (units_7d + 1) / (usual_7d + 1) as ratio_to_usual_week, empty_days_7, stock_run from v_series where z7 is not null",
+    "N9": f"select grain, site, maker, day_no, spike, drop_flag, stockout_onset from {FLAGS} f where spike or drop_flag or stockout_onset",
+    "N10": f"select anomaly_type, grain, site, count(*) as n, min(day_no) as first_day from (select grain, site, day_no, {KIND} as anomaly_type from {FLAGS} f where spike or drop_flag or stockout_onset) x group by anomaly_type, grain, site",
+    "N11": f"select item_key, day_no, transaction_id, batch_id, lot_no, quantity, gap, cost_c, quantity_median, quantity_z, gap_median, gap_z, cost_median, cost_z, coalesce({LOT_KIND}, 'normal') as lot_label from v_lotseries where quantity_z is not null",
+    "N12": f"select grain, site, maker, anomaly_type, episode, first_day, last_day, days from {EPISODES} e",
+    "N13": f"""select h.event_type, h.events, h.strict_hits, h.any_hits, h.recall, h.any_recall, m.episodes, m.matched, m.precision_, 2 * h.recall * m.precision_ / nullif(h.recall + m.precision_, 0) as f1
+      from (select event_type, count(*) as events, {total('strict')} as strict_hits, {total('any_hit')} as any_hits, {total('strict')} / count(*) as recall, {total('any_hit')} / count(*) as any_recall from {HITS} h0 group by event_type) h
+      left join (select anomaly_type, count(*) as episodes, {total('matched')} as matched, {total('matched')} / count(*) as precision_ from {MATCHED} m0 group by anomaly_type) m on m.anomaly_type = h.event_type""",
     "N19": f"select grain, anomaly_type, count(*) as n, {pct('count(*)', total('count(*)', 'over ()'))} as share_pct from {ANOMALIES} a group by grain, anomaly_type",
-    "N20": f"""select count(*) as rules, {total('case when r.c = q.c then 0 else 1 end')} as differing_counts, count(*) - count(r.lift) as infinite_metrics from {RULES} r
+    "N20": f"""select count(*) as rules, {total('case when r.c = q.c then 0 else 1 end')} as differing_counts, count(*) - count(r.lift) as infinite_metrics from (select * from {RULES} r0 where antecedent_size = 1 and consequent_size = 1) r
       join (select a.item as i1, b.item as i2, count(distinct a.transaction_id) as c from {BASKETS} a join {BASKETS} b on b.transaction_id = a.transaction_id and a.item <> b.item group by a.item, b.item) q on q.i1 = r.antecedent and q.i2 = r.consequent""",
 }

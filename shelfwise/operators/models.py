@@ -50,14 +50,14 @@ def _depths(tree: list, x: np.ndarray, out: np.ndarray, rows: np.ndarray) -> Non
     _depths(tree[3], x, out, rows[~left])
 
 
-def isolation_forest(df: DataFrame, keys: list[str], features: list[str], trees: int = 100, sample: int = 256, share: float = 0.01) -> DataFrame:
+def isolation_forest(df: DataFrame, keys: list[str], features: list[str], trees: int = 200, sample: int = SAMPLE_ROWS, share: float = 0.01) -> DataFrame:
     """keys, isolation_score and is_isolation_anomaly: the share of rows with the highest scores.
 
     Trees are grown from a bounded sample, one seed each; scoring is a map over all rows; the cut is one percentile.
     """
     known = df.select(*keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    # at most SAMPLE_ROWS rows reach the driver
-    x = np.array(_bounded(known.select(*features)).collect(), float).reshape(-1, len(features))
+    # at most 4 * sample rows reach the driver; each tree takes `sample` of them
+    x = np.array(_bounded(known.select(*features), 4 * sample).collect(), float).reshape(-1, len(features))
     size = min(sample, len(x))
     forest = [_grow(x[np.random.default_rng(k).choice(len(x), size, replace=False)], np.random.default_rng(k), 0, int(np.ceil(np.log2(max(size, 2))))) for k in range(trees)] if size else []
     norm = max(_path_length(size), 1e-9)

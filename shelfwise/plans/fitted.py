@@ -72,8 +72,18 @@ def io3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def n8_isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = run_sql(spark, _mart(spark, sf_dir), f"select site, maker, day_no, z7, u7 / nullif(u35, 0) as ratio, units_7d, usual_7d from {mining.SERIES} s where z7 is not null")
-    return models.isolation_forest(rows, ["site", "maker", "day_no"], ["z7", "ratio", "units_7d", "usual_7d"])
+    rows = run_sql(spark, _mart(spark, sf_dir), """select grain, site, maker, day_no, greatest(-15e0, least(15e0, z7)) as z7, greatest(-15e0, least(15e0, zd)) as zd, ln((units_7d + 1) / (usual_7d + 1)) as week_ratio, ln((sold + 1) / (usual_day + 1)) as day_ratio,
+      ln(1 + units_7d) as log_week, ln(1 + closing) as log_stock, case when closing = 0 then 1 else 0 end as empty, least(stock_run, 30) as run from v_series where z7 is not null""")
+    return models.isolation_forest(rows, ["grain", "site", "maker", "day_no"], ["z7", "zd", "week_ratio", "day_ratio", "log_week", "log_stock", "empty", "run"], share=0.003)
+
+
+def n12_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that the rules, the forest or both flag."""
+    rules = run_sql(spark, _mart(spark, sf_dir), mining.TEXTS["N9"]).withColumn("is_statistical_anomaly", F.lit(True))
+    isolated = n8_isolation(spark, sf_dir).where("is_isolation_anomaly")
+    both = isolated.join(rules, ["grain", "site", "maker", "day_no"], "full")
+    flags = [F.coalesce(c, F.lit(False)).alias(c) for c in ("is_statistical_anomaly", "is_isolation_anomaly")]
+    return both.select("grain", "site", "maker", "day_no", *flags, "isolation_score").withColumn("combined_anomaly", F.col("is_statistical_anomaly") & F.col("is_isolation_anomaly"))
 
 
 def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +169,7 @@ ST2 = """select site, maker, day_no from (select site, maker, day_no, row_number
 
 QUERIES = {
     "F1_fefo_allocation": f1_allocation, "F4_opening_lots": f4_opening, "F7_clean_sales": f7_clean, "F7_reasons": f7_reasons, "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
-    "N8_isolation_forest": n8_isolation, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary,
+    "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary,
     "H7_boosted_model": h7_model, "H8_parameter_search": h8_search, "H9_censoring": h9_censoring, "H10_forecasts": h10_forecasts, "H12_intervals": h12_intervals, "H13_importance": h13_importance, "ST1_admission": st1_admission,
 }
 ORACLES = {"F7_clean_sales": ingest.CLEAN_SQL, "F7_reasons": ingest.REASONS_SQL, "IO1_contract": IO1_SQL}

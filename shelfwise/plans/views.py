@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.io import stored
 from ..sources.roles import Roles
 from .ledger import ledger, write_offs
+from .series import SERIES_SQL, lot_series, stock_series
 
 MONEY = 100.0
 
@@ -130,8 +131,8 @@ def expiry_risk(r: Roles) -> DataFrame:
     )
 
 
-#: What the mart keeps once it was asked for: the dense stock facts, the lots and the ranks of all items.
-KEPT = ("t_ledger", "t_lots", "v_item")
+#: What the mart keeps once it was asked for: the dense stock facts, the lots, the ranks of all items and the series' features.
+KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries")
 
 
 @dataclass(frozen=True)
@@ -146,7 +147,7 @@ class Mart:
             "t_sales": lambda: r.sales, "t_receipts": lambda: r.receipts, "t_batches": lambda: r.batches, "t_calendar": lambda: r.calendar,
             "t_ledger": lambda: ledger(r), "t_lots": lambda: write_offs(r), "v_monthly": lambda: monthly_sales(r.sales), "v_item": lambda: item_performance(r.sales, r.calendar),
             "v_site": lambda: site_performance(r.sales), "v_demand": lambda: demand_stats(self.table("t_ledger"), r.calendar), "v_stockout": lambda: stockout_summary(self.table("t_ledger")),
-            "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r),
+            "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r), "v_series": lambda: stock_series(self.table("t_ledger")), "v_lotseries": lambda: lot_series(r.receipts),
         }
         if r.kept is None or name not in KEPT:
             return made[name]()
@@ -213,5 +214,5 @@ v_expiry as (
     remaining * cost_c as value_c, projected_unsold * cost_c as value_at_risk_c,
     case when days_to_expiry <= 0 then 'EXPIRED' when projected_unsold = 0 then 'SAFE' when days_to_expiry <= 30 then 'CRITICAL' when days_to_expiry <= 90 then 'HIGH'
       when days_to_expiry <= 180 then 'MEDIUM' else 'LOW' end as risk_class
-  from lot_unsold)
-"""
+  from lot_unsold),
+""" + SERIES_SQL.lstrip()
