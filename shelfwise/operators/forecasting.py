@@ -2,45 +2,45 @@
 
 from __future__ import annotations
 
+from ..plans.series import HORIZONS, LAGS
 from .reports import total
 
-PAIR = "partition by site_key, maker order by day_no"
-H = 7
-LAGS = (1, 2, 3, 7, 14, 21, 28)
+SERIES = "(select l.site_key, l.site, l.maker, l.family, l.day_no, l.sold, l.closing, c.dow, c.month, c.is_weekend, row_number() over (partition by l.site_key, l.maker order by l.day_no) as n_seen from t_ledger l join t_calendar c on c.day_no = l.day_no)"
+FEATURES = [
+    *(f"lag_{k}" for k in LAGS), "mean_7", "mean_14", "mean_28", "sd_7", "sd_14", "sd_28", "median_7", "median_28", "ratio_7_28", "mean_28_in_stock", "closing", "was_empty", "empty_last_7", "empty_days_7", "empty_days_28",
+    "days_since_empty", "stock_to_demand", "next_dow", "next_day", "next_month", "next_quarter", "next_week", "next_weekend", "dow_sin", "dow_cos", "month_sin", "month_cos", "site_key", "family_no",
+]
+#: Days of history that an origin needs; days at the end that validation and test targets lie in.
+HISTORY, TEST_DAYS = 28, 180
+LAST = "(select max(day_no) as last_day from t_calendar)"
 
 
-def _sum(days: int, expr: str = "sold") -> str:
-    return total(expr, f"over ({PAIR} rows between {days - 1} preceding and current row)")
+def split(horizon: str = "horizon", day: str = "day_no") -> str:
+    """The period that the whole target lies in; null across borders."""
+    return f"case when {day} + {horizon} <= last_day - {2 * TEST_DAYS} then 'train' when {day} > last_day - {2 * TEST_DAYS} and {day} + {horizon} <= last_day - {TEST_DAYS} then 'validation' when {day} > last_day - {TEST_DAYS} and {day} + {horizon} <= last_day then 'test' end"
 
 
-SERIES = "(select l.site_key, l.site, l.maker, l.family, l.day_no, l.sold, l.closing, c.dow, c.month, c.is_weekend, row_number() over (partition by l.site_key, l.maker order by l.day_no) as n_seen from t_ledger l join t_calendar c on c.day_no = l.day_no)"
-FEATURES = f"""(select site_key, site, maker, family, day_no, n_seen, sold, {', '.join(f'lag(sold, {k - 1}) over ({PAIR}) as lag_{k}' for k in LAGS)},
-  {', '.join(f'case when n_seen >= {w} then {_sum(w)} / {w}e0 end as mean_{w}' for w in (7, 14, 28))},
-  {', '.join(f"case when n_seen >= {w} then sqrt(cast({w} * {_sum(w, 'sold * sold')} - {_sum(w)} * {_sum(w)} as double) / ({w} * {w - 1})) end as sd_{w}" for w in (7, 28))},
-  {_sum(28, 'case when closing = 0 then 1 else 0 end')} as empty_days_28, least(day_no - max(case when closing = 0 then day_no end) over ({PAIR}), 365) as days_since_empty,
-  case when dow = 7 then 1 else dow + 1 end as next_dow, sin(2 * pi() * month / 12) as month_sin, cos(2 * pi() * month / 12) as month_cos, closing from {SERIES} s0)"""
-FUTURE = f"over ({PAIR} rows between 1 following and {H} following)"
-TARGETS = f"""(select site_key, site, maker, day_no, case when count(*) {FUTURE} = {H} then {total('sold', FUTURE)} end as target, case when count(*) {FUTURE} = {H} then {total('case when closing = 0 then 1 else 0 end', FUTURE)} end as censored_days from t_ledger)"""
-BASE = f"""(select f.site_key, f.site, f.maker, f.family, f.day_no, f.n_seen, t.target, {H}e0 * sold as naive, {H} * mean_7 as ma_7, {H} * mean_28 as ma_28, {H} * mean_7 as seasonal_weekly,
-  cast(u364 as double) as seasonal_yearly from (select f0.*, case when n_seen >= 364 then {total('sold', f'over ({PAIR} rows between 363 preceding and 357 preceding)')} end as u364 from {FEATURES} f0) f
-  join {TARGETS} t on t.site_key = f.site_key and t.maker = f.maker and t.day_no = f.day_no)"""
-LAST = "(select max(day_no) as last_day from t_calendar)"
-SPLIT = "case when day_no + 7 <= last_day - 360 then 'train' when day_no > last_day - 360 and day_no + 7 <= last_day - 180 then 'validation' when day_no > last_day - 180 and day_no + 7 <= last_day then 'test' end"
+BASE = "(" + " union all ".join(
+    f"select site_key, site, maker, family, day_no, n_seen, {h} as horizon, target_{h} as target, censored_{h} as censored_days, {h}e0 * sold as naive, {h} * mean_7 as ma_7, {h} * mean_28 as ma_28, cast(weekly_{h} as double) as seasonal_weekly, cast(yearly_{h} as double) as seasonal_yearly from v_features"
+    for h in HORIZONS
+) + ")"
 BASELINES = ("naive", "ma_7", "ma_28", "seasonal_weekly", "seasonal_yearly")
-# scaled to whole millionths, so that sums don't depend on the order of rows
-LONG = "(" + " union all ".join(f"select family, '{b}' as model, {SPLIT} as split, target, cast(round({b} * 1000000) as bigint) as predicted_m from {BASE} b cross join {LAST} d where target is not null and {b} is not null" for b in BASELINES) + ")"
-ERROR = "predicted_m - target * 1000000"
-METRICS = f"""count(*) as n, {total(f'abs({ERROR})')} / 1e6 / count(*) as mae, {total(f'abs({ERROR})')} / 1e6 / nullif({total('target')}, 0) as wape, {total(ERROR)} / 1e6 / count(*) as bias"""
+# scaled to whole thousandths, so that sums don't depend on the order of rows
+LONG = "(" + " union all ".join(f"select family, horizon, '{b}' as model, {split()} as split, target, cast(round({b} * 1000) as bigint) - target * 1000 as error_k from {BASE} b cross join {LAST} d where target is not null and {b} is not null and n_seen >= {HISTORY}" for b in BASELINES) + ")"
+METRICS = f"""count(*) as n, {total('abs(error_k)')} / 1e3 / count(*) as mae, sqrt({total('error_k * error_k')} / 1e6 / count(*)) as rmse, {total('abs(error_k)')} / 1e3 / nullif({total('target')}, 0) as wape, {total('error_k')} / 1e3 / count(*) as bias"""
+# what a forecast's error is held against: that of the naive one over the training period
+SCALE = f"(select horizon, {total('abs(error_k)')} / 1e3 / count(*) as naive_mae from {LONG} l0 where split = 'train' and model = 'naive' group by horizon)"
 
 TEXTS = {
     "H1": f"select site, maker, day_no, sold, closing, dow, month, is_weekend from {SERIES} s",
-    "H2": f"select site, maker, day_no, {', '.join(f'lag_{k}' for k in LAGS)}, mean_7, mean_14, mean_28, sd_7, sd_28, mean_7 / nullif(mean_28, 0) as ratio_7_28, empty_days_28, days_since_empty, next_dow, month_sin, month_cos from {FEATURES} f where n_seen >= 28",
-    "H3": f"select site, maker, day_no, target, censored_days from {TARGETS} t where target is not null",
-    "H4": f"select split, count(*) as origins, min(day_no) as first_day, max(day_no) as last_day_used from (select day_no, {SPLIT} as split from {BASE} b cross join {LAST} d where n_seen >= 28) x where split is not null group by split",
+    "H2": f"select site, maker, day_no, {', '.join(FEATURES)} from v_features where n_seen >= {HISTORY}",
+    "H3": " union all ".join(f"select site, maker, day_no, {h} as horizon, target_{h} as target, censored_{h} as censored_days from v_features where target_{h} is not null" for h in HORIZONS),
+    "H4": f"select horizon, split, count(*) as origins, min(day_no) as first_day, max(day_no) as last_day_used from (select day_no, horizon, {split()} as split from {BASE} b cross join {LAST} d where n_seen >= {HISTORY}) x where split is not null group by horizon, split",
     "H5": f"""select site, maker, units, sold_days, case when sold_days < 28 then 'too few sales days' when units < 100 then 'too few units' else 'eligible' end as eligibility, row_number() over (order by units desc, site, maker) as volume_place
       from (select site, maker, {total('sold')} as units, count(*) filter (where sold > 0) as sold_days from t_ledger group by site, maker) p""",
-    "H6": f"select site, maker, day_no, target, naive, ma_7, ma_28, seasonal_weekly, seasonal_yearly from {BASE} b cross join {LAST} d where day_no > last_day - 400 and target is not null and n_seen >= 28",
-    "H11": f"select model, family, {METRICS} from {LONG} l where split = 'test' group by model, family",
-    "H14": f"select model, wape from (select *, row_number() over (order by wape, model) as place from (select model, {METRICS} from {LONG} l where split = 'validation' group by model) m) r where place = 1",
-    "H15": f"select count(*) as rows_checked, {total('case when f.mean_28 is distinct from g.mean_28 then 1 else 0 end')} as leaks from {FEATURES} f join (select site_key, maker, day_no, cast(sum(sold) as bigint) / 28e0 as mean_28 from (select a.site_key, a.maker, a.day_no, b.sold from (select * from t_ledger where day_no = (select min(day_no) + 200 from t_calendar)) a join (select * from t_ledger) b on b.site_key = a.site_key and b.maker = a.maker and b.day_no between a.day_no - 27 and a.day_no) w group by site_key, maker, day_no) g on g.site_key = f.site_key and g.maker = f.maker and g.day_no = f.day_no",
+    "H6": f"select site, maker, day_no, horizon, target, naive, ma_7, ma_28, seasonal_weekly, seasonal_yearly from {BASE} b where target is not null and n_seen >= {HISTORY}",
+    "H11": f"select m.*, m.mae / s.naive_mae as mase from (select horizon, model, family, {METRICS} from {LONG} l where split = 'test' group by horizon, model, family) m join {SCALE} s on s.horizon = m.horizon",
+    "H14": f"select horizon, model, wape from (select *, row_number() over (partition by horizon order by wape, model) as place from (select horizon, model, {METRICS} from {LONG} l where split = 'validation' group by horizon, model) m) r where place = 1",
+    # every series and day: the mean of the last 28 days again by a join on days
+    "H15": f"select count(*) as rows_checked, {total('case when f.mean_28 is distinct from g.mean_28 then 1 else 0 end')} as leaks from v_features f join (select a.site_key, a.maker, a.day_no, {total('b.sold')} / 28e0 as mean_28 from t_ledger a join t_ledger b on b.site_key = a.site_key and b.maker = a.maker and b.day_no between a.day_no - 27 and a.day_no group by a.site_key, a.maker, a.day_no having count(*) = 28) g on g.site_key = f.site_key and g.maker = f.maker and g.day_no = f.day_no",
 }

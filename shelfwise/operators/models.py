@@ -11,11 +11,14 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.views import with_ranks
+from ..sources.io import stored
+
 #: Rows that a fit of trees takes at most, the first by a hash of their values.
 SAMPLE_ROWS = 4096
 
@@ -80,8 +83,9 @@ def prepare_features(df: DataFrame, key: str, features: list[str]) -> tuple[Data
     stats = filled.agg(*(F.skewness(c).alias(f"s_{c}") for c in features), *(F.stddev(c).alias(f"d_{c}") for c in features)).first()
     varied = [c for c in features if (stats[f"d_{c}"] or 0) > 0]
     logged = {c for c in varied if abs(stats[f"s_{c}"] or 0) > 1}
-    shaped = filled.select(key, *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in logged else F.col(c) for c in varied))
-    ranks = shaped.select(*((F.rank().over(W.orderBy(c)) + (F.count(F.lit(1)).over(W.partitionBy(c)) - 1) / 2).alias(c) for c in varied))
+    shaped = stored(filled.select(key, *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in logged else F.col(c) for c in varied)), "item-features")
+    ranks = with_ranks(shaped, varied)
+    ranks = ranks.select(*((F.col(f"{c}_rank") + (F.col(f"{c}_ties") - 1) / 2).alias(c) for c in varied))
     pairs = [(a, b) for i, b in enumerate(varied) for a in varied[:i]]
     corr = ranks.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).first() if pairs else {}
     kept: list[str] = []
@@ -93,23 +97,43 @@ def prepare_features(df: DataFrame, key: str, features: list[str]) -> tuple[Data
     return model.transform(shaped).select(key, "vector"), kept, report
 
 
-def segment(vectors: DataFrame, k: int, starts: int = 3):
+def segment(vectors: DataFrame, k: int, starts: int = 20):
     """K-means of the lowest cost over seeded starts."""
     fits = [KMeans(featuresCol="vector", predictionCol="segment", k=k, seed=s).fit(vectors) for s in range(starts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def segment_quality(vectors: DataFrame, ks: range = range(2, 7)) -> list[tuple]:
-    """(k, cost, silhouette, chosen): the smallest k from 3 on within 0.02 of the best silhouette is chosen."""
+def segment_quality(vectors: DataFrame, ks: range = range(2, 9), starts: int = 20) -> list[tuple]:
+    """(k, cost, silhouette, calinski_harabasz, davies_bouldin, chosen): the smallest k from 3 on within 0.02 of the best silhouette."""
     rows = []
+    vectors = vectors.persist()
+    total = vectors.select(F.posexplode(vector_to_array("vector")).alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("v") * F.col("n")).alias("spread"), F.max("n").alias("n")).first()
     for k in ks:
-        model = segment(vectors, k)
-        rows.append((k, float(model.summary.trainingCost), float(ClusteringEvaluator(featuresCol="vector", predictionCol="segment").evaluate(model.transform(vectors)))))
+        model = segment(vectors, k, starts)
+        found, cost = model.transform(vectors), float(model.summary.trainingCost)
+        centers = np.array(model.clusterCenters())
+        # mean distance of a segment's rows to its centre: one row a segment
+        at = vector_to_array("vector")
+        center = F.array(*(F.array(*map(F.lit, c.tolist())) for c in centers))[F.col("segment")]
+        away = F.sqrt(F.aggregate(F.zip_with(at, center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
+        near = {r["segment"]: r["d"] for r in found.groupBy("segment").agg(F.avg(away).alias("d")).collect()}
+        apart = np.linalg.norm(centers[:, None] - centers[None], axis=2)
+        worst = [max((near[i] + near[j]) / apart[i, j] for j in near if j != i and apart[i, j] > 0) for i in near if len(near) > 1]
+        harabasz = (total["spread"] - cost) / (k - 1) / (cost / max(total["n"] - k, 1)) if cost > 0 else float("inf")
+        rows.append((k, cost, float(ClusteringEvaluator(featuresCol="vector", predictionCol="segment").evaluate(found)), float(harabasz), float(np.mean(worst)) if worst else 0.0))
+    vectors.unpersist()
     best = max(r[2] for r in rows if r[0] >= 3)
     chosen = min(r[0] for r in rows if r[0] >= 3 and r[2] >= best - 0.02)
     return [(*r, r[0] == chosen) for r in rows]
 
 
+def principal_plane(vectors: DataFrame, k: int = 2) -> list[tuple[int, float, list[float]]]:
+    """(component, share of variance explained, loadings with the largest one positive)."""
+    model = PCA(k=k, inputCol="vector", outputCol="plane").fit(vectors)
+    loadings = np.array(model.pc.toArray()).T
+    return [(i + 1, float(v), (c if max(c, key=abs) >= 0 else -c).tolist()) for i, (v, c) in enumerate(zip(model.explainedVariance.toArray(), loadings))]
+
+
 def segments(vectors: DataFrame, volume: DataFrame, key: str, k: int) -> DataFrame:
     """key, segment, x, y: segment numbers by falling total volume, and a projection to two components with a fixed sign."""
     model = PCA(k=2, inputCol="vector", outputCol="plane").fit(vectors)
@@ -120,17 +144,22 @@ def segments(vectors: DataFrame, volume: DataFrame, key: str, k: int) -> DataFra
     return plane.select(key, F.col("segment_id").alias("segment"), (F.col("p")[0] * sign[0]).alias("x"), (F.col("p")[1] * sign[1]).alias("y"))
 
 
-MODEL_FEATURES = ["lag_1", "lag_2", "lag_3", "lag_7", "lag_14", "lag_21", "lag_28", "mean_7", "mean_14", "mean_28", "sd_7", "sd_28", "empty_days_28", "days_since_empty", "next_dow", "month_sin", "month_cos"]
+#: Loss and transform of the target that a demand model is fitted with.
+VARIANTS = ("raw", "log1p", "poisson")
 
 
-def fit_demand(train: DataFrame, features: list[str] = MODEL_FEATURES, depth: int = 4, rounds: int = 10):
-    """Boosted trees on log1p of the target."""
-    data = train.fillna(0.0, features).withColumn("label", F.log1p("target"))
-    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="features"), GBTRegressor(maxDepth=depth, maxIter=rounds, seed=1)]).fit(data)
+def fit_demand(train: DataFrame, features: list[str], variant: str = "log1p", depth: int = 4, rounds: int = 10):
+    """Boosted trees on the target or on log1p of it, or a Poisson regression on standardised features."""
+    data = train.fillna(0.0, features).withColumn("label", F.log1p("target") if variant == "log1p" else F.col("target").cast("double"))
+    columns = VectorAssembler(inputCols=features, outputCol="features")
+    if variant == "poisson":
+        return Pipeline(stages=[columns, StandardScaler(inputCol="features", outputCol="scaled", withMean=True), GeneralizedLinearRegression(featuresCol="scaled", family="poisson", regParam=0.1, maxIter=10)]).fit(data)
+    return Pipeline(stages=[columns, GBTRegressor(maxDepth=depth, maxIter=rounds, seed=1)]).fit(data)
 
 
-def predict_demand(model, df: DataFrame, features: list[str] = MODEL_FEATURES) -> DataFrame:
-    return model.transform(df.fillna(0.0, features)).withColumn("predicted", F.greatest(F.expm1("prediction"), F.lit(0.0))).drop("features", "prediction")
+def predict_demand(model, df: DataFrame, features: list[str], variant: str = "log1p") -> DataFrame:
+    shown = F.expm1("prediction") if variant == "log1p" else F.col("prediction")
+    return model.transform(df.fillna(0.0, features)).withColumn("predicted", F.greatest(shown, F.lit(0.0))).drop("features", "scaled", "prediction")
 
 
 def metrics(df: DataFrame, by: list[str]) -> DataFrame:
@@ -151,13 +180,16 @@ def intervals(validation: DataFrame, scored: DataFrame, bins: int = 5) -> DataFr
     return scored.withColumn("bin", which).join(F.broadcast(bounds), "bin", "left").withColumn("lower_bound", F.greatest(F.col("predicted") + F.col("low"), F.lit(0.0))).withColumn("upper_bound", F.col("predicted") + F.col("high")).drop("low", "high")
 
 
-def permutation_importance(model, df: DataFrame, features: list[str], seed: int = 3) -> list[tuple[str, float]]:
-    """Rise of the mean absolute error when a feature's values change rows (rows are paired by two seeded orders)."""
-    base = metrics(predict_demand(model, df), []).first()["mae"]
-    # row numbers on a bounded sample of rows
-    numbered = df.withColumn("a", F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), *df.columns))))
-    out = []
+def permutation_importance(model, df: DataFrame, features: list[str], keys: list[str], variant: str = "log1p", buckets: int = 64) -> DataFrame:
+    """(feature, mae_rise): rise of the mean absolute error over all rows when a feature's values change rows.
+
+    Within each of `buckets` groups by a hash of the keys the values move on by one row in a random order, which is a permutation
+    that no single task has to sort.
+    """
+    base = metrics(predict_demand(model, df, features, variant), []).first()["mae"]
+    rows = []
     for f in features:
-        other = df.select(F.row_number().over(W.orderBy(F.xxhash64(F.lit(f), *df.columns))).alias("a"), F.col(f).alias("swapped"))
-        out.append((f, metrics(predict_demand(model, numbered.join(other, "a").drop(f).withColumnRenamed("swapped", f)), []).first()["mae"] - base))
-    return out
+        order = W.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(buckets))).orderBy(F.xxhash64(F.lit(f), *keys))
+        moved = df.withColumn(f, F.coalesce(F.lead(f).over(order), F.first(f).over(order)))
+        rows.append((f, metrics(predict_demand(model, moved, features, variant), []).first()["mae"] - base))
+    return df.sparkSession.createDataFrame(rows, "feature string, mae_rise double")

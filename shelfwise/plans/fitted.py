@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import fefo, forecasting, ingest, mining, models
 from ..operators.reports import run_sql
-from ..sources.io import fingerprint, violations
+from ..sources.io import fingerprint, stored, violations
 from ..sources.roles import read, roles
 from ..streaming.stateful import admission, user_events
+from .series import HORIZONS
 from .views import Mart
 
-#: Origins are two weeks apart in fits; the last day of a split is as in forecasting.SPLIT.
-STRIDE = 14
+#: The search for a variant and for parameters trains on every third origin, as neighbouring days are all but the same; all else,
+#: metrics included, takes every origin.
+SEARCH_STRIDE = 3
+GRID = ((2, 5), (4, 5), (4, 10), (6, 10))
+FEATURES = forecasting.FEATURES
 ITEM_FEATURES = ["units", "revenue_c", "transaction_count", "sales_days", "average_price_c", "lots", "average_cost_c"]
 
 
@@ -21,13 +28,12 @@ def _mart(spark: SparkSession, sf_dir: str) -> Mart:
     return Mart(roles(spark, sf_dir))
 
 
-def model_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Features, target, censored days and split at every STRIDE-th origin."""
-    text = f"""select f.*, t.target, t.censored_days, {forecasting.SPLIT.replace('day_no', 'f.day_no')} as split from {forecasting.FEATURES} f
-      join {forecasting.TARGETS} t on t.site_key = f.site_key and t.maker = f.maker and t.day_no = f.day_no cross join {forecasting.LAST} d where f.n_seen >= 28 and f.day_no % {STRIDE} = 0"""
-    wanted = ["site", "maker", "family", "day_no", "target", "censored_days", "split", *models.MODEL_FEATURES]
+def model_rows(spark: SparkSession, sf_dir: str, horizon: int) -> DataFrame:
+    """Features, target, censored days and split of every origin with enough history."""
+    text = f"select f.*, target_{horizon} as target, censored_{horizon} as censored_days, {forecasting.split(str(horizon))} as split from v_features f cross join {forecasting.LAST} d where n_seen >= {forecasting.HISTORY}"
     rows = run_sql(spark, _mart(spark, sf_dir), text)
-    return rows.select(*(F.col(c).cast("double").alias(c) if c in (*models.MODEL_FEATURES, "target") else F.col(c) for c in wanted)).persist()
+    kept = ["site", "maker", "family", "day_no", "target", "censored_days", "split"]
+    return rows.select(*kept, *(F.col(c).cast("double").alias(c) for c in FEATURES))
 
 
 def _split(rows: DataFrame, *names: str) -> DataFrame:
@@ -87,9 +93,9 @@ def n12_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """select i.item_key, i.units, i.revenue_c, i.transaction_count, i.sales_days, i.revenue_c / i.units as average_price_c, r.lots, r.average_cost_c
+    text = """select i.item_key, i.units, i.revenue_c, i.transaction_count, i.sales_days, i.revenue_c / i.units as average_price_c, i.category, r.lots, r.average_cost_c
       from v_item i join (select item_key, count(*) as lots, sum(total_c) / sum(quantity) as average_cost_c from t_receipts group by item_key) r on r.item_key = i.item_key"""
-    return run_sql(spark, _mart(spark, sf_dir), text).persist()
+    return run_sql(spark, _mart(spark, sf_dir), text)
 
 
 def n14_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,67 +103,105 @@ def n14_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["feature"], r["skewness"], r["logged"], r["kept"]) for r in report], "feature string, skewness double, logged boolean, kept boolean")
 
 
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(models.prepare_features(item_features(spark, sf_dir), "item_key", ITEM_FEATURES)[0], "item-vectors")
+
+
 def n15_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    features = item_features(spark, sf_dir)
-    vectors, _, _ = models.prepare_features(features, "item_key", ITEM_FEATURES)
-    return models.segments(vectors.persist(), features.select("item_key", "units"), "item_key", 4)
+    """Segments for the number of them that n16_quality chooses."""
+    vectors = _vectors(spark, sf_dir)
+    chosen = next(r[0] for r in models.segment_quality(vectors) if r[-1])
+    return models.segments(vectors, item_features(spark, sf_dir).select("item_key", "units"), "item_key", chosen)
 
 
 def n16_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, _, _ = models.prepare_features(item_features(spark, sf_dir), "item_key", ITEM_FEATURES)
-    return spark.createDataFrame(models.segment_quality(vectors.persist(), range(2, 6)), "k int, cost double, silhouette double, chosen boolean")
+    return spark.createDataFrame(models.segment_quality(_vectors(spark, sf_dir)), "k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, chosen boolean")
 
 
 def n17_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = n15_segments(spark, sf_dir).join(item_features(spark, sf_dir), "item_key")
-    return found.groupBy("segment").agg(F.count(F.lit(1)).alias("items"), F.sum("units").alias("units"), F.avg("average_price_c").alias("mean_price_c"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    """A row a segment: size, share, a label by volume and price against all items, and its category with most items."""
+    found = stored(n15_segments(spark, sf_dir), "segments").join(item_features(spark, sf_dir), "item_key")
+    whole = found.agg(F.count(F.lit(1)).alias("all_items"), F.avg("units").alias("all_units"), F.avg("average_price_c").alias("all_price_c"))
+    top = found.groupBy("segment", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("segment").agg(F.max_by("category", F.struct("n", "category")).alias("top_category"))
+    each = found.groupBy("segment").agg(F.count(F.lit(1)).alias("items"), F.sum("units").alias("units"), F.avg("average_price_c").alias("mean_price_c"), F.avg("x").alias("x"), F.avg("y").alias("y"))
+    label = F.concat(F.when(F.col("units") / F.col("items") >= F.col("all_units"), "high volume").otherwise("low volume"), F.lit(", "), F.when(F.col("mean_price_c") >= F.col("all_price_c"), "high price").otherwise("low price"))
+    return each.join(top, "segment").crossJoin(F.broadcast(whole)).select("segment", label.alias("label"), "items", (100 * F.col("items") / F.col("all_items")).alias("share_pct"), "units", "mean_price_c", "top_category", "x", "y")
+
+
+def n18_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(models.principal_plane(_vectors(spark, sf_dir)), "component int, explained_variance double, loadings array<double>")
+
+
+def _each_horizon(make: Callable[[int], DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, (make(h).withColumn("horizon", F.lit(h)) for h in HORIZONS))
 
 
 def h7_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir)
-    return models.metrics(models.predict_demand(models.fit_demand(_split(rows, "train")), _split(rows, "test")), ["family"])
+    """Errors of the models, one a horizon, on all test origins."""
+
+    def one(h: int) -> DataFrame:
+        rows = model_rows(spark, sf_dir, h)
+        return models.metrics(models.predict_demand(models.fit_demand(_split(rows, "train"), FEATURES), _split(rows, "test"), FEATURES), ["family"])
+
+    return _each_horizon(one)
 
 
 def h8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir)
-    found = []
-    for depth, rounds in ((2, 5), (4, 5), (4, 10)):
-        scored = models.predict_demand(models.fit_demand(_split(rows, "train"), depth=depth, rounds=rounds), _split(rows, "validation"))
-        found.append((depth, rounds, models.metrics(scored, []).first()["wape"]))
-    best = min(x[2] for x in found)
-    return spark.createDataFrame([(*x, x[2] == best) for x in found], "depth int, rounds int, wape double, chosen boolean")
+    """First the variant, then depth and rounds for it, by the error on all validation origins."""
+    rows = model_rows(spark, sf_dir, HORIZONS[0])
+    train, held = _split(rows, "train").where(F.col("day_no") % SEARCH_STRIDE == 0), _split(rows, "validation")
+
+    def tried(variant: str, depth: int, rounds: int) -> tuple:
+        scored = models.predict_demand(models.fit_demand(train, FEATURES, variant, depth, rounds), held, FEATURES, variant)
+        return variant, depth, rounds, models.metrics(scored, []).first()["wape"]
+
+    found = [tried(v, *GRID[1]) for v in models.VARIANTS]
+    variant = min(found, key=lambda x: x[3])[0]
+    if variant != "poisson":
+        found += [tried(variant, *g) for g in GRID if g != GRID[1]]
+    best = min(x[3] for x in found)
+    return spark.createDataFrame([(*x, x[3] == best) for x in found], "variant string, depth int, rounds int, wape double, chosen boolean")
 
 
 def h9_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir)
-    out = None
+    rows = model_rows(spark, sf_dir, HORIZONS[0])
+    out = []
     for name, train in (("all", _split(rows, "train")), ("uncensored", _split(rows, "train").where("censored_days = 0"))):
-        scored = models.metrics(models.predict_demand(models.fit_demand(train, rounds=5), _split(rows, "validation")).withColumn("strategy", F.lit(name)), ["strategy"])
-        out = scored if out is None else out.unionByName(scored)
-    return out
+        if not train.isEmpty():
+            out.append(models.metrics(models.predict_demand(models.fit_demand(train, FEATURES, rounds=5), _split(rows, "validation"), FEATURES).withColumn("strategy", F.lit(name)), ["strategy"]))
+    return reduce(DataFrame.unionByName, out)
 
 
 def h10_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted again on train and validation; forecasts for the last origin of each series."""
-    rows = model_rows(spark, sf_dir)
-    last = rows.agg(F.max("day_no").alias("day_no"))
-    return models.predict_demand(models.fit_demand(_split(rows, "train", "validation")), rows.join(F.broadcast(last), "day_no")).select("site", "maker", "day_no", "predicted")
+    """Fitted again on train and validation; forecasts for the last day of every series, for each horizon."""
+
+    def one(h: int) -> DataFrame:
+        rows = model_rows(spark, sf_dir, h)
+        last = rows.agg(F.max("day_no").alias("day_no"))
+        return models.predict_demand(models.fit_demand(_split(rows, "train", "validation"), FEATURES), rows.join(F.broadcast(last), "day_no"), FEATURES).select("site", "maker", "day_no", "predicted")
+
+    return _each_horizon(one)
 
 
 def h12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir)
-    model = models.fit_demand(_split(rows, "train"))
-    bounded = models.intervals(models.predict_demand(model, _split(rows, "validation")), models.predict_demand(model, _split(rows, "test")))
-    return bounded.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target").between(F.col("lower_bound"), F.col("upper_bound")).cast("int")).alias("coverage"))
+    def one(h: int) -> DataFrame:
+        rows = model_rows(spark, sf_dir, h)
+        model = models.fit_demand(_split(rows, "train"), FEATURES)
+        bounded = models.intervals(models.predict_demand(model, _split(rows, "validation"), FEATURES), models.predict_demand(model, _split(rows, "test"), FEATURES))
+        return bounded.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target").between(F.col("lower_bound"), F.col("upper_bound")).cast("int")).alias("coverage"))
+
+    return _each_horizon(one)
 
 
 def h13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir)
-    model = models.fit_demand(_split(rows, "train"), rounds=5)
-    sample = models._bounded(_split(rows, "validation").fillna(0.0, models.MODEL_FEATURES)).persist()
-    original = models.MODEL_FEATURES
-    some = ["lag_1", "mean_7", "mean_28", "sd_28", "month_sin"]
-    return spark.createDataFrame(models.permutation_importance(model, sample, [f for f in original if f in some]), "feature string, mae_rise double")
+    """All features over all validation origins."""
+    rows = model_rows(spark, sf_dir, HORIZONS[0])
+    model = models.fit_demand(_split(rows, "train"), FEATURES, rounds=5)
+    return models.permutation_importance(model, stored(_split(rows, "validation").fillna(0.0, FEATURES), "validation"), FEATURES, ["site", "maker", "day_no"])
+
+
+def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: _mart(spark, sf_dir).table(name)
 
 
 def st1_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,9 +211,12 @@ def st1_admission(spark: SparkSession, sf_dir: str) -> DataFrame:
 ST2 = """select site, maker, day_no from (select site, maker, day_no, row_number() over (partition by site_key, maker, island order by day_no) - case when island > 0 then 1 else 0 end as run, sold
   from (select *, cast(sum(case when sold > 0 then 1 else 0 end) over (partition by site_key, maker order by day_no) as bigint) as island from t_ledger) x) y where sold = 0 and run = 7"""
 
+VIEWS = {1: "v_monthly", 2: "v_item", 3: "v_site", 4: "v_demand", 5: "v_stockout", 6: "v_stock", 7: "v_expiry"}
+
 QUERIES = {
     "F1_fefo_allocation": f1_allocation, "F4_opening_lots": f4_opening, "F7_clean_sales": f7_clean, "F7_reasons": f7_reasons, "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
-    "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary,
+    "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary, "N18_plane": n18_plane,
     "H7_boosted_model": h7_model, "H8_parameter_search": h8_search, "H9_censoring": h9_censoring, "H10_forecasts": h10_forecasts, "H12_intervals": h12_intervals, "H13_importance": h13_importance, "ST1_admission": st1_admission,
+    **{f"V{k}_{name[2:]}": _view(name) for k, name in VIEWS.items()},
 }
 ORACLES = {"F7_clean_sales": ingest.CLEAN_SQL, "F7_reasons": ingest.REASONS_SQL, "IO1_contract": IO1_SQL}

@@ -62,12 +62,59 @@ def lot_series(receipts: DataFrame) -> DataFrame:
     return rows.select("item_key", "day_no", "transaction_id", "batch_id", "lot_no", "quantity", "gap", "cost_c", "quantity_median", "quantity_z", "gap_median", "gap_z", "cost_median", "cost_z")
 
 
+HORIZONS = (7, 14, 30)
+LAGS = (1, 2, 3, 7, 14, 21, 28)
+#: Most days since the last day without stock; one more if there was none.
+SINCE_CAP = 60
+
+
+def demand_features(stock: DataFrame, calendar: DataFrame) -> DataFrame:
+    """Of each (site, maker) and day: features from that day and before, calendar of the next day, and for each horizon what follows.
+
+    target_h and censored_h (days without stock) are null unless all h days follow; naive, weekly and yearly baselines of a horizon
+    are those that differ by more than a factor from one to the next.
+    """
+    of = W.partitionBy("site_key", "maker").orderBy("day_no")
+    back = lambda n: of.rowsBetween(1 - n, 0)
+    sold, empty = F.col("sold"), (F.col("closing") == 0).cast("long")
+    rows = stock.select("site_key", "site", "maker", "family", "day_no", "sold", "closing", F.row_number().over(of).alias("n_seen"))
+    seen = F.col("n_seen")
+    for n in (7, 14, 28):
+        total, squares = F.sum("sold").over(back(n)), F.sum(sold * sold).over(back(n))
+        rows = rows.withColumn(f"mean_{n}", F.when(seen >= n, total / float(n))).withColumn(f"sd_{n}", F.when(seen >= n, F.sqrt((n * squares - total * total).cast("double") / (n * (n - 1)))))
+    for n in (7, 28):
+        rows = rows.withColumn(f"median_{n}", F.when(seen >= n, _middle(F.array_sort(F.collect_list("sold").over(back(n))))))
+    days_in = F.sum(1 - empty).over(back(28))
+    rows = rows.select(
+        "*", *(F.lag("sold", k - 1).over(of).alias(f"lag_{k}") for k in LAGS), F.sum(empty).over(back(7)).alias("empty_days_7"), F.sum(empty).over(back(28)).alias("empty_days_28"),
+        F.when(seen >= 28, F.coalesce(F.try_divide(F.sum(sold * (1 - empty)).over(back(28)), days_in), F.col("mean_28"))).alias("mean_28_in_stock"), empty.alias("was_empty"),
+        F.coalesce(F.least(F.col("day_no") - F.max(F.when(empty == 1, F.col("day_no"))).over(of), F.lit(SINCE_CAP)), F.lit(SINCE_CAP + 1)).alias("days_since_empty"),
+        F.sum("sold").over(back(7)).alias("u7"), (F.lag("sold", 6).over(of) + F.lag("sold", 5).over(of)).alias("two_days"),
+        *(F.when(seen >= 364, F.sum("sold").over(of.rowsBetween(-363, h - 364))).alias(f"yearly_{h}") for h in HORIZONS),
+        *(F.when(F.count(F.lit(1)).over(of.rowsBetween(1, h)) == h, F.sum(c).over(of.rowsBetween(1, h))).alias(f"{name}_{h}") for h in HORIZONS for name, c in (("target", sold), ("censored", empty))),
+    )
+    next_days = calendar.select((F.col("day_no") - 1).alias("day_no"), F.col("dow").alias("next_dow"), F.col("day").alias("next_day"), F.col("month").alias("next_month"), F.col("quarter").alias("next_quarter"), F.col("iso_week").alias("next_week"), F.col("is_weekend").cast("int").alias("next_weekend"))
+    # one row a day
+    out = rows.join(F.broadcast(next_days), "day_no", "left")
+    turn = lambda c, n: 2 * F.pi() * (F.col(c) - 1) / n
+    return out.select(
+        "*", (F.col("mean_7") / (F.col("mean_28") + 0.1)).alias("ratio_7_28"), (F.col("closing") / (F.col("mean_28") + 0.1)).alias("stock_to_demand"), (F.col("empty_days_7") > 0).cast("int").alias("empty_last_7"),
+        F.sin(turn("next_dow", 7)).alias("dow_sin"), F.cos(turn("next_dow", 7)).alias("dow_cos"), F.sin(turn("next_month", 12)).alias("month_sin"), F.cos(turn("next_month", 12)).alias("month_cos"),
+        F.regexp_extract("family", "([0-9]+)$", 1).cast("int").alias("family_no"), F.col("u7").alias("weekly_7"), (2 * F.col("u7")).alias("weekly_14"), (4 * F.col("u7") + F.col("two_days")).alias("weekly_30"),
+    ).drop("u7", "two_days")
+
+
 def _z(value: str, seen: str) -> str:
     return f"({value} - list_median({seen})) / greatest(list_median(list_transform({seen}, lambda x: abs(x - list_median({seen})))) * {MAD_TO_SIGMA}e0, {LEAST_SCALE}e0)"
 
 
 _FRAME, _OF = "partition by grain, site, maker order by day_no", "partition by item_key order by day_no, transaction_id, batch_id"
+_PAIR, _EMPTY = "partition by site_key, maker order by day_no", "(case when closing = 0 then 1 else 0 end)"
 _BACK = "list_median({0}) * list_median({0}) - 0.375e0"
+def _run(n: int, expr: str = "sold") -> str:
+    return f"cast(sum({expr}) over ({_PAIR} rows between {n - 1} preceding and current row) as bigint)"
+
+
 SERIES_SQL = f"""
 grains as (
   select 'site_maker' as grain, site, maker, day_no, sold, closing from t_ledger
@@ -91,5 +138,23 @@ lot_seen as (
 v_lotseries as (
   select item_key, day_no, transaction_id, batch_id, lot_no, quantity, gap, cost_c,
     {', '.join(f"case when lot_no > {LEAST_LOTS} then {_BACK.format(c + '_seen')} end as {n}_median, case when lot_no > {LEAST_LOTS} then {_z(f'sqrt({c} + 0.375e0)', c + '_seen')} end as {n}_z" for n, c in (('quantity', 'quantity'), ('gap', 'gap'), ('cost', 'cost_c')))}
-  from lot_seen)
+  from lot_seen),
+feature_rows as (select site_key, site, maker, family, day_no, sold, closing, row_number() over ({_PAIR}) as n_seen from t_ledger),
+feature_sums as (
+  select *, {', '.join(f'case when n_seen >= {n} then {_run(n)} / {n}e0 end as mean_{n}' for n in (7, 14, 28))},
+    {', '.join(f"case when n_seen >= {n} then sqrt(cast({n} * {_run(n, 'sold * sold')} - {_run(n)} * {_run(n)} as double) / ({n} * {n - 1})) end as sd_{n}" for n in (7, 14, 28))},
+    {', '.join(f'case when n_seen >= {n} then median(sold) over ({_PAIR} rows between {n - 1} preceding and current row) end as median_{n}' for n in (7, 28))},
+    {', '.join(f'lag(sold, {k - 1}) over ({_PAIR}) as lag_{k}' for k in LAGS)}, {_run(7, _EMPTY)} as empty_days_7, {_run(28, _EMPTY)} as empty_days_28, {_EMPTY} as was_empty,
+    {_run(28, f'sold * (1 - {_EMPTY})')} as in_stock_units, {_run(28, f'1 - {_EMPTY}')} as in_stock_days, day_no - max(case when closing = 0 then day_no end) over ({_PAIR}) as since, {_run(7)} as u7,
+    lag(sold, 6) over ({_PAIR}) + lag(sold, 5) over ({_PAIR}) as two_days,
+    {', '.join(f'case when n_seen >= 364 then cast(sum(sold) over ({_PAIR} rows between 363 preceding and {364 - h} preceding) as bigint) end as yearly_{h}' for h in HORIZONS)},
+    {', '.join(f'case when count(*) over ({_PAIR} rows between 1 following and {h} following) = {h} then cast(sum({e}) over ({_PAIR} rows between 1 following and {h} following) as bigint) end as {n}_{h}' for h in HORIZONS for n, e in (('target', 'sold'), ('censored', _EMPTY)))}
+  from feature_rows),
+v_features as (
+  select f.* exclude (in_stock_units, in_stock_days, since, u7, two_days), case when n_seen >= 28 then coalesce(in_stock_units / nullif(in_stock_days, 0), mean_28) end as mean_28_in_stock,
+    coalesce(least(since, {SINCE_CAP}), {SINCE_CAP + 1}) as days_since_empty, c.dow as next_dow, c.day as next_day, c.month as next_month, c.quarter as next_quarter, c.iso_week as next_week, cast(c.is_weekend as int) as next_weekend,
+    mean_7 / (mean_28 + 0.1e0) as ratio_7_28, closing / (mean_28 + 0.1e0) as stock_to_demand, case when empty_days_7 > 0 then 1 else 0 end as empty_last_7,
+    sin(2 * pi() * (c.dow - 1) / 7) as dow_sin, cos(2 * pi() * (c.dow - 1) / 7) as dow_cos, sin(2 * pi() * (c.month - 1) / 12) as month_sin, cos(2 * pi() * (c.month - 1) / 12) as month_cos,
+    cast(regexp_extract(family, '([0-9]+)$', 1) as int) as family_no, u7 as weekly_7, 2 * u7 as weekly_14, 4 * u7 + two_days as weekly_30
+  from feature_sums f left join t_calendar c on c.day_no = f.day_no + 1)
 """

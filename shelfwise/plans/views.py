@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..sources.io import stored
 from ..sources.roles import Roles
 from .ledger import ledger, write_offs
-from .series import SERIES_SQL, lot_series, stock_series
+from .series import SERIES_SQL, demand_features, lot_series, stock_series
 
 MONEY = 100.0
 
@@ -36,9 +36,7 @@ def item_performance(sales: DataFrame, calendar: DataFrame) -> DataFrame:
     totals = sales.groupBy("item_key", "category", "maker").agg(
         F.sum("quantity").alias("units"), F.sum("total_c").alias("revenue_c"), F.countDistinct("transaction_id").alias("transaction_count"), F.countDistinct("d").alias("sales_days"),
     )
-    ranked = totals
-    for c in ("revenue_c", "units", "transaction_count"):
-        ranked = with_rank(ranked, c)
+    ranked = with_ranks(totals, ["revenue_c", "units", "transaction_count"])
     whole = totals.agg(F.count(F.lit(1)).alias("n_items"), F.sum("revenue_c").alias("all_revenue_c"))
     days = calendar.agg(F.count(F.lit(1)).alias("n_days"))
     # percent_rank from the low end: items with fewer units, of all others
@@ -51,20 +49,26 @@ def item_performance(sales: DataFrame, calendar: DataFrame) -> DataFrame:
     )
 
 
-def with_rank(rows: DataFrame, column: str, buckets: int = 64) -> DataFrame:
-    """rows with `<column>_rank`, from the largest value on, and `<column>_ties`, rows of the same value.
+def with_ranks(rows: DataFrame, columns: list[str], buckets: int = 64) -> DataFrame:
+    """rows with `<column>_rank`, from the largest value on, and `<column>_ties`, rows of the same value, for each column.
 
     Values are cut into buckets at approximate quantiles; a rank is the rows of higher buckets and the rank within the bucket. So no
-    task sorts all rows, and what is broadcast is a row a bucket.
+    task sorts all rows; what is broadcast is one row of quantiles and one of bucket sizes.
     """
-    edges = rows.agg(F.array_distinct(F.percentile_approx(column, [k / buckets for k in range(1, buckets)])).alias("_edges"))
-    placed = rows.crossJoin(F.broadcast(edges)).withColumn("_bucket", F.size(F.filter("_edges", lambda e: e < F.col(column)))).drop("_edges")
-    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # one row a bucket
-    ahead = sizes.select("_bucket", (F.sum("_n").over(W.orderBy(F.desc("_bucket"))) - F.col("_n")).alias("_ahead"))
-    inside = W.partitionBy("_bucket")
-    out = placed.join(F.broadcast(ahead), "_bucket").withColumn(f"{column}_rank", F.col("_ahead") + F.rank().over(inside.orderBy(F.desc(column))))
-    return out.withColumn(f"{column}_ties", F.count(F.lit(1)).over(W.partitionBy("_bucket", column))).drop("_bucket", "_ahead")
+    edges = rows.agg(*(F.array_distinct(F.percentile_approx(c, [k / buckets for k in range(1, buckets)])).alias(f"_edges_{c}") for c in columns))
+
+    def bucket(c: str) -> Column:
+        return F.size(F.filter(f"_edges_{c}", lambda e: e < F.col(c)))
+
+    placed = rows.crossJoin(F.broadcast(edges)).withColumns({f"_bucket_{c}": bucket(c) for c in columns}).drop(*edges.columns)
+    # rows of each bucket and of all higher ones, as arrays by bucket number
+    sizes = placed.agg(*(F.count_if(F.col(f"_bucket_{c}") > k).alias(f"_{c}_{k}") for c in columns for k in range(buckets)))
+    above = sizes.select(*(F.array(*(F.col(f"_{c}_{k}") for k in range(buckets))).alias(f"_above_{c}") for c in columns))
+    out = placed.crossJoin(F.broadcast(above))
+    for c in columns:
+        inside = W.partitionBy(f"_bucket_{c}").orderBy(F.desc(c))
+        out = out.withColumn(f"{c}_rank", F.element_at(f"_above_{c}", F.col(f"_bucket_{c}") + 1) + F.rank().over(inside)).withColumn(f"{c}_ties", F.count(F.lit(1)).over(W.partitionBy(f"_bucket_{c}", c)))
+    return out.drop(*(f"_{x}_{c}" for x in ("bucket", "above") for c in columns))
 
 
 def site_performance(sales: DataFrame) -> DataFrame:
@@ -132,7 +136,7 @@ def expiry_risk(r: Roles) -> DataFrame:
 
 
 #: What the mart keeps once it was asked for: the dense stock facts, the lots, the ranks of all items and the series' features.
-KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries")
+KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries", "v_features")
 
 
 @dataclass(frozen=True)
@@ -147,7 +151,7 @@ class Mart:
             "t_sales": lambda: r.sales, "t_receipts": lambda: r.receipts, "t_batches": lambda: r.batches, "t_calendar": lambda: r.calendar,
             "t_ledger": lambda: ledger(r), "t_lots": lambda: write_offs(r), "v_monthly": lambda: monthly_sales(r.sales), "v_item": lambda: item_performance(r.sales, r.calendar),
             "v_site": lambda: site_performance(r.sales), "v_demand": lambda: demand_stats(self.table("t_ledger"), r.calendar), "v_stockout": lambda: stockout_summary(self.table("t_ledger")),
-            "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r), "v_series": lambda: stock_series(self.table("t_ledger")), "v_lotseries": lambda: lot_series(r.receipts),
+            "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r), "v_series": lambda: stock_series(self.table("t_ledger")), "v_lotseries": lambda: lot_series(r.receipts), "v_features": lambda: demand_features(self.table("t_ledger"), r.calendar),
         }
         if r.kept is None or name not in KEPT:
             return made[name]()

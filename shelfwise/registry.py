@@ -54,3 +54,4 @@ ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str)
 
 QUERIES |= fitted.QUERIES
 ORACLES |= fitted.ORACLES
+ORACLES |= {f"V{k}_{name[2:]}": with_roles(f"select * from {name}") for k, name in fitted.VIEWS.items()}

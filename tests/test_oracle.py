@@ -8,7 +8,7 @@ import pytest
 import __spark_entry__
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["S1_sales_kpis", "S7", "B4_top3_per_category_site", "I6", "I15", "X2", "X11", "P7", "D4", "D6", "K2", "K8", "O1_time_rollup", "O18_cube", "A14", "C2", "C4", "C10", "C14", "C21", "E5", "E7", "Q5", "W12", "W14", "G8", "N3", "N12", "H6", "Y6", "Y10", "F2", "F7_clean_sales", "IO1_contract", "ST2_run_onset"]
+NAMES = ["S1_sales_kpis", "S7", "B4_top3_per_category_site", "I6", "I15", "X2", "X11", "P7", "D4", "D6", "K2", "K8", "O1_time_rollup", "O18_cube", "A14", "C2", "C4", "C10", "C14", "C21", "E5", "E7", "Q5", "W12", "W14", "G8", "N3", "N12", "H14", "Y6", "Y10", "F2", "F7_clean_sales", "IO1_contract", "ST2_run_onset"]
 
 
 def canonical(rows, columns):
