@@ -27,6 +27,8 @@ class Graph:
     overlap: int = 4
     part_rows: int = 1500
     query_rows: int = 1024
+    #: keys over which the rows of one shard are dealt for look-ups by shard
+    salts: int = 32
     #: neighbours considered and kept by pruning; slack of the pruning; random neighbours added for long edges
     pool: int = 48
     degree: int = 16
@@ -286,17 +288,23 @@ def search_round(walk: DataFrame, members: DataFrame, how: Graph) -> DataFrame:
     shards = parts.join(visits.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.query_rows).cast("int").alias("blocks")), "shard")
     numbers = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     block = F.pmod(F.xxhash64(F.lit(1), "vec_id"), F.col("blocks")).cast("int")
-    queries = visits.join(shards, "shard").withColumn("part", numbers("parts")).select("shard", "part", block.alias("block"), *columns, F.lit(False).alias("member"))
-    targets = members.select("shard", "part", "vec_id").join(shards.select("shard", "blocks"), "shard").join(walk, "vec_id").withColumn("block", numbers("blocks"))
+    queries = _of_shard(visits, shards, how).withColumn("part", numbers("parts")).select("shard", "part", block.alias("block"), *columns, F.lit(False).alias("member"))
+    targets = _of_shard(members.select("shard", "part", "vec_id"), shards.select("shard", "blocks"), how).join(walk, "vec_id").withColumn("block", numbers("blocks"))
     both = targets.select("shard", "part", "block", *columns, F.lit(True).alias("member")).unionByName(queries)
     return both.groupBy("shard", "part", "block").applyInPandas(search, "vec_id long, n_links long, other long, visit long")
 
 
+def _of_shard(rows: DataFrame, per_shard: DataFrame, how: Graph) -> DataFrame:
+    """rows (shard, vec_id, ...) with the values of their shard: a shard's rows are dealt over `salts` keys, per_shard is repeated for each."""
+    salted = per_shard.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(how.salts - 1))))
+    return rows.withColumn("salt", F.pmod(F.xxhash64(F.lit(2), "vec_id"), F.lit(how.salts)).cast("int")).join(salted, ["shard", "salt"]).drop("salt")
+
+
 def walk_graph(reps: DataFrame, centers: np.ndarray, bits: np.ndarray, overlap: int, how: Graph) -> DataFrame:
     """What all rounds find: (vec_id, n_links) to be added up and (vec_id, other)."""
     members = stored(_assigned(reps, centers, bits, overlap), "shards")
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.part_rows).cast("int").alias("parts"))
-    members = members.join(sizes, "shard").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    members = _of_shard(members, sizes, how).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
     union = united_graph(members, how)
     at_home = members.where("shard = home").select("vec_id", "n", "vector", "home")
     none = F.array().cast("array<long>")
