@@ -115,5 +115,5 @@ def test_segments_and_preparation(spark):
     vectors, kept, report = models.prepare_features(df, "item_key", ["units", "close", "flat", "wide"])
     assert "flat" not in kept and "units" in kept and {r["feature"]: r["logged"] for r in report}["wide"]
     quality = models.segment_quality(vectors, range(2, 5))
-    assert sum(q[3] for q in quality) == 1 and all(a[1] >= b[1] for a, b in zip(quality, quality[1:]))
+    assert sum(q[-1] for q in quality) == 1 and all(a[1] >= b[1] for a, b in zip(quality, quality[1:]))
     assert models.segments(vectors, df.select("item_key", "units"), "item_key", 3).select("segment").distinct().count() == 3
