@@ -11,7 +11,7 @@ from .reports import total, where
 
 #: Header synonyms of the canonical columns.
 SYNONYMS = {
-    "transaction_date": ("date", "sale date", "bill date", "transaction date"), "item_id": ("item code", "item", "sku", "product id", "medicine id"), "quantity": ("qty", "quantity", "units"),
+    "transaction_date": ("date", "sale date", "bill date", "transaction date"), "item_id": ("item code", "item", "sku", "product id"), "quantity": ("qty", "quantity", "units"),
     "unit_price": ("price", "rate", "unit price", "unit selling price"), "transaction_id": ("bill no", "invoice", "transaction id", "receipt no"), "site_id": ("store", "branch", "site", "branch id"), "discount": ("discount", "disc"),
 }
 
