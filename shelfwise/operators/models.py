@@ -97,13 +97,13 @@ def prepare_features(df: DataFrame, key: str, features: list[str]) -> tuple[Data
     return model.transform(shaped).select(key, "vector"), kept, report
 
 
-def segment(vectors: DataFrame, k: int, starts: int = 20):
+def segment(vectors: DataFrame, k: int, starts: int = 5):
     """K-means of the lowest cost over seeded starts."""
     fits = [KMeans(featuresCol="vector", predictionCol="segment", k=k, seed=s).fit(vectors) for s in range(starts)]
     return min(fits, key=lambda m: m.summary.trainingCost)
 
 
-def segment_quality(vectors: DataFrame, ks: range = range(2, 9), starts: int = 20) -> list[tuple]:
+def segment_quality(vectors: DataFrame, ks: range = range(2, 9), starts: int = 5) -> list[tuple]:
     """(k, cost, silhouette, calinski_harabasz, davies_bouldin, chosen): the smallest k from 3 on within 0.02 of the best silhouette."""
     rows = []
     vectors = vectors.persist()
