@@ -42,16 +42,34 @@ MATCHED = f"""(select x.anomaly_type, x.site, x.maker, x.first_day, max(case whe
   left join {EVENTS} e on e.event_type = x.anomaly_type and e.site = x.site and e.maker = x.maker and x.first_day <= e.end_day and x.last_day >= e.start_day
   where x.grain = 'site_maker' group by x.anomaly_type, x.site, x.maker, x.first_day)"""
 
+# every behaviour feature of a maker's items over the whole calendar; weeks are whole ISO weeks, deviations come from exact sums
+_DAYS = "(select count(*) as days from t_calendar)"
+_BY_DAY = f"(select maker, day_no, {total('sold')} as units, {total('closing')} as stock, {total('value_c')} as value_c from t_ledger group by maker, day_no)"
+_BY_WEEK = f"(select maker, iso_year, iso_week, {total('sold')} as week from t_ledger l join t_calendar c on c.day_no = l.day_no group by maker, iso_year, iso_week having count(distinct l.day_no) = 7)"
+_WEEKLY = f"(select maker, count(*) as n, {total('week')} as s, {total('week * week')} as ss, max(week) as best_week from {_BY_WEEK} w0 group by maker)"
+_EMPTY = f"""(select maker, {total('case when closing = 0 then 1 else 0 end')} as stockout_days, count(*) as site_days, {total('case when closing = 0 and coalesce(before, 1) <> 0 then 1 else 0 end')} as stockout_events
+  from (select maker, closing, lag(closing) over (partition by site_key, maker order by day_no) as before from t_ledger) e0 group by maker)"""
+_EXPIRY = f"""(select maker, {total('case when days_to_expiry <= 0 then remaining else 0 end')} as expired_units, {total('case when days_to_expiry <= 0 then value_c else 0 end')} as expired_value_c,
+  {total('case when days_to_expiry > 0 then value_at_risk_c else 0 end')} as expiry_risk_c from v_expiry group by maker)"""
+ITEM_FEATURES = f"""select p.maker, p.items, p.units, p.revenue_c, p.revenue_c / nullif(p.units, 0) as average_price_c, p.units / t.days as daily_units, p.revenue_c / t.days as daily_revenue_c,
+    w.weekly_units, w.weekly_sd, w.weekly_sd / nullif(w.weekly_units, 0) as weekly_cv, w.weekly_sd / nullif(sqrt(w.weekly_units), 0) as dispersion, w.best_week, d.sales_days, d.zero_sales_days, d.average_stock, d.average_value_c,
+    k.closing, k.value_c, g.cogs_c / nullif(d.average_value_c, 0) * 365.25e0 / t.days as turnover, k.closing * 30 / nullif(k.units_30d, 0) as days_of_inventory, e.stockout_days, e.stockout_days / e.site_days as stockout_rate, e.stockout_events,
+    coalesce(x.expired_units, 0) as expired_units, coalesce(x.expired_value_c, 0) as expired_value_c, coalesce(x.expiry_risk_c, 0) as expiry_risk_c, r.lots, r.bought, r.spend_c, r.spend_c / nullif(r.bought, 0) as average_cost_c
+  from (select maker, {total('units')} as units, {total('revenue_c')} as revenue_c, count(*) as items from v_item group by maker) p cross join {_DAYS} t
+  join (select maker, count(*) filter (where units > 0) as sales_days, count(*) filter (where units = 0) as zero_sales_days, {total('stock')} / count(*) as average_stock, {total('value_c')} / count(*) as average_value_c from {_BY_DAY} d0 group by maker) d on d.maker = p.maker
+  join (select maker, s / n as weekly_units, case when n > 1 then sqrt(cast(n * ss - s * s as double) / (n * (n - 1))) end as weekly_sd, best_week from {_WEEKLY} w1) w on w.maker = p.maker
+  join (select maker, {total('closing')} as closing, {total('value_c')} as value_c, {total('units_30d')} as units_30d from v_stock group by maker) k on k.maker = p.maker
+  join {_EMPTY} e on e.maker = p.maker left join {_EXPIRY} x on x.maker = p.maker
+  left join (select maker, count(*) as lots, {total('quantity')} as bought, {total('total_c')} as spend_c from t_receipts group by maker) r on r.maker = p.maker
+  left join (select s.maker, {total('s.quantity * b.cost_c')} as cogs_c from t_sales s join t_batches b on b.batch_id = s.batch_id group by s.maker) g on g.maker = p.maker"""
+
 TEXTS = {
     "N1": f"select transaction_id, item from {BASKETS} b",
     "N2": f"select itemset, size, c as support_count, c / n as support from {ITEMSETS} i cross join {COUNT} n",
     "N3": f"select r.antecedent, r.consequent, r.antecedent_size, r.consequent_size, r.c as support_count, r.ca as antecedent_count, r.cb as consequent_count, r.support, r.confidence, r.lift, r.leverage, r.conviction, case when q.antecedent is null then false else true end as reverse_rule_present from {RULES} r left join {RULES} q on q.antecedent = r.consequent and q.consequent = r.antecedent",
     "N4": f"select s.support, i.size, count(*) as itemsets from {ITEMSETS} i cross join {COUNT} n join (select 0.002 as support union all select 0.004 union all select 0.008) s on i.c >= ceil(s.support * n.n) group by s.support, i.size",
     "N5": f"select antecedent, consequent, confidence, lift from (select *, row_number() over (partition by least(antecedent, consequent), greatest(antecedent, consequent) order by confidence desc, antecedent) as place from {RULES} r where antecedent_size = 1 and consequent_size = 1) x where place = 1 order by lift desc, antecedent, consequent limit 15",
-    "N6": f"""select p.maker, p.units, p.revenue_c, p.items, d.stockout_days, k.closing, k.value_c, r.lots, r.bought, r.average_cost_c, w.weekly_units, w.best_week from (select maker, {total('units')} as units, {total('revenue_c')} as revenue_c, count(*) as items from v_item group by maker) p
-      join (select maker, {total('stockout_days')} as stockout_days from v_stockout group by maker) d on d.maker = p.maker join (select maker, {total('closing')} as closing, {total('value_c')} as value_c from v_stock group by maker) k on k.maker = p.maker
-      join (select maker, count(*) as lots, {total('quantity')} as bought, {total('total_c')} / {total('quantity')} as average_cost_c from t_receipts group by maker) r on r.maker = p.maker
-      join (select maker, {total('week')} / count(*) as weekly_units, max(week) as best_week from (select maker, iso_year, iso_week, {total('sold')} as week from t_ledger l join t_calendar c on c.day_no = l.day_no group by maker, iso_year, iso_week having count(distinct l.day_no) = 7) w0 group by maker) w on w.maker = p.maker""",
+    "N6": ITEM_FEATURES,
     "N7": "select grain, site, maker, day_no, units_7d, usual_7d, z7, usual_day, zd, (sold + 1) / (usual_day + 1) as ratio_to_usual_day, (units_7d + 1) / (usual_7d + 1) as ratio_to_usual_week, empty_days_7, stock_run from v_series where z7 is not null",
     "N9": f"select grain, site, maker, day_no, spike, drop_flag, stockout_onset from {FLAGS} f where spike or drop_flag or stockout_onset",
     "N10": f"select anomaly_type, grain, site, count(*) as n, min(day_no) as first_day from (select grain, site, day_no, {KIND} as anomaly_type from {FLAGS} f where spike or drop_flag or stockout_onset) x group by anomaly_type, grain, site",
