@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import fefo, forecasting, ingest, mining, models
+from ..operators import dimensions, fefo, forecasting, ingest, mining, models
 from ..operators.reports import run_sql
 from ..sources.io import fingerprint, stored, violations
 from ..sources.roles import read, roles
@@ -49,14 +49,27 @@ def f4_opening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fefo.opening_lots(f1_allocation(spark, sf_dir))
 
 
-def f7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cleaned_sales(spark: SparkSession, sf_dir: str) -> ingest.CleanSales:
     raw = ingest.raw_lines(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
-    return ingest.clean_sales(raw, ingest.suggest_mapping(raw.columns))[0]
+    return ingest.clean_sales(raw, ingest.suggest_mapping(raw.columns))
 
 
-def f7_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = ingest.raw_lines(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
-    return ingest.clean_sales(raw, ingest.suggest_mapping(raw.columns))[1]
+def _cleaned_purchases(spark: SparkSession, sf_dir: str) -> ingest.CleanPurchases:
+    raw = ingest.raw_receipts(read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "orders"))
+    return ingest.clean_purchases(raw, ingest.suggest_mapping(raw.columns, ingest.PURCHASE_SYNONYMS), _cleaned_sales(spark, sf_dir).sales)
+
+
+def _cleaned(part: str) -> Callable[[SparkSession, str], DataFrame]:
+    make = _cleaned_purchases if part in ingest.CleanPurchases._fields and part != "reasons" else _cleaned_sales
+    return lambda spark, sf_dir: getattr(make(spark, sf_dir), part)
+
+
+def f8_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cleaned_purchases(spark, sf_dir).reasons
+
+
+def _dimension(name: str) -> Callable[[SparkSession, str], DataFrame]:
+    return lambda spark, sf_dir: dimensions.build_dimensions(roles(spark, sf_dir), *(read(spark, sf_dir, t) for t in ("part", "region", "supplier", "nation")))[name]
 
 
 def io1_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +227,14 @@ ST2 = """select site, maker, day_no from (select site, maker, day_no, row_number
 VIEWS = {1: "v_monthly", 2: "v_item", 3: "v_site", 4: "v_demand", 5: "v_stockout", 6: "v_stock", 7: "v_expiry"}
 
 QUERIES = {
-    "F1_fefo_allocation": f1_allocation, "F4_opening_lots": f4_opening, "F7_clean_sales": f7_clean, "F7_reasons": f7_reasons, "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
+    "F1_fefo_allocation": f1_allocation, "F4_opening_lots": f4_opening, "F7_clean_sales": _cleaned("sales"), "F7_reasons": _cleaned("reasons"), "F7_items": _cleaned("items"),
+    "F8_receipts": _cleaned("receipts"), "F8_lots": _cleaned("lots"), "F8_suppliers": _cleaned("suppliers"), "F8_reasons": f8_reasons, **{f"E4_{d}": _dimension(d) for d in dimensions.DIMENSION_SQL},
+    "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
     "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary, "N18_plane": n18_plane,
     "H7_boosted_model": h7_model, "H8_parameter_search": h8_search, "H9_censoring": h9_censoring, "H10_forecasts": h10_forecasts, "H12_intervals": h12_intervals, "H13_importance": h13_importance, "ST1_admission": st1_admission,
     **{f"V{k}_{name[2:]}": _view(name) for k, name in VIEWS.items()},
 }
-ORACLES = {"F7_clean_sales": ingest.CLEAN_SQL, "F7_reasons": ingest.REASONS_SQL, "IO1_contract": IO1_SQL}
+ORACLES = {
+    "F7_clean_sales": ingest.CLEAN_SQL, "F7_reasons": ingest.REASONS_SQL, "F7_items": ingest.ITEMS_SQL, "F8_receipts": ingest.RECEIPTS_SQL, "F8_lots": ingest.LOTS_SQL, "F8_suppliers": ingest.SUPPLIERS_SQL,
+    "F8_reasons": ingest.PURCHASE_REASONS_SQL, "IO1_contract": IO1_SQL,
+}

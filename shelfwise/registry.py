@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators.dimensions import DIMENSION_SQL
 from .operators.forecasting import TEXTS as FORECASTING
 from .operators.ingest import TEXTS as INGEST
 from .operators.mining import TEXTS as MINING
@@ -55,3 +56,4 @@ ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str)
 QUERIES |= fitted.QUERIES
 ORACLES |= fitted.ORACLES
 ORACLES |= {f"V{k}_{name[2:]}": with_roles(f"select * from {name}") for k, name in fitted.VIEWS.items()}
+ORACLES |= {f"E4_{name}": with_roles(text) for name, text in DIMENSION_SQL.items()}

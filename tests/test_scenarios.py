@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import fefo, ingest, models
+from shelfwise.operators.dimensions import build_dimensions, with_key
 from shelfwise.plans.views import current_stock
 from shelfwise.sources import io
+from shelfwise.sources.roles import read, roles
 from shelfwise.streaming.stateful import admission, admission_stream, admit, run_onset_stream
 
 
@@ -39,11 +41,69 @@ def test_clean_sales_counts_reasons_and_merges(spark):
     )
     mapping = ingest.suggest_mapping(raw.columns)
     assert mapping == {"transaction_date": "Bill Date", "item_id": "Item Code", "quantity": "Qty", "unit_price": "Rate", "transaction_id": "Bill No", "discount": "Disc"}
-    sales, reasons = ingest.clean_sales(raw, mapping)
-    assert {r.reason: r.n for r in reasons.collect()} == {"kept": 2, "no date": 1, "bad quantity": 1, "bad price": 1, "no item": 1}
-    row = sales.collect()
+    good = spark.createDataFrame([(f"c{k}", f"2024-01-0{1 + k % 3}", "z", "1", "0.01", "9.00") for k in range(30)], raw.schema)
+    sales, reasons, items, report = ingest.clean_sales(raw.union(good), mapping, least_rows=1)
+    assert {r.reason: r.n for r in reasons.collect()} == {"kept": 32, "no date": 1, "bad quantity": 1, "bad price": 1, "no item": 1, "merged into one": 1}
+    row = sales.where("item_id = 'x'").collect()
     assert len(row) == 1 and row[0].quantity == 3 and row[0].merged == 2
-    assert row[0].discount_c == 500 + 1000  # the second line's discount stops at its gross value
+    # 2 x 1000.50 and 1 x 10.00 are 670.33 a unit; the total follows from it
+    assert (row[0].price_c, row[0].discount_c, row[0].total_c) == (67033, 10400, 3 * 67033 - 10400)
+    assert {r.total_c for r in sales.where("item_id = 'z'").collect()} == {0}  # a discount stops at the value of its line
+    assert {r.item_id: (r.item_name, r.category) for r in items.collect()} == {k: (k, ingest.NO_CATEGORY) for k in "xz"}
+    assert report["days"] == 3 and report["capabilities"]["association_rules"] and not report["capabilities"]["multi_site"]
+
+
+def test_unusable_sales_files_are_refused(spark):
+    columns = "d string, item string, qty string, price string, note string"
+    rows = [(f"2024-01-{1 + k % 9:02d}", "x", "1", "1.00", None) for k in range(90)]
+    mapping = {"transaction_date": "d", "item_id": "item", "quantity": "qty", "unit_price": "price"}
+    with pytest.raises(ingest.UploadError, match="dates can't be read"):
+        ingest.clean_sales(spark.createDataFrame(rows + [("31/31", "x", "1", "1.00", None)] * 10, columns), mapping)
+    with pytest.raises(ingest.UploadError, match="at least 100"):
+        ingest.clean_sales(spark.createDataFrame(rows, columns), mapping)
+    with pytest.raises(ingest.UploadError, match="no column for item_id; quantity: no column 'units'"):
+        ingest.clean_sales(spark.createDataFrame(rows, columns), {"transaction_date": "d", "quantity": "units", "unit_price": "price"})
+    with pytest.raises(ingest.UploadError, match="over 40 characters"):
+        ingest.clean_sales(spark.createDataFrame([*rows, ("2024-01-01", "x" * 41, "1", "1.00", None)] * 2, columns), mapping)
+    # no transaction ids: equal lines are transactions of their own
+    got = ingest.clean_sales(spark.createDataFrame(rows + rows, columns), mapping)
+    assert got.sales.count() == 180 == got.sales.select("transaction_id").distinct().count() and not got.report["capabilities"]["association_rules"]
+
+
+def test_clean_purchases(spark):
+    sales = spark.createDataFrame([("2024-02-01", "A"), ("2024-03-01", "A")], "d string, site_id string").withColumn("d", F.to_date("d"))
+    raw = spark.createDataFrame(
+        [
+            ("2024-01-01", "x", "4", "1.00", "b", "2024-12-01", "Zed"), ("2024-02-05", "x", "2", "4.00", "b", "2024-11-01", "Zed"), ("2024-02-05", "y", "1", "1.00", "c", "2024-12-01", ""),
+            ("2024-02-05", "x", "1", "1.00", "c", "2024-12-01", "Abe"), ("2024-02-06", "y", "1", "1.00", "", "", "Abe"), ("2024-02-06", "y", "1", "1.00", "", "", "Abe"), ("2024-01-01", "y", "1", "1.00", "e", "2024-02-01", "Abe"),
+            ("2024-03-02", "y", "1", "1.00", "f", "2024-12-01", "Abe"), ("2024-02-05", "", "1", "1.00", "f", "2024-12-01", "Abe"), ("2024-02-05", "y", "0", "1.00", "f", "2024-12-01", "Abe"), ("2024-02-05", "y", "1", "x", "f", "2024-12-01", "Abe"),
+            ("2024-02-05", "y", "1", "0", "f", "2024-12-01", "Abe"),
+        ],
+        "Received string, Item string, Qty string, Cost string, Lot string, Expiry string, Vendor string",
+    )
+    mapping = ingest.suggest_mapping(raw.columns, ingest.PURCHASE_SYNONYMS)
+    receipts, lots, suppliers, reasons = ingest.clean_purchases(raw, mapping, sales)
+    assert {r.reason: r.n for r in reasons.collect()} == {"kept": 6, "expired when received": 1, "after the last sale": 1, "no item": 1, "bad quantity": 1, "no number": 1, "bad cost": 1}
+    assert {r.site_id for r in receipts.collect()} == {"A"} and str(receipts.agg(F.min("d")).first()[0]) == "2024-02-01"
+    lot = {r.batch_id: r for r in lots.collect()}
+    assert (lot["b"].quantity, lot["b"].cost_c, str(lot["b"].expires), lot["b"].differing_expiry) == (6, 200, "2024-11-01", True)
+    assert {"b", "c-x", "c-y"} < set(lot) and sum(k.startswith("L-") for k in lot) == 2 and len(lot) == 5
+    assert sorted(tuple(r) for r in suppliers.collect()) == [("SUP0001", "Abe"), ("SUP0002", ingest.NO_SUPPLIER), ("SUP0003", "Zed")]
+    with pytest.raises(ingest.UploadError, match="several sites"):
+        ingest.clean_purchases(raw, mapping, sales.union(sales.withColumn("site_id", F.lit("B"))))
+    with pytest.raises(ingest.UploadError, match="expiry dates can't be read"):
+        ingest.clean_purchases(raw.withColumn("Expiry", F.lit("soon")), mapping, sales)
+
+
+def test_keys_and_dimensions(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("natural"), F.lit("x").alias("other")).repartition(7)
+    assert sorted(tuple(r) for r in with_key(df, "natural", "sk").collect()) == [(k + 1, k, "x") for k in range(1000)]
+    sf = "/root/testdata/sf0.001"
+    tables = {t: read(spark, sf, t) for t in ("part", "region", "supplier", "nation")}
+    made = build_dimensions(roles(spark, sf), **tables)
+    assert made["item"].count() == tables["part"].count() and made["batch"].where("batch_sk is null or item_sk is null").isEmpty()
+    with pytest.raises(ValueError, match="supplier: null or unresolved key in area"):
+        build_dimensions(roles(spark, sf), **tables | {"nation": tables["nation"].where("n_nationkey > 3")})
 
 
 @pytest.mark.parametrize(("closing", "units", "status"), [(90, 30, "NORMAL"), (91, 30, "OVERSTOCK"), (0, 30, "OUT_OF_STOCK"), (6, 30, "LOW_STOCK"), (5, 0, "NO_DEMAND")])
