@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .alignment import op12_alignment
 from .boosting import op10_quality_forest
 from .bpe_tree import op4_bpe_tree
 from .fertility import op7_fertility
@@ -17,7 +18,7 @@ from .toxicity import op9_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_revisits, op2_licenses, op3_vector_graph, op4_bpe_tree, op5_feistel_shards, op6_packing, op7_fertility, op8_superminhash, op9_toxicity, op10_quality_forest, op11_token_counts, op13_filter_audit)
+    for f in (op1_revisits, op2_licenses, op3_vector_graph, op4_bpe_tree, op5_feistel_shards, op6_packing, op7_fertility, op8_superminhash, op9_toxicity, op10_quality_forest, op11_token_counts, op12_alignment, op13_filter_audit)
 }
 
 #: DuckDB SQL for the queries that SQL can express.

@@ -22,15 +22,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def hf_tokenizer(path: str):
-    if path not in _OPEN:
+def hf_tokenizer(path: str, plain: bool = False):
+    """plain: special tokens' strings inside texts are plain text."""
+    if (path, plain) not in _OPEN:
         from tokenizers import Tokenizer
 
         found = Tokenizer.from_file(path)
         found.no_truncation()
         found.no_padding()
-        _OPEN[path] = found
-    return _OPEN[path]
+        found.encode_special_tokens = plain
+        _OPEN[path, plain] = found
+    return _OPEN[path, plain]
 
 
 def rank_encoding(path: str):
