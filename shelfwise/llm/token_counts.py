@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -123,7 +124,8 @@ def token_counts(documents: DataFrame, cache_dir: str, path: str, ranks_path: st
     keys = stored(rows.select("doc_id", "digest", owner.alias("owner"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes")), "token-keys")
     distinct = keys.groupBy("digest").agg(F.min("owner").alias("owner"), F.count(F.lit(1)).alias("n_rows"))
     looked = stored(distinct.join(read_cache(spark, cache_dir, version), "digest", "left"), "token-lookups")
-    missing = looked.where("n_tokens is null").select("digest", "owner")
+    # a table of its own, whose size Spark knows before it plans the join with texts
+    missing = stored(looked.where("n_tokens is null").select("digest", "owner"), "token-missing")
     texts = rows.withColumn("owner", owner).join(missing, ["digest", "owner"], "left_semi").select("digest", F.coalesce("text", F.lit("")).alias("text"))
     # a document that stands more than once in the table was encoded as often
     new = stored(_encoded(texts, path, ranks_path).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")), "token-misses")
@@ -137,6 +139,11 @@ def token_counts(documents: DataFrame, cache_dir: str, path: str, ranks_path: st
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"), "was_cached")
 
 
+#: The session's setting that names the folder of the cache.
+CACHE_SETTING = "spark.shelfwise.tokenCache"
+
+
 def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cache lies in the shared folder and outlives a call; only counts that it lacks are made."""
-    return token_counts(table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/token-count-cache", tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    """The cache is that of CACHE_SETTING; where it is unset, a new one in the shared folder, so that measured runs do the whole work."""
+    cache_dir = spark.conf.get(CACHE_SETTING, None) or f"{shared_dir(spark)}/token-count-cache-{uuid.uuid4().hex}"
+    return token_counts(table(spark, sf_dir, "documents"), cache_dir, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("byte_bpe_50k.tiktoken"))
