@@ -38,7 +38,7 @@ YEAR, SITES = 1998, "('ASIA', 'EUROPE')"
 TOP_CATEGORY = "(select min(category) from t_sales)"
 LAST = "(select max(day_no) from t_ledger)"
 STATUS_ORDER = "case stock_status when 'OUT_OF_STOCK' then 1 when 'LOW_STOCK' then 2 when 'NORMAL' then 3 when 'OVERSTOCK' then 4 else 5 end"
-RISK_ORDER = "case risk_class when 'EXPIRED' then 1 when 'CRITICAL' then 2 when 'HIGH' then 3 when 'MEDIUM' then 4 when 'LOW' then 5 else 6 end"
+RISK_ORDER = "case risk_class when 'EXPIRED' then 1 when 'CRITICAL' then 2 when 'HIGH' then 3 when 'MEDIUM' then 4 else 5 end"
 
 
 def _by(keys: str, source: str = SALES_DAYS, cond: str = "", tx: bool = True) -> str:
@@ -132,7 +132,7 @@ def _expired_by(keys: str, cond: str = "risk_class = 'EXPIRED'", tail: str = "")
 
 
 def _risk_by(keys: str) -> str:
-    return f"select {keys}, count(*) as lots, {total('projected_unsold')} as projected_unsold, {money('value_at_risk_c')} as value_at_risk, {pct(total('value_at_risk_c'), total('sum(value_at_risk_c)', 'over ()'))} as share_of_risk_pct from v_expiry where days_to_expiry > 0 and projected_unsold > 0 group by {keys}"
+    return f"select {keys}, count(*) as lots, {total('unsold_90')} / 90e0 as projected_unsold, {money('value_at_risk_c')} as value_at_risk, {pct(total('value_at_risk_c'), total('sum(value_at_risk_c)', 'over ()'))} as share_of_risk_pct from v_expiry where days_to_expiry > 0 and projected_unsold > 0 group by {keys}"
 
 
 EXPIRY = {
@@ -147,7 +147,7 @@ EXPIRY = {
     "X8": _expired_by("category", "days_to_expiry between 1 and 90"),
     "X9": _risk_by("category"),
     "X10": _risk_by("site"),
-    "X11": f"""select coalesce(site, 'ALL') as site, coalesce(category, 'ALL') as category, coalesce(maker, 'ALL') as maker, grouping_id(site, category, maker) as level, {total('projected_unsold')} as projected_unsold, {total('value_at_risk_c')} as value_at_risk_c
+    "X11": f"""select coalesce(site, 'ALL') as site, coalesce(category, 'ALL') as category, coalesce(maker, 'ALL') as maker, grouping_id(site, category, maker) as level, {total('unsold_90')} / 90e0 as projected_unsold, {total('value_at_risk_c')} as value_at_risk_c
       from v_expiry where days_to_expiry > 0 and projected_unsold > 0 group by rollup(site, category, maker) order by level desc, value_at_risk_c desc, site, category, maker limit 40""",
     "X12": "select site, batch_id, remaining, days_to_expiry, projected_unsold, value_at_risk_c / 100e0 as value_at_risk, risk_class from v_expiry where days_to_expiry > 0 order by value_at_risk_c desc, site, batch_id limit 20",
     "X13": "select site, batch_id, days_to_expiry, units_90d / 90e0 as daily_demand, units_ahead, remaining, projected_unsold from v_expiry where days_to_expiry between 1 and 30 order by days_to_expiry, remaining desc, site, batch_id limit 20",

@@ -9,11 +9,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.io import stored
-from ..sources.roles import Roles
+from ..sources.roles import Roles, floor_div
 from .ledger import ledger, write_offs
 from .series import SERIES_SQL, demand_features, lot_series, stock_series
 
 MONEY = 100.0
+#: Days to expiry within which unsold units are projected.
+EXPIRY_HORIZON = 365
 
 
 def deviation(n: Column, total: Column, squares: Column) -> Column:
@@ -115,7 +117,11 @@ def current_stock(stock: DataFrame) -> DataFrame:
 
 
 def expiry_risk(r: Roles) -> DataFrame:
-    """Lots with remaining units: days to expiry, units that expire before them at the site, projected unsold units and risk class."""
+    """Lots with remaining units: days to expiry, units that expire before them at the site, projected unsold units and risk class.
+
+    Live lots lose what demand of the last 90 days doesn't sell by their expiry, earlier lots first, if that is within a year: CRITICAL
+    within 30 days, HIGH within 90, MEDIUM later. A lot that will sell is MEDIUM within 90 days and SAFE later. Expired lots lose all.
+    """
     last = r.sales.agg(F.max("day_no").alias("last_day"))
     sold = r.sales.crossJoin(F.broadcast(last)).where("day_no > last_day - 90").groupBy("site_key", "item_key").agg(F.sum("quantity").alias("units_90d"))
     lots = write_offs(r).where("remaining > 0").crossJoin(F.broadcast(last)).join(sold, ["site_key", "item_key"], "left")
@@ -123,15 +129,16 @@ def expiry_risk(r: Roles) -> DataFrame:
     live = F.col("days_to_expiry") > 0
     before = W.partitionBy("site_key", "item_key").orderBy("expiry_day_no", "batch_id").rowsBetween(W.unboundedPreceding, -1)
     lots = lots.withColumn("units_ahead", F.coalesce(F.sum(F.when(live, F.col("remaining")).otherwise(0)).over(before), F.lit(0)))
-    # whole units that sell in time, floor(units_90d * days / 90)
-    can_sell = F.floor(F.col("units_90d") * F.col("days_to_expiry") / 90).cast("long")
-    unsold = F.when(live, F.least(F.col("remaining"), F.greatest(F.col("units_ahead") + F.col("remaining") - can_sell, F.lit(0)))).otherwise(F.col("remaining"))
-    days = F.col("days_to_expiry")
-    risk = F.when(~live, "EXPIRED").when(F.col("projected_unsold") == 0, "SAFE").when(days <= 30, "CRITICAL").when(days <= 90, "HIGH").when(days <= 180, "MEDIUM").otherwise("LOW")
-    out = lots.withColumn("projected_unsold", unsold).withColumn("risk_class", risk)
+    # in ninetieths of a unit, which are whole numbers: what is left when the trailing demand has sold the earlier lots and this one until it expires
+    days, left = F.col("days_to_expiry"), 90 * F.col("remaining")
+    sells = F.least(left, F.greatest(F.col("units_90d") * days - 90 * F.col("units_ahead"), F.lit(0)))
+    unsold = F.when(~live, left).when(days <= EXPIRY_HORIZON, left - sells).otherwise(0)
+    at_risk = F.col("unsold_90") > 0
+    risk = F.when(~live, "EXPIRED").when(at_risk & (days <= 30), "CRITICAL").when(at_risk & (days <= 90), "HIGH").when(at_risk | (days <= 90), "MEDIUM").otherwise("SAFE")
+    out = lots.withColumn("unsold_90", unsold).withColumn("risk_class", risk)
     return out.select(
-        "site_key", "site", "batch_id", "item_key", "category", "maker", "supplier_key", "remaining", "cost_c", "expiry_day_no", "days_to_expiry", "units_90d", "units_ahead", "projected_unsold",
-        (F.col("remaining") * F.col("cost_c")).alias("value_c"), (F.col("projected_unsold") * F.col("cost_c")).alias("value_at_risk_c"), "risk_class",
+        "site_key", "site", "batch_id", "item_key", "category", "maker", "supplier_key", "remaining", "cost_c", "expiry_day_no", "days_to_expiry", "units_90d", "units_ahead", "unsold_90", (F.col("unsold_90") / 90).alias("projected_unsold"),
+        (F.col("remaining") * F.col("cost_c")).alias("value_c"), floor_div(F.col("unsold_90") * F.col("cost_c") + 45, F.lit(90)).alias("value_at_risk_c"), "risk_class",
     )
 
 
@@ -211,12 +218,14 @@ lot_ahead as (
   select *, coalesce(cast(sum(case when days_to_expiry > 0 then remaining else 0 end) over (partition by site_key, item_key order by expiry_day_no, batch_id rows between unbounded preceding and 1 preceding) as bigint), 0) as units_ahead
   from lot_base),
 lot_unsold as (
-  select *, case when days_to_expiry > 0 then least(remaining, greatest(units_ahead + remaining - cast(floor(units_90d * days_to_expiry / 90) as bigint), 0)) else remaining end as projected_unsold
+  select *, case when days_to_expiry <= 0 then remaining * 90 when days_to_expiry > 365 then 0
+    when units_90d * days_to_expiry <= units_ahead * 90 then remaining * 90
+    when units_90d * days_to_expiry >= (units_ahead + remaining) * 90 then 0 else (units_ahead + remaining) * 90 - units_90d * days_to_expiry end as unsold_90
   from lot_ahead),
 v_expiry as (
-  select site_key, site, batch_id, item_key, category, maker, supplier_key, remaining, cost_c, expiry_day_no, days_to_expiry, units_90d, units_ahead, projected_unsold,
-    remaining * cost_c as value_c, projected_unsold * cost_c as value_at_risk_c,
-    case when days_to_expiry <= 0 then 'EXPIRED' when projected_unsold = 0 then 'SAFE' when days_to_expiry <= 30 then 'CRITICAL' when days_to_expiry <= 90 then 'HIGH'
-      when days_to_expiry <= 180 then 'MEDIUM' else 'LOW' end as risk_class
+  select site_key, site, batch_id, item_key, category, maker, supplier_key, remaining, cost_c, expiry_day_no, days_to_expiry, units_90d, units_ahead, unsold_90, unsold_90 / 90 as projected_unsold,
+    remaining * cost_c as value_c, (unsold_90 * cost_c + 45) // 90 as value_at_risk_c,
+    case when days_to_expiry <= 0 then 'EXPIRED' when unsold_90 = 0 then case when days_to_expiry <= 90 then 'MEDIUM' else 'SAFE' end when days_to_expiry <= 30 then 'CRITICAL'
+      when days_to_expiry <= 90 then 'HIGH' else 'MEDIUM' end as risk_class
   from lot_unsold),
 """ + SERIES_SQL.lstrip()
