@@ -12,9 +12,8 @@ from .operators.ingest import TEXTS as INGEST
 from .operators.mining import TEXTS as MINING
 from .operators.quality import CHECKS
 from .operators.relational import TEXTS as RELATIONAL
-from .operators.replenishment import TEXTS as REPLENISHMENT
 from .operators.reports import REPORTS, run_sql
-from .plans import fitted
+from .plans import decided, fitted
 from .plans.ledger import LEDGER_SQL
 from .plans.views import VIEW_SQL, Mart
 from .sources.roles import ROLE_SQL, roles
@@ -49,11 +48,11 @@ def _run(text: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 #: a text for both engines, or a pair (Spark's, the other's)
-TEXTS = REPORTS | CHECKS | RELATIONAL | MINING | FORECASTING | REPLENISHMENT | INGEST | {"ST2_run_onset": fitted.ST2}
+TEXTS = REPORTS | CHECKS | RELATIONAL | MINING | FORECASTING | INGEST | {"ST2_run_onset": fitted.ST2}
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text if isinstance(text, str) else text[0]) for name, text in TEXTS.items()}
 ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str) else text[1]) for name, text in TEXTS.items()}
 
-QUERIES |= fitted.QUERIES
-ORACLES |= fitted.ORACLES
+QUERIES |= fitted.QUERIES | decided.QUERIES
+ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in decided.SQL.items()}
 ORACLES |= {f"V{k}_{name[2:]}": with_roles(f"select * from {name}") for k, name in fitted.VIEWS.items()}
 ORACLES |= {f"E4_{name}": with_roles(text) for name, text in DIMENSION_SQL.items()}
