@@ -153,13 +153,8 @@ class Units(dict):
         self[unit] = at
         return at
 
-    def numbers(self, units: list[str]) -> list[int]:
-        found = [self[u] for u in units]
-        self.settle()
-        return found
-
     def settle(self) -> None:
-        """Aligns the new units, those of about BLOCK bytes in one product; long ones aren't remembered by their text."""
+        """Aligns the units that were new since the last call, those of about BLOCK bytes in one product; forgets the text of long ones."""
         new, self.new = self.new, []
         first, size = 0, 0
         for k, unit in enumerate(new):
@@ -272,16 +267,18 @@ def _aligned(documents: DataFrame, paths: tuple[str, str, str], packed: str) ->
     """Per document the counts of tokens, groups and links, the digest of the groups and the ids of tokens that end together."""
     schema = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_overlaps", "n_shared")), ("groups_sha256", pa.string()), ("pairs", pa.binary())])
 
-    def one(units: Units, text: str | None) -> tuple:
+    nothing = (0, 0, 0, 0, 0, "", b"")
+
+    def one(units: Units, text: str | None, at: list[int]) -> tuple:
         if not text:
-            return 0, 0, 0, 0, 0, "", b""
-        at = units.numbers(text_units(text))
+            return nothing
         if not all(map(units.fits.__getitem__, at)):
             # units that don't give their bytes might make up for each other: the text as one unit decides
-            at = units.numbers([" " + text])
+            at = [units[" " + text]]
+            units.settle()
             if not units.fits[at[0]]:
-                return 0, 0, 0, 0, 0, "", b""
-        counts = [sum(c) for c in zip(*map(units.counts.__getitem__, at))]
+                return nothing
+        counts = np.array([units.counts[k] for k in at]).sum(0).tolist()
         return *counts, hashlib.sha256(b";".join(map(units.groups.__getitem__, at))).hexdigest(), b"".join(map(units.pairs.__getitem__, at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,7 +287,10 @@ def _aligned(documents: DataFrame, paths: tuple[str, str, str], packed: str) ->
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 units.limit()
                 batch = whole.slice(at, SLICE_ROWS)
-                columns = zip(*(one(units, t) for t in batch.column(1).to_pylist()))
+                texts = batch.column(1).to_pylist()
+                numbers = [list(map(units.__getitem__, text_units(t))) if t else [] for t in texts]
+                units.settle()
+                columns = zip(*(one(units, t, at) for t, at in zip(texts, numbers)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:]))], schema=schema)
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
