@@ -26,6 +26,8 @@ from .vocab import hf_tokenizer, piece_model, rank_encoding, space_chunks, token
 BLOCK = 1 << 20
 #: Characters up to which a unit's alignment is kept in a worker's cache.
 KEPT_CHARS = 64
+#: Units that are encoded as one text.
+JOINED = 1024
 KINDS = ("overlap", "group", "end")
 
 
@@ -110,9 +112,9 @@ class Vocabularies:
             return self.fast.encode_ordinary(unit)
         return self.full.encode(unit, add_special_tokens=False).ids
 
-    def encode(self, units: list[str]) -> list[tuple[list[int], list[int]]]:
-        """Ids of units, which begin with the space that B adds on its own."""
-        return list(zip(map(self.encode_a, units), self.pieces.encode([u[1:] for u in units], num_threads=1)))
+    def encode(self, unit: str) -> tuple[list[int], list[int]]:
+        """Ids of a unit, which begins with the space that B adds on its own."""
+        return self.encode_a(unit), self.pieces.encode(unit[1:])
 
     def same_bytes(self, unit: str, a: list[int], b: list[int]) -> bool:
         raw = unit.encode("utf-8", "surrogatepass")
@@ -126,82 +128,113 @@ def _byte_alphabet() -> dict[int, str]:
     return out | {b: chr(256 + k) for k, b in enumerate(x for x in range(256) if x not in out)}
 
 
+def _spelled(sizes: np.ndarray, within: str, last: str) -> tuple[np.ndarray, ...]:
+    """The decimal ids of a vocabulary as strings, followed by the sign within a group and by that at its end."""
+    ids = range(len(sizes))
+    return tuple(np.array([f"{k}{sign}" for k in ids], object) for sign in (within, last))
+
+
 class Units(dict):
-    """Cache: unit -> its number in lists of alignments; a unit is a part of a text at whose ends tokens of both vocabularies end."""
+    """Cache: unit -> its number in tables of alignments; a unit is a part of a text at whose ends tokens of both vocabularies end."""
 
     def __init__(self, vocabularies: Vocabularies, pair_type: str):
         self.v, self.pair_type = vocabularies, pair_type
+        self.half = 4 * np.dtype(pair_type).itemsize
+        self.a_text, self.b_text = _spelled(vocabularies.a_sizes, ",", "|"), _spelled(vocabularies.b_sizes, ",", ";")
         self.empty()
 
     def empty(self) -> None:
         self.clear()
         self.new: list[str] = []
-        #: per unit: whether both give its bytes; tokens of A and B, groups, overlap links, links within groups; ids that end together; text of the groups
-        self.fits: list[bool] = []
-        self.counts: list[tuple[int, int, int, int, int]] = []
+        #: a row for each unit: 1 if both vocabularies give its bytes; tokens of A and B, groups, overlap links, links within groups
+        self.counts = np.zeros((1024, 6), np.int64)
+        #: ids that end together, packed; the groups, each followed by a semicolon
         self.pairs: list[bytes] = []
-        self.groups: list[bytes] = []
+        self.groups: list[str] = []
 
     def limit(self) -> None:
         """Call between slices: a slice's units keep their numbers."""
-        if len(self.fits) > CACHE_ENTRIES // 2:
+        if len(self.pairs) > CACHE_ENTRIES:
             self.empty()
 
     def __missing__(self, unit: str) -> int:
-        at = len(self.fits) + len(self.new)
+        self[unit] = at = len(self.pairs) + len(self.new)
         self.new.append(unit)
-        self[unit] = at
         return at
 
     def settle(self) -> None:
         """Aligns the units that were new since the last call, those of about BLOCK bytes in one product; forgets the text of long ones."""
         new, self.new = self.new, []
+        # units that may stand side by side in one text, since they can be cut apart again
+        plain = [u[-1:].strip() != "" and u[1:2].strip() != "" for u in new]
         first, size = 0, 0
         for k, unit in enumerate(new):
             size += len(unit)
             if len(unit) > KEPT_CHARS:
                 del self[unit]
             if size >= BLOCK or k + 1 == len(new):
-                self._align(new[first : k + 1])
+                self._align(new[first : k + 1], plain[first : k + 1])
                 first, size = k + 1, 0
 
-    def _align(self, units: list[str]) -> None:
-        ids = self.v.encode(units)
-        fits = [self.v.same_bytes(u, a, b) for u, (a, b) in zip(units, ids)]
-        kept = [x for x, ok in zip(ids, fits) if ok]
-        a_ids, b_ids = (np.fromiter((t for x in kept for t in x[side]), np.int64) for side in (0, 1))
-        a_of, b_of = (np.concatenate([[0], np.cumsum([len(x[side]) for x in kept])]).astype(np.int64) for side in (0, 1))
+    def _encoded(self, units: list[str], plain: list[bool]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of A and of B of the units in order, and which units both vocabularies give back byte by byte; of others there are none."""
+        texts: list[list[str]] = []
+        for unit, joins in zip(units, plain):
+            if joins and texts and texts[-1] and len(texts[-1]) < JOINED and after:
+                texts[-1].append(unit)
+            else:
+                texts.append([unit])
+            after = joins
+        ids: tuple[list[int], list[int]] = ([], [])
+        fits: list[bool] = []
+        for parts in texts:
+            joined = "".join(parts)
+            found = self.v.encode(joined)
+            whole = self.v.same_bytes(joined, *found)
+            if not whole and len(parts) > 1:
+                for part in parts:
+                    found = self.v.encode(part)
+                    fits.append(self.v.same_bytes(part, *found))
+                    for out, x in zip(ids, found):
+                        out += x if fits[-1] else []
+                continue
+            fits += [whole] * len(parts)
+            for out, x in zip(ids, found):
+                out += x if whole else []
+        return np.array(ids[0], np.int64), np.array(ids[1], np.int64), np.array(fits, bool)
+
+    def _align(self, units: list[str], plain: list[bool]) -> None:
+        a_ids, b_ids, fits = self._encoded(units, plain)
         a_ends, b_ends = self.v.a_sizes[a_ids].cumsum(), self.v.b_sizes[b_ids].cumsum()
         cuts, (a, b, _), a_groups, b_groups = align(a_ends, b_ends)
         together = a_ends[a] == b_ends[b]
-        packed = (a_ids[a[together]] << 8 * np.dtype(self.pair_type).itemsize // 2 | b_ids[b[together]]).astype(self.pair_type)
-        texts = [f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in zip(_rows(a_groups, a_ids), _rows(b_groups, b_ids))]
+        packed = (a_ids[a[together]] << self.half | b_ids[b[together]]).astype(self.pair_type)
+        # units end at cuts, for both vocabularies give back all of their bytes
+        sizes = np.array([len(u.encode("utf-8", "surrogatepass")) for u in units]) * fits
+        ends = np.concatenate([[0], sizes.cumsum()])
+        a_of, b_of, group_of = (np.searchsorted(x, ends, side="right") for x in (a_ends, b_ends, cuts))
         shared = np.concatenate([[0], product_terms(transposed(a_groups), b_groups).cumsum()])
         overlaps = np.searchsorted(a, a_of)
-        group_of = np.searchsorted(cuts, np.concatenate([[0], a_ends])[a_of], side="right")
-        k, width = 0, packed.itemsize
-        packed = packed.tobytes()
-        for ok in fits:
-            self.fits.append(ok)
-            if ok:
-                x, y = int(group_of[k]), int(group_of[k + 1])
-                self.counts.append((int(a_of[k + 1] - a_of[k]), int(b_of[k + 1] - b_of[k]), y - x, int(overlaps[k + 1] - overlaps[k]), int(shared[a_of[k + 1]] - shared[a_of[k]])))
-                self.pairs.append(packed[width * x : width * y])
-                self.groups.append(";".join(texts[x:y]).encode())
-                k += 1
-            else:
-                self.counts.append((0, 0, 0, 0, 0))
-                self.pairs.append(b"")
-                self.groups.append(b"")
-
-
-def _rows(m: Csr, values: np.ndarray) -> Iterator[list[int]]:
-    flat, at = values[m.indices].tolist(), m.indptr.tolist()
-    return (flat[x:y] for x, y in zip(at, at[1:]))
+        rows = np.stack([fits, *(np.diff(x) for x in (a_of, b_of, group_of, overlaps, shared[a_of]))], axis=1)
+        n = len(self.pairs)
+        if n + len(units) > len(self.counts):
+            self.counts = np.concatenate([self.counts, np.zeros((n + len(units), 6), np.int64)])
+        self.counts[n : n + len(units)] = rows
+        # all groups as one row of strings: the tokens of A of a group, then those of B
+        flat = np.empty(len(a_ids) + len(b_ids), object)
+        a_in, b_in = np.diff(a_groups.indptr), np.diff(b_groups.indptr)
+        flat[np.arange(len(a_ids)) + np.repeat(b_groups.indptr[:-1], a_in)] = np.where(np.isin(a_ends, cuts), self.a_text[1][a_ids], self.a_text[0][a_ids])
+        flat[np.arange(len(b_ids)) + np.repeat(a_groups.indptr[1:], b_in)] = np.where(np.isin(b_ends, cuts), self.b_text[1][b_ids], self.b_text[0][b_ids])
+        flat, packed, width = flat.tolist(), packed.tobytes(), packed.itemsize
+        at, links = (a_of + b_of).tolist(), (group_of * width).tolist()
+        self.groups += ["".join(flat[x:y]) for x, y in zip(at, at[1:])]
+        self.pairs += [packed[x:y] for x, y in zip(links, links[1:])]
 
 
 def text_units(text: str) -> list[str]:
-    """space + text, cut where no token of either vocabulary reaches over."""
+    """space + text, cut where no token of either vocabulary reaches over: space_chunks with a quicker way for single spaces and line ends."""
+    if len(text.split()) == text.count(" ") + text.count("\n") + 1:
+        return [" " + p for p in text.split(" ")]
     units = space_chunks(text)
     units[0] = " " + units[0]
     return units
@@ -234,7 +267,7 @@ def alignments(documents: DataFrame, kind: str = "end", paths: tuple[str, str, s
     schema = pa.schema([("doc_id", pa.int64()), *((c, token_list) for c in ("a_ids", "b_ids", "a_ends", "b_ends")), ("links", link_list)])
 
     def one(v: Vocabularies, text: str | None) -> tuple:
-        a, b = v.encode([" " + text])[0] if text else ([], [])
+        a, b = v.encode(" " + text) if text else ([], [])
         if not text or not v.same_bytes(" " + text, a, b):
             return [], [], [], [], []
         a_ends, b_ends = v.a_sizes[a].cumsum(), v.b_sizes[b].cumsum()
@@ -272,14 +305,16 @@ def _aligned(documents: DataFrame, paths: tuple[str, str, str], packed: str) ->
     def one(units: Units, text: str | None, at: list[int]) -> tuple:
         if not text:
             return nothing
-        if not all(map(units.fits.__getitem__, at)):
+        counts = units.counts[at]
+        if not counts[:, 0].all():
             # units that don't give their bytes might make up for each other: the text as one unit decides
             at = [units[" " + text]]
             units.settle()
-            if not units.fits[at[0]]:
+            counts = units.counts[at]
+            if not counts[0, 0]:
                 return nothing
-        counts = np.array([units.counts[k] for k in at]).sum(0).tolist()
-        return *counts, hashlib.sha256(b";".join(map(units.groups.__getitem__, at))).hexdigest(), b"".join(map(units.pairs.__getitem__, at))
+        groups = "".join(map(units.groups.__getitem__, at))
+        return *counts[:, 1:].sum(0, dtype=np.int64).tolist(), hashlib.sha256(groups[:-1].encode()).hexdigest(), b"".join(map(units.pairs.__getitem__, at))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = worker_cache(("alignment units", *paths), lambda: Units(Vocabularies(*paths), packed))
