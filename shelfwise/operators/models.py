@@ -1,4 +1,4 @@
-"""Fitted models: isolation forest, segmentation, boosted demand model with intervals and importance."""
+"""Fitted models: isolation forest and segmentation; errors and intervals of forecasts."""
 
 from __future__ import annotations
 
@@ -11,7 +11,6 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -144,24 +143,6 @@ def segments(vectors: DataFrame, volume: DataFrame, key: str, k: int) -> DataFra
     return plane.select(key, F.col("segment_id").alias("segment"), (F.col("p")[0] * sign[0]).alias("x"), (F.col("p")[1] * sign[1]).alias("y"))
 
 
-#: Loss and transform of the target that a demand model is fitted with.
-VARIANTS = ("raw", "log1p", "poisson")
-
-
-def fit_demand(train: DataFrame, features: list[str], variant: str = "log1p", depth: int = 4, rounds: int = 10):
-    """Boosted trees on the target or on log1p of it, or a Poisson regression on standardised features."""
-    data = train.fillna(0.0, features).withColumn("label", F.log1p("target") if variant == "log1p" else F.col("target").cast("double"))
-    columns = VectorAssembler(inputCols=features, outputCol="features")
-    if variant == "poisson":
-        return Pipeline(stages=[columns, StandardScaler(inputCol="features", outputCol="scaled", withMean=True), GeneralizedLinearRegression(featuresCol="scaled", family="poisson", regParam=0.1, maxIter=10)]).fit(data)
-    return Pipeline(stages=[columns, GBTRegressor(maxDepth=depth, maxIter=rounds, seed=1)]).fit(data)
-
-
-def predict_demand(model, df: DataFrame, features: list[str], variant: str = "log1p") -> DataFrame:
-    shown = F.expm1("prediction") if variant == "log1p" else F.col("prediction")
-    return model.transform(df.fillna(0.0, features)).withColumn("predicted", F.greatest(shown, F.lit(0.0))).drop("features", "scaled", "prediction")
-
-
 def metrics(df: DataFrame, by: list[str]) -> DataFrame:
     error = F.col("predicted") - F.col("target")
     return df.groupBy(*by).agg(
@@ -178,18 +159,3 @@ def intervals(validation: DataFrame, scored: DataFrame, bins: int = 5) -> DataFr
     residual = F.col("target") - F.col("predicted")
     bounds = validation.groupBy(which.alias("bin")).agg(F.percentile(residual, 0.1).alias("low"), F.percentile(residual, 0.9).alias("high"))
     return scored.withColumn("bin", which).join(F.broadcast(bounds), "bin", "left").withColumn("lower_bound", F.greatest(F.col("predicted") + F.col("low"), F.lit(0.0))).withColumn("upper_bound", F.col("predicted") + F.col("high")).drop("low", "high")
-
-
-def permutation_importance(model, df: DataFrame, features: list[str], keys: list[str], variant: str = "log1p", buckets: int = 64) -> DataFrame:
-    """(feature, mae_rise): rise of the mean absolute error over all rows when a feature's values change rows.
-
-    Within each of `buckets` groups by a hash of the keys the values move on by one row in a random order, which is a permutation
-    that no single task has to sort.
-    """
-    base = metrics(predict_demand(model, df, features, variant), []).first()["mae"]
-    rows = []
-    for f in features:
-        order = W.partitionBy(F.pmod(F.xxhash64(*keys), F.lit(buckets))).orderBy(F.xxhash64(F.lit(f), *keys))
-        moved = df.withColumn(f, F.coalesce(F.lead(f).over(order), F.first(f).over(order)))
-        rows.append((f, metrics(predict_demand(model, moved, features, variant), []).first()["mae"] - base))
-    return df.sparkSession.createDataFrame(rows, "feature string, mae_rise double")

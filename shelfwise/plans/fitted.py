@@ -3,24 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import dimensions, fefo, forecasting, ingest, mining, models
+from ..operators import dimensions, fefo, ingest, mining, models
 from ..operators.reports import run_sql
 from ..sources.io import fingerprint, stored, violations
 from ..sources.roles import read, roles
 from ..streaming.stateful import admission, user_events
-from .series import HORIZONS
 from .views import Mart
 
-#: The search for a variant and for parameters trains on every third origin, as neighbouring days are all but the same; all else,
-#: metrics included, takes every origin.
-SEARCH_STRIDE = 3
-GRID = ((2, 5), (4, 5), (4, 10), (6, 10))
-FEATURES = forecasting.FEATURES
 ITEM_FEATURES = ["units", "revenue_c", "transaction_count", "sales_days", "average_price_c", "lots", "average_cost_c"]
 
 
@@ -28,18 +21,6 @@ def _mart(spark: SparkSession, sf_dir: str) -> Mart:
     return Mart(roles(spark, sf_dir))
 
 
-def model_rows(spark: SparkSession, sf_dir: str, horizon: int) -> DataFrame:
-    """Features, target, censored days and split of every origin with enough history."""
-    text = f"select f.*, target_{horizon} as target, censored_{horizon} as censored_days, {forecasting.split(str(horizon))} as split from v_features f cross join {forecasting.LAST} d where n_seen >= {forecasting.HISTORY}"
-    rows = run_sql(spark, _mart(spark, sf_dir), text)
-    kept = ["site", "maker", "family", "day_no", "target", "censored_days", "split"]
-    return rows.select(*kept, *(F.col(c).cast("double").alias(c) for c in FEATURES))
-
-
-def _split(rows: DataFrame, *names: str) -> DataFrame:
-    return rows.where(F.col("split").isin(*names) & F.col("target").isNotNull())
-
-
 def f1_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = roles(spark, sf_dir)
     return fefo.allocate(r.sales, r.receipts, r.batches)
@@ -145,74 +126,6 @@ def n18_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(models.principal_plane(_vectors(spark, sf_dir)), "component int, explained_variance double, loadings array<double>")
 
 
-def _each_horizon(make: Callable[[int], DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, (make(h).withColumn("horizon", F.lit(h)) for h in HORIZONS))
-
-
-def h7_model(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors of the models, one a horizon, on all test origins."""
-
-    def one(h: int) -> DataFrame:
-        rows = model_rows(spark, sf_dir, h)
-        return models.metrics(models.predict_demand(models.fit_demand(_split(rows, "train"), FEATURES), _split(rows, "test"), FEATURES), ["family"])
-
-    return _each_horizon(one)
-
-
-def h8_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First the variant, then depth and rounds for it, by the error on all validation origins."""
-    rows = model_rows(spark, sf_dir, HORIZONS[0])
-    train, held = _split(rows, "train").where(F.col("day_no") % SEARCH_STRIDE == 0), _split(rows, "validation")
-
-    def tried(variant: str, depth: int, rounds: int) -> tuple:
-        scored = models.predict_demand(models.fit_demand(train, FEATURES, variant, depth, rounds), held, FEATURES, variant)
-        return variant, depth, rounds, models.metrics(scored, []).first()["wape"]
-
-    found = [tried(v, *GRID[1]) for v in models.VARIANTS]
-    variant = min(found, key=lambda x: x[3])[0]
-    if variant != "poisson":
-        found += [tried(variant, *g) for g in GRID if g != GRID[1]]
-    best = min(x[3] for x in found)
-    return spark.createDataFrame([(*x, x[3] == best) for x in found], "variant string, depth int, rounds int, wape double, chosen boolean")
-
-
-def h9_censoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = model_rows(spark, sf_dir, HORIZONS[0])
-    out = []
-    for name, train in (("all", _split(rows, "train")), ("uncensored", _split(rows, "train").where("censored_days = 0"))):
-        if not train.isEmpty():
-            out.append(models.metrics(models.predict_demand(models.fit_demand(train, FEATURES, rounds=5), _split(rows, "validation"), FEATURES).withColumn("strategy", F.lit(name)), ["strategy"]))
-    return reduce(DataFrame.unionByName, out)
-
-
-def h10_forecasts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fitted again on train and validation; forecasts for the last day of every series, for each horizon."""
-
-    def one(h: int) -> DataFrame:
-        rows = model_rows(spark, sf_dir, h)
-        last = rows.agg(F.max("day_no").alias("day_no"))
-        return models.predict_demand(models.fit_demand(_split(rows, "train", "validation"), FEATURES), rows.join(F.broadcast(last), "day_no"), FEATURES).select("site", "maker", "day_no", "predicted")
-
-    return _each_horizon(one)
-
-
-def h12_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def one(h: int) -> DataFrame:
-        rows = model_rows(spark, sf_dir, h)
-        model = models.fit_demand(_split(rows, "train"), FEATURES)
-        bounded = models.intervals(models.predict_demand(model, _split(rows, "validation"), FEATURES), models.predict_demand(model, _split(rows, "test"), FEATURES))
-        return bounded.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("target").between(F.col("lower_bound"), F.col("upper_bound")).cast("int")).alias("coverage"))
-
-    return _each_horizon(one)
-
-
-def h13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All features over all validation origins."""
-    rows = model_rows(spark, sf_dir, HORIZONS[0])
-    model = models.fit_demand(_split(rows, "train"), FEATURES, rounds=5)
-    return models.permutation_importance(model, stored(_split(rows, "validation").fillna(0.0, FEATURES), "validation"), FEATURES, ["site", "maker", "day_no"])
-
-
 def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _mart(spark, sf_dir).table(name)
 
@@ -231,7 +144,7 @@ QUERIES = {
     "F8_receipts": _cleaned("receipts"), "F8_lots": _cleaned("lots"), "F8_suppliers": _cleaned("suppliers"), "F8_reasons": f8_reasons, **{f"E4_{d}": _dimension(d) for d in dimensions.DIMENSION_SQL},
     "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
     "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary, "N18_plane": n18_plane,
-    "H7_boosted_model": h7_model, "H8_parameter_search": h8_search, "H9_censoring": h9_censoring, "H10_forecasts": h10_forecasts, "H12_intervals": h12_intervals, "H13_importance": h13_importance, "ST1_admission": st1_admission,
+    "ST1_admission": st1_admission,
     **{f"V{k}_{name[2:]}": _view(name) for k, name in VIEWS.items()},
 }
 ORACLES = {
