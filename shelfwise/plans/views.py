@@ -148,12 +148,15 @@ KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries", "v_features")
 
 @dataclass(frozen=True)
 class Mart:
-    """Roles with the ledger and the views, by the names that reports use."""
+    """Roles with the ledger and the views, by the names that reports use. given: tables that take the place of derived ones."""
 
     roles: Roles
+    given: dict[str, DataFrame] | None = None
 
     def table(self, name: str) -> DataFrame:
         r = self.roles
+        if self.given and name in self.given:
+            return self.given[name]
         made = {
             "t_sales": lambda: r.sales, "t_receipts": lambda: r.receipts, "t_batches": lambda: r.batches, "t_calendar": lambda: r.calendar,
             "t_ledger": lambda: ledger(r), "t_lots": lambda: write_offs(r), "v_monthly": lambda: monthly_sales(r.sales), "v_item": lambda: item_performance(r.sales, r.calendar),

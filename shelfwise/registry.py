@@ -13,7 +13,7 @@ from .operators.mining import TEXTS as MINING
 from .operators.quality import CHECKS
 from .operators.relational import TEXTS as RELATIONAL
 from .operators.reports import REPORTS, run_sql
-from .plans import decided, fitted, forecasts
+from .plans import causality, decided, fitted, forecasts
 from .plans.ledger import LEDGER_SQL
 from .plans.views import VIEW_SQL, Mart
 from .sources.roles import ROLE_SQL, roles
@@ -52,7 +52,7 @@ TEXTS = REPORTS | CHECKS | RELATIONAL | MINING | FORECASTING | INGEST | {"ST2_ru
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text if isinstance(text, str) else text[0]) for name, text in TEXTS.items()}
 ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str) else text[1]) for name, text in TEXTS.items()}
 
-QUERIES |= fitted.QUERIES | decided.QUERIES | forecasts.QUERIES
-ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in decided.SQL.items()}
+QUERIES |= fitted.QUERIES | decided.QUERIES | forecasts.QUERIES | causality.QUERIES
+ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in (decided.SQL | causality.SQL).items()}
 ORACLES |= {f"V{k}_{name[2:]}": with_roles(f"select * from {name}") for k, name in fitted.VIEWS.items()}
 ORACLES |= {f"E4_{name}": with_roles(text) for name, text in DIMENSION_SQL.items()}
