@@ -1,4 +1,4 @@
-"""Fitted models: isolation forest and segmentation; errors and intervals of forecasts."""
+"""Fitted models: isolation forest, preparation and plane of features; errors and intervals of forecasts."""
 
 from __future__ import annotations
 
@@ -6,13 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..plans.views import with_ranks
@@ -76,73 +72,53 @@ def isolation_forest(df: DataFrame, keys: list[str], features: list[str], trees:
     return scored.crossJoin(F.broadcast(cut)).withColumn("is_isolation_anomaly", F.col("isolation_score") >= F.col("cut")).drop("cut")
 
 
+#: Cover in days that a missing one stands for and that others are capped at.
+COVER_CAP = 365.0
+
+
 def prepare_features(df: DataFrame, key: str, features: list[str]) -> tuple[DataFrame, list[str], list[dict]]:
-    """(key and standardised vector, features used, report): log1p where skewed over 1, constants and near copies (Spearman > 0.9) dropped."""
-    filled = df.select(key, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    stats = filled.agg(*(F.skewness(c).alias(f"s_{c}") for c in features), *(F.stddev(c).alias(f"d_{c}") for c in features)).first()
+    """(key and array `vector` of standardised features, features used, report of what was filled, logged and dropped and why).
+
+    Missing values are 0, missing covers COVER_CAP, which also caps them; log1p where nothing is negative and the skewness is over 1;
+    constants go, and features whose rank correlation with one that is kept is over 0.9. Deviations are those of the population. An
+    empty table keeps no feature.
+    """
+    fill = {c: COVER_CAP if c == "days_of_inventory" else 0.0 for c in features}
+    value = {c: F.coalesce(F.col(c).cast("double"), F.lit(fill[c])) for c in features}
+    value = {c: F.least(v, F.lit(COVER_CAP)) if c == "days_of_inventory" else v for c, v in value.items()}
+    filled = stored(df.select(key, *(v.alias(c) for c, v in value.items()), *(F.col(c).isNull().cast("int").alias(f"_no_{c}") for c in features)), "item-values")
+    stats = filled.agg(
+        *(F.skewness(c).alias(f"s_{c}") for c in features), *(F.stddev_pop(c).alias(f"d_{c}") for c in features), *(F.min(c).alias(f"m_{c}") for c in features), *(F.sum(f"_no_{c}").alias(f"n_{c}") for c in features),
+    ).first()
     varied = [c for c in features if (stats[f"d_{c}"] or 0) > 0]
-    logged = {c for c in varied if abs(stats[f"s_{c}"] or 0) > 1}
-    shaped = stored(filled.select(key, *(F.log1p(F.greatest(F.col(c), F.lit(0.0))).alias(c) if c in logged else F.col(c) for c in varied)), "item-features")
-    ranks = with_ranks(shaped, varied)
+    logged = {c for c in varied if abs(stats[f"s_{c}"] or 0) > 1 and stats[f"m_{c}"] >= 0}
+    shaped = stored(filled.select(key, *(F.log1p(c).alias(c) if c in logged else F.col(c) for c in varied)), "item-features")
+    ranks = with_ranks(shaped, varied) if varied else shaped
     ranks = ranks.select(*((F.col(f"{c}_rank") + (F.col(f"{c}_ties") - 1) / 2).alias(c) for c in varied))
     pairs = [(a, b) for i, b in enumerate(varied) for a in varied[:i]]
     corr = ranks.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs)).first() if pairs else {}
     kept: list[str] = []
+    reasons = {c: "constant" for c in features if c not in varied}
     for c in varied:
-        if all(abs(corr[f"{a}|{c}"] or 0) <= 0.9 for a in kept):
+        near = {a: abs(corr[f"{a}|{c}"] or 0) for a in kept}
+        partner = max(near, key=near.get, default=None)
+        if partner and near[partner] > 0.9:
+            reasons[c] = f"redundant with {partner}"
+        else:
             kept.append(c)
-    model = Pipeline(stages=[VectorAssembler(inputCols=kept, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="vector", withMean=True)]).fit(shaped)
-    report = [{"feature": c, "skewness": float(stats[f"s_{c}"] or 0), "logged": c in logged, "kept": c in kept} for c in features]
-    return model.transform(shaped).select(key, "vector"), kept, report
-
-
-def segment(vectors: DataFrame, k: int, starts: int = 5):
-    """K-means of the lowest cost over seeded starts."""
-    fits = [KMeans(featuresCol="vector", predictionCol="segment", k=k, seed=s).fit(vectors) for s in range(starts)]
-    return min(fits, key=lambda m: m.summary.trainingCost)
-
-
-def segment_quality(vectors: DataFrame, ks: range = range(2, 9), starts: int = 5) -> list[tuple]:
-    """(k, cost, silhouette, calinski_harabasz, davies_bouldin, chosen): the smallest k from 3 on within 0.02 of the best silhouette."""
-    rows = []
-    vectors = vectors.persist()
-    total = vectors.select(F.posexplode(vector_to_array("vector")).alias("i", "v")).groupBy("i").agg(F.var_pop("v").alias("v"), F.count(F.lit(1)).alias("n")).agg(F.sum(F.col("v") * F.col("n")).alias("spread"), F.max("n").alias("n")).first()
-    for k in ks:
-        model = segment(vectors, k, starts)
-        found, cost = model.transform(vectors), float(model.summary.trainingCost)
-        centers = np.array(model.clusterCenters())
-        # mean distance of a segment's rows to its centre: one row a segment
-        at = vector_to_array("vector")
-        center = F.array(*(F.array(*map(F.lit, c.tolist())) for c in centers))[F.col("segment")]
-        away = F.sqrt(F.aggregate(F.zip_with(at, center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b))
-        near = {r["segment"]: r["d"] for r in found.groupBy("segment").agg(F.avg(away).alias("d")).collect()}
-        apart = np.linalg.norm(centers[:, None] - centers[None], axis=2)
-        worst = [max((near[i] + near[j]) / apart[i, j] for j in near if j != i and apart[i, j] > 0) for i in near if len(near) > 1]
-        harabasz = (total["spread"] - cost) / (k - 1) / (cost / max(total["n"] - k, 1)) if cost > 0 else float("inf")
-        rows.append((k, cost, float(ClusteringEvaluator(featuresCol="vector", predictionCol="segment").evaluate(found)), float(harabasz), float(np.mean(worst)) if worst else 0.0))
-    vectors.unpersist()
-    best = max(r[2] for r in rows if r[0] >= 3)
-    chosen = min(r[0] for r in rows if r[0] >= 3 and r[2] >= best - 0.02)
-    return [(*r, r[0] == chosen) for r in rows]
+    scale = shaped.agg(*(F.avg(c).alias(f"a_{c}") for c in kept), *(F.stddev_pop(c).alias(f"d_{c}") for c in kept)).first() if kept else {}
+    vector = F.array(*((F.col(c) - scale[f"a_{c}"]) / scale[f"d_{c}"] for c in kept)) if kept else F.array().cast("array<double>")
+    report = [{"feature": c, "skewness": float(stats[f"s_{c}"] or 0), "filled": int(stats[f"n_{c}"] or 0), "logged": c in logged, "kept": c in kept, "reason": reasons.get(c)} for c in features]
+    return shaped.select(key, vector.alias("vector")), kept, report
 
 
 def principal_plane(vectors: DataFrame, k: int = 2) -> list[tuple[int, float, list[float]]]:
     """(component, share of variance explained, loadings with the largest one positive)."""
-    model = PCA(k=k, inputCol="vector", outputCol="plane").fit(vectors)
+    model = PCA(k=k, inputCol="point", outputCol="plane").fit(vectors.select(array_to_vector("vector").alias("point")))
     loadings = np.array(model.pc.toArray()).T
     return [(i + 1, float(v), (c if max(c, key=abs) >= 0 else -c).tolist()) for i, (v, c) in enumerate(zip(model.explainedVariance.toArray(), loadings))]
 
 
-def segments(vectors: DataFrame, volume: DataFrame, key: str, k: int) -> DataFrame:
-    """key, segment, x, y: segment numbers by falling total volume, and a projection to two components with a fixed sign."""
-    model = PCA(k=2, inputCol="vector", outputCol="plane").fit(vectors)
-    sign = [1.0 if max(c, key=abs) >= 0 else -1.0 for c in np.array(model.pc.toArray()).T]
-    found = segment(vectors, k).transform(vectors).join(volume, key)
-    order = found.groupBy("segment").agg(F.sum("units").alias("v")).withColumn("segment_id", F.row_number().over(W.orderBy(F.desc("v"), "segment")))
-    plane = model.transform(found.join(F.broadcast(order.select("segment", "segment_id")), "segment")).withColumn("p", vector_to_array("plane"))
-    return plane.select(key, F.col("segment_id").alias("segment"), (F.col("p")[0] * sign[0]).alias("x"), (F.col("p")[1] * sign[1]).alias("y"))
-
-
 def metrics(df: DataFrame, by: list[str]) -> DataFrame:
     error = F.col("predicted") - F.col("target")
     return df.groupBy(*by).agg(

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import dimensions, fefo, ingest, mining, models
+from ..operators import dimensions, fefo, ingest, items, mining, models, segmentation
 from ..operators.reports import run_sql
-from ..sources.io import fingerprint, stored, violations
-from ..sources.roles import read, roles
+from ..sources.io import fingerprint, source_state, stored, violations
+from ..sources.roles import SOURCES, read, roles
 from ..streaming.stateful import admission, user_events
 from .views import Mart
 
-ITEM_FEATURES = ["units", "revenue_c", "transaction_count", "sales_days", "average_price_c", "lots", "average_cost_c"]
-
 
 def _mart(spark: SparkSession, sf_dir: str) -> Mart:
     return Mart(roles(spark, sf_dir))
@@ -86,44 +86,116 @@ def n12_combined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("grain", "site", "maker", "day_no", *flags, "isolation_score").withColumn("combined_anomaly", F.col("is_statistical_anomaly") & F.col("is_isolation_anomaly"))
 
 
-def item_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = """select i.item_key, i.units, i.revenue_c, i.transaction_count, i.sales_days, i.revenue_c / i.units as average_price_c, i.category, r.lots, r.average_cost_c
-      from v_item i join (select item_key, count(*) as lots, sum(total_c) / sum(quantity) as average_cost_c from t_receipts group by item_key) r on r.item_key = i.item_key"""
-    return run_sql(spark, _mart(spark, sf_dir), text)
+#: Candidate features in the order in which one of two near copies is kept.
+CANDIDATES = [
+    "units", "average_price_c", "dispersion", "weekly_cv", "turnover", "stockout_rate", "days_of_inventory", "revenue_c", "average_cost_c", "expired_value_c", "expiry_risk_c", "sales_days", "average_value_c", "stockout_events",
+    "spend_c", "daily_revenue_c", "weekly_units", "daily_units", "bought", "average_stock", "value_c", "expired_units", "zero_sales_days", "weekly_sd", "closing", "stockout_days",
+]
+#: Words for a segment whose centre lies half a deviation or more above or below the mean of a feature.
+WORDS = {
+    "units": ("high volume", "low volume"), "revenue_c": ("high revenue", "low revenue"), "turnover": ("fast turnover", "slow turnover"), "weekly_cv": ("variable demand", "stable demand"),
+    "stockout_rate": ("frequent stockouts", "rare stockouts"), "days_of_inventory": ("long cover", "short cover"), "average_price_c": ("high price", "low price"), "expired_value_c": ("write-offs", None),
+    "expiry_risk_c": ("expiry risk", None), "average_cost_c": ("high cost", "low cost"),
+}
 
 
-def n14_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, report = models.prepare_features(item_features(spark, sf_dir), "item_key", ITEM_FEATURES)
-    return spark.createDataFrame([(r["feature"], r["skewness"], r["logged"], r["kept"]) for r in report], "feature string, skewness double, logged boolean, kept boolean")
+class Segments:
+    """Features, vectors, runs of k-means and their quality of one mart; each is made when it is first asked for."""
+
+    def __init__(self, mart: Mart):
+        self.mart = mart
+
+    @cached_property
+    def features(self) -> DataFrame:
+        return stored(items.item_features(self.mart), "item-features")
+
+    @cached_property
+    def prepared(self) -> tuple[DataFrame, list[str], list[dict]]:
+        vectors, kept, report = models.prepare_features(self.features, "item_key", CANDIDATES)
+        return stored(vectors, "item-vectors"), kept, report
+
+    @cached_property
+    def runs(self) -> dict[int, segmentation.Run]:
+        return segmentation.fit_all(self.prepared[0], "item_key")
+
+    @cached_property
+    def quality(self) -> list[tuple]:
+        return segmentation.quality(self.prepared[0], self.runs)
+
+    @cached_property
+    def plane(self) -> list[tuple[int, float, list[float]]]:
+        return models.principal_plane(self.prepared[0])
+
+    @property
+    def chosen(self) -> segmentation.Run:
+        return self.runs[next(r[0] for r in self.quality if r[-1])]
+
+    def label(self, center: list[float]) -> str:
+        """The four most outstanding features in words."""
+        found = [(abs(z), WORDS[c][0 if z > 0 else 1]) for c, z in zip(self.prepared[1], center) if c in WORDS and abs(z) >= 0.5 and WORDS[c][0 if z > 0 else 1]]
+        return ", ".join(w for _, w in sorted(found, reverse=True)[:4]) or "average"
 
+    def table(self) -> DataFrame:
+        """item_key, segment (by falling mean units), label, x, y in the plane."""
+        run = self.chosen
+        near = segmentation.assigned(self.prepared[0], "item_key", run)
+        volume = near.join(self.features.select("item_key", "units"), "item_key").groupBy("center").agg(F.avg("units").alias("units")).collect()
+        order = {r["center"]: k for k, r in enumerate(sorted(volume, key=lambda r: (-r["units"], r["center"])), 1)}
+        spark = self.features.sparkSession
+        names = spark.createDataFrame([(c, k, self.label(run.centers[c].tolist())) for c, k in order.items()], "center int, segment int, label string")
+        axes = [F.aggregate(F.zip_with("vector", F.array(*map(F.lit, loadings)), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b) for _, _, loadings in self.plane]
+        return near.join(F.broadcast(names), "center").join(self.prepared[0], "item_key").select("item_key", "segment", "label", axes[0].alias("x"), axes[1].alias("y"))
 
-def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stored(models.prepare_features(item_features(spark, sf_dir), "item_key", ITEM_FEATURES)[0], "item-vectors")
+
+_SEGMENTS: dict[tuple, Segments] = {}
+
+
+def segments_of(spark: SparkSession, sf_dir: str) -> Segments:
+    key = spark.sparkContext.applicationId, sf_dir, source_state(spark, [f"{sf_dir}/{t}.parquet" for t in SOURCES])
+    if key not in _SEGMENTS:
+        for old in [k for k in _SEGMENTS if k[:2] == key[:2]]:
+            del _SEGMENTS[old]
+        _SEGMENTS[key] = Segments(_mart(spark, sf_dir))
+    return _SEGMENTS[key]
+
+
+def n6_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.item_features(_mart(spark, sf_dir))
+
+
+def n6_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return items.dropped_items(_mart(spark, sf_dir))
+
+
+def n14_preparation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = segments_of(spark, sf_dir).prepared[2]
+    return spark.createDataFrame([tuple(r.values()) for r in report], "feature string, skewness double, filled long, logged boolean, kept boolean, reason string")
 
 
 def n15_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments for the number of them that n16_quality chooses."""
-    vectors = _vectors(spark, sf_dir)
-    chosen = next(r[0] for r in models.segment_quality(vectors) if r[-1])
-    return models.segments(vectors, item_features(spark, sf_dir).select("item_key", "units"), "item_key", chosen)
+    return segments_of(spark, sf_dir).table().select("item_key", "segment", "x", "y")
 
 
 def n16_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(models.segment_quality(_vectors(spark, sf_dir)), "k int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, chosen boolean")
+    return spark.createDataFrame(segments_of(spark, sf_dir).quality, "k int, start int, cost double, silhouette double, calinski_harabasz double, davies_bouldin double, smallest int, largest int, chosen boolean")
 
 
 def n17_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row a segment: size, share, a label by volume and price against all items, and its category with most items."""
-    found = stored(n15_segments(spark, sf_dir), "segments").join(item_features(spark, sf_dir), "item_key")
-    whole = found.agg(F.count(F.lit(1)).alias("all_items"), F.avg("units").alias("all_units"), F.avg("average_price_c").alias("all_price_c"))
-    top = found.groupBy("segment", "category").agg(F.count(F.lit(1)).alias("n")).groupBy("segment").agg(F.max_by("category", F.struct("n", "category")).alias("top_category"))
-    each = found.groupBy("segment").agg(F.count(F.lit(1)).alias("items"), F.sum("units").alias("units"), F.avg("average_price_c").alias("mean_price_c"), F.avg("x").alias("x"), F.avg("y").alias("y"))
-    label = F.concat(F.when(F.col("units") / F.col("items") >= F.col("all_units"), "high volume").otherwise("low volume"), F.lit(", "), F.when(F.col("mean_price_c") >= F.col("all_price_c"), "high price").otherwise("low price"))
-    return each.join(top, "segment").crossJoin(F.broadcast(whole)).select("segment", label.alias("label"), "items", (100 * F.col("items") / F.col("all_items")).alias("share_pct"), "units", "mean_price_c", "top_category", "x", "y")
+    """A row a segment: label, size, means, share of all units, its three categories with most items."""
+    s = segments_of(spark, sf_dir)
+    found = stored(s.table().join(s.features, "item_key"), "segments")
+    whole = found.agg(F.sum("units").alias("all_units"))
+    place = F.row_number().over(W.partitionBy("segment").orderBy(F.desc("n"), "category"))
+    top = found.groupBy("segment", "category").agg(F.count(F.lit(1)).alias("n")).withColumn("place", place).where("place <= 3")
+    top = top.groupBy("segment").agg(F.array_sort(F.collect_list(F.struct("place", "category", "n"))).alias("c")).select("segment", F.concat_ws("; ", F.transform("c", lambda x: F.concat(x["category"], F.lit(" ("), x["n"].cast("string"), F.lit(")")))).alias("top_categories"))
+    means = ["units", "revenue_c", "average_stock", "turnover", "stockout_rate", "expiry_risk_c", "weekly_cv", "expired_value_c", "days_of_inventory", "average_price_c", "x", "y"]
+    each = found.groupBy("segment", "label").agg(F.count(F.lit(1)).alias("items"), F.sum("units").alias("total_units"), *(F.avg(c).alias(f"mean_{c}") for c in means))
+    return each.join(top, "segment").crossJoin(F.broadcast(whole)).withColumn("units_share_pct", 100 * F.col("total_units") / F.col("all_units")).drop("all_units")
 
 
 def n18_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(models.principal_plane(_vectors(spark, sf_dir)), "component int, explained_variance double, loadings array<double>")
+    return spark.createDataFrame(segments_of(spark, sf_dir).plane, "component int, explained_variance double, loadings array<double>")
 
 
 def _view(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -143,7 +215,7 @@ QUERIES = {
     "F1_fefo_allocation": f1_allocation, "F4_opening_lots": f4_opening, "F7_clean_sales": _cleaned("sales"), "F7_reasons": _cleaned("reasons"), "F7_items": _cleaned("items"),
     "F8_receipts": _cleaned("receipts"), "F8_lots": _cleaned("lots"), "F8_suppliers": _cleaned("suppliers"), "F8_reasons": f8_reasons, **{f"E4_{d}": _dimension(d) for d in dimensions.DIMENSION_SQL},
     "IO1_contract": io1_contract, "IO3_fingerprint": io3_fingerprint,
-    "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary, "N18_plane": n18_plane,
+    "N8_isolation_forest": n8_isolation, "N12_combined": n12_combined, "N6_items": n6_items, "N6_dropped": n6_dropped, "N14_feature_preparation": n14_preparation, "N15_segments": n15_segments, "N16_segment_quality": n16_quality, "N17_segment_summary": n17_summary, "N18_plane": n18_plane,
     "ST1_admission": st1_admission,
     **{f"V{k}_{name[2:]}": _view(name) for k, name in VIEWS.items()},
 }

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import fefo, ingest, models
+from shelfwise.operators import fefo, ingest, models, segmentation
 from shelfwise.operators.dimensions import build_dimensions, with_key
 from shelfwise.plans.views import current_stock
 from shelfwise.sources import io
@@ -174,6 +174,7 @@ def test_segments_and_preparation(spark):
     df = spark.createDataFrame(rows, "item_key long, units double, close double, flat double, wide double")
     vectors, kept, report = models.prepare_features(df, "item_key", ["units", "close", "flat", "wide"])
     assert "flat" not in kept and "units" in kept and {r["feature"]: r["logged"] for r in report}["wide"]
-    quality = models.segment_quality(vectors, range(2, 5))
-    assert sum(q[-1] for q in quality) == 1 and all(a[1] >= b[1] for a, b in zip(quality, quality[1:]))
-    assert models.segments(vectors, df.select("item_key", "units"), "item_key", 3).select("segment").distinct().count() == 3
+    runs = segmentation.fit_all(vectors, "item_key", range(2, 5))
+    quality = segmentation.quality(vectors, runs)
+    assert sum(q[-1] for q in quality) == 1 and all(a[2] >= b[2] for a, b in zip(quality, quality[1:]))
+    assert segmentation.assigned(vectors, "item_key", runs[3]).select("center").distinct().count() == 3
