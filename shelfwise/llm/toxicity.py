@@ -1,9 +1,12 @@
 """Toxicity: a weighted finite-state grammar over the clauses of a text.
 
-Words become symbols (slur, harm, intent, degree, person, deny, say, other). Five weighted transducers rewrite the symbols in turn:
+Words become symbols (slur, harm, intent, degree, person, object, deny, say, other). Five weighted transducers rewrite the symbols in turn:
 the insult transducer makes insults of slurs, the threat transducer threats of verbs of harm, negation and reported speech take back
 the attacks in their scope, and the target transducer marks attacks with an addressed person on either side. They are composed once
 into one table of states, symbols out and weights; a clause is scored by its run.
+
+A document's score rests on the matched clauses alone: their weights are never negative, what is denied or reported counts nothing, and
+example clauses of every kind, weighed against the labelled documents, settle the kinds that the labels don't show.
 """
 
 from __future__ import annotations
@@ -17,18 +20,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import CACHE_ENTRIES, SLICE_ROWS, fit_labels, held_out, label_sample, table, worker_cache
+from .vocab import piece_model, tokenizer_path
 
-#: Closed-class words of English, Spanish, French and German.
+#: Words of English, Spanish, French and German by their part in a clause. `object` are persons that the verb acts on.
 WORDS = {
-    "harm": "kill murder hurt harm destroy attack beat burn shoot stab strangle crush matar matarte golpear golpearte destruir quemar herir apuñalar tuer frapper brûler détruire blesser poignarder étrangler töten umbringen schlagen verbrennen zerstören erschießen erstechen verletzen",
-    "intent": "will shall going gonna must i'll we'll voy va vamos quiero vais allons veux dois werde werden wirst soll muss",
-    "degree": "such so very total complete utter tan muy pura puro très tellement vrai vraie sehr völlig echter",
-    "person": "you your yours u they them tú usted ustedes vosotros te tu toi vous votre du dich dir ihr euch",
+    "harm": "kill murder hurt harm destroy attack beat burn shoot stab strangle crush choke slaughter smash matar matarte golpear golpearte destruir quemar herir apuñalar asesinar tuer frapper brûler détruire blesser poignarder étrangler töten umbringen schlagen verbrennen zerstören erschießen erstechen verletzen",
+    "intent": "will shall going gonna must want i'll we'll voy va vamos quiero vais allons veux dois werde werden wirst wird soll muss",
+    "degree": "such so very total complete utter absolute fucking tan muy pura puro très tellement vrai vraie sehr völlig echter totaler",
+    "person": "you your yours u they them you're youre tú usted ustedes vosotros eres tu toi vous votre es du ihr bist seid",
+    "object": "te ti os dich dir euch",
     "deny": "not never isn't aren't wasn't don't won't no nunca jamás ne pas jamais nicht kein keine nie niemals",
-    "say": "said says called claims claimed wrote quoted reported dijo dice llamó escribió dit disait appelé écrit sagte sagt nannte schrieb",
+    "say": "said says called calls claims claimed wrote quoted reported dijo dice llamó escribió dit disait appelé écrit sagte sagt nannte schrieb",
 }
+#: Words that are insults on their own account in these languages, whatever the labels show.
+INSULTS = (
+    "idiot idiots moron morons imbecile imbeciles stupid scum bastard bastards loser losers pathetic worthless disgusting idiota idiotas imbécil imbéciles estúpido estúpida gilipollas cabrón crétin crétins imbécile abruti connard connasse "
+    "trottel vollidiot dummkopf arschloch idioten schwachkopf abschaum"
+)
 ALPHABET = ("other", "slur", *WORDS)
-SLUR, HARM, PERSON = (ALPHABET.index(x) for x in ("slur", "harm", "person"))
+SLUR, HARM = (ALPHABET.index(x) for x in ("slur", "harm"))
+_TARGETS = tuple(ALPHABET.index(x) for x in ("person", "object"))
 #: What the composed run tells apart.
 KINDS = ("insult", "insult_at_target", "threat", "threat_at_target", "negated", "reported")
 _ATTACKS = ("insult", "threat")
@@ -38,6 +49,18 @@ _EDGE = " \t\n.,;:!?\"'()[]{}<>«»“”„…-*#$%&|"
 _ENDS = (b".", b"!", b"?", b";", b":")
 #: Labelled rows of either class in the fit.
 SAMPLE_PER_CLASS = 3000
+#: Letters of word beginnings that may be learned, and the least number of different toxic words that go on from one.
+BEGINNINGS, LEAST_WORDS = (5, 6, 7), 4
+#: Weight of a learned slur that is an ordinary word elsewhere; log odds that a full weight stands for.
+ORDINARY, FULL_ODDS = 0.5, 6.0
+#: Sums by kind (insult, insult at target, threat, threat at target) and matched clauses of example clauses, and whether
+#: they are toxic: an attack is one at somebody, a lone word isn't.
+EXAMPLES = (
+    ((0, 0, 0, 0), 0, 0), ((0.5, 0, 0, 0), 1, 0), ((1, 0, 0, 0), 1, 0), ((0, 0.5, 0, 0), 1, 0), ((0, 1, 0, 0), 1, 1), ((0, 1.5, 0, 0), 1, 1), ((0, 0, 0.5, 0), 1, 0), ((0, 0, 1.5, 0), 1, 0),
+    ((0, 0, 0, 0.5), 1, 0), ((0, 0, 0, 1.5), 1, 0), ((0, 0, 0.5, 0.5), 1, 0), ((0, 0, 1.5, 1.5), 1, 1), ((0, 0, 0, 3), 1, 1),
+)
+#: Weight of each example, as a share of that of all labelled documents.
+EXAMPLE_SHARE = 0.02
 
 
 class Transducer:
@@ -100,16 +123,19 @@ def report_transducer() -> Transducer:
 
 
 def target_transducer(reach: int = 4) -> Transducer:
-    """An attack within `reach` words after a person is one at a target; a person within `reach` words after an attack says so of it
-    (its run repeats the attack's own weight). States: 0, then those after a person, then those after an insult and after a threat."""
-    after = {x: reach * (k + 1) for k, x in enumerate(_ATTACKS)}
+    """An attack within `reach` words after a person is one at a target, with twice the weight after an object; a person or object
+    within `reach` words after an attack says so of it (its run repeats the attack's own weight). States: 0, then those after a
+    person, after an object, after an insult and after a threat."""
     arcs = _armed("person", reach, {})
-    for x, base in after.items():
-        arcs |= {(s, x): (s, f"{x}_at_target", 1.0) for s in range(1, reach + 1)}
-        arcs |= {(base + s, y): (base + s - 1 if s > 1 else 0, y, 1.0) for s in range(1, reach + 1) for y in _SYMBOLS}
-        arcs |= {(base + s, "person"): (reach, f"{x}_at_target", 1.0) for s in range(1, reach + 1)}
-    for x, base in after.items():
-        arcs |= {(s, x): (base + reach, x, 1.0) for s in (0, *range(reach + 1, reach * (len(after) + 1) + 1))}
+    base = {x: reach * (k + 1) for k, x in enumerate(("object", *_ATTACKS))}
+    for at in base.values():
+        arcs |= {(at + s, y): (at + s - 1 if s > 1 else 0, y, 1.0) for s in range(1, reach + 1) for y in _SYMBOLS}
+    states = range(reach * (len(base) + 1) + 1)
+    arcs |= {(s, x): (reach if x == "person" else base[x] + reach, "other", 1.0) for s in states for x in ("person", "object")}
+    for x in _ATTACKS:
+        arcs |= {(s, x): (base[x] + reach, x, 1.0) for s in states}
+        arcs |= {(s, x): (s, f"{x}_at_target", 1.0) for s in range(1, reach + 1)} | {(base["object"] + s, x): (base["object"] + s, f"{x}_at_target", 2.0) for s in range(1, reach + 1)}
+        arcs |= {(base[x] + s, y): (reach if y == "person" else base[y] + reach, f"{x}_at_target", 1.0) for s in range(1, reach + 1) for y in ("person", "object")}
     return Transducer(arcs)
 
 
@@ -118,7 +144,7 @@ _KIND = [[KINDS.index(x) if x in KINDS else -1 for x in row] for row in OUT]
 
 
 class Symbols(dict):
-    """Cache: word in bytes -> 16 * arc + 2 * symbol + (1 at a clause's end)."""
+    """Cache: word in bytes -> 32 * arc + 2 * symbol + (1 at a clause's end)."""
 
     def __init__(self, words: dict[str, int], prefixes: dict[str, int]):
         self.words, self.prefixes = words, prefixes
@@ -133,7 +159,7 @@ class Symbols(dict):
         for k in range(self.longest, 0, -1):
             if arc < 0:
                 arc = self.prefixes.get(word[:k], -1) if len(word) >= k else -1
-        self[raw] = value = (16 * arc + 2 * SLUR if arc >= 0 else 2 * self.closed.get(word, 0)) + raw.endswith(_ENDS)
+        self[raw] = value = (32 * arc + 2 * SLUR if arc >= 0 else 2 * self.closed.get(word, 0)) + raw.endswith(_ENDS)
         return value
 
 
@@ -157,7 +183,7 @@ def features(text: str | None, symbols: Symbols, weights: list[float]) -> list[f
     sums, largest, matched, clauses = [0.0] * len(KINDS), 0.0, 0, 1
     words = (text or "").encode("utf-8", "surrogatepass").split()
     codes = np.fromiter(map(symbols.__getitem__, words), np.int64, len(words))
-    kinds = (codes >> 1) & 7
+    kinds = (codes >> 1) & 15
     if ((kinds == SLUR) | (kinds == HARM)).any():
         ends = np.flatnonzero(codes & 1) + 1
         clause_of = np.zeros(len(codes), np.int64)
@@ -169,12 +195,12 @@ def features(text: str | None, symbols: Symbols, weights: list[float]) -> list[f
         for a, b in zip(starts.tolist(), stops.tolist()):
             state, found, own = 0, 0.0, 0.0
             for code in codes[a:b].tolist():
-                symbol = (code >> 1) & 7
+                symbol = (code >> 1) & 15
                 kind, weight = _KIND[state][symbol], _WEIGHT[state][symbol]
                 state = _AFTER[state][symbol]
                 if kind >= 0:
-                    if symbol != PERSON:
-                        own = weights[code >> 4] if symbol == SLUR else 1.0
+                    if symbol not in _TARGETS:
+                        own = weights[code >> 5] if symbol == SLUR else 1.0
                     worth = weight * own
                     sums[kind] += worth
                     found += worth if kind < 4 else 0.0
@@ -189,18 +215,27 @@ def _units(label_rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             own = {w.strip(_EDGE) for w in (text or "").lower().split()}
             own = {w for w in own if 3 <= len(w) <= 40}
-            for unit in {f"={w}" for w in own} | {f"^{w[:k]}" for w in own for k in (4, 5, 6) if len(w) >= k}:
+            for unit in {f"={w}" for w in own} | {f"^{w[:k]}" for w in own for k in BEGINNINGS if len(w) > k}:
                 counts.setdefault(unit, [0, 0])[label] += 1
     yield pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), pa.array([c[0] for c in counts.values()], pa.int64()), pa.array([c[1] for c in counts.values()], pa.int64())], names=["unit", "clean", "toxic"])
 
 
-def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, least_g: float = 24.0) -> Grammar:
+def background_words(piece_path: str) -> frozenset[str]:
+    """Ordinary words: the whole words among the pieces of a public vocabulary."""
+    model = piece_model(piece_path)
+    found = (model.id_to_piece(k) for k in range(model.get_piece_size()))
+    return frozenset(p[1:].lower() for p in found if p.startswith("▁") and p[1:].isalpha() and len(p) > 3)
+
+
+def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, least_g: float = 24.0, piece_path: str | None = None) -> Grammar:
     """A grammar from at most per_class labelled documents of either class that are not held out.
 
-    Slurs are all words and word beginnings that toxic documents have far oftener (G statistic of at least least_g, which takes
-    about 17 toxic documents at the least), counted by Spark over the sample's documents; their number and the 2 * per_class rows of
-    features that the driver gets are bounded by the sample. Without toxic labels the grammar has no slurs and scores near the share
-    of toxic labels. Null labels and null ids, and labels of unknown documents, are ignored; a repeated id counts with each of its rows.
+    Slurs are the listed insults and words that toxic documents have far oftener (G statistic of at least least_g, which takes about
+    17 toxic documents at the least), with less weight if they are ordinary words of a public vocabulary. A word beginning of five
+    letters or more is learned only if several different toxic words go on from it and no ordinary word begins so. Counts are made by
+    Spark over the sample's documents; the number of slurs and the 2 * per_class rows of features that the driver gets are bounded by
+    the sample. Documents weigh by the class share, EXAMPLES beside them. Without labels of both classes the examples alone decide.
+    Null labels and null ids, and labels of unknown documents, are ignored; a repeated id counts with each of its rows.
     """
     chosen, share = label_sample(fit_labels(labels, "toxic"), per_class)
     share = share or 0.0
@@ -209,23 +244,31 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     rows = texts.join(F.broadcast(chosen), "doc_id").select("label", "text")
     total = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n_clean, n_toxic = total.get(0, 0), total.get(1, 0)
+    listed = [(w, True, 1.0) for w in INSULTS.split()]
     if not n_clean or not n_toxic:
-        return Grammar((), (float(np.log((share + 1e-4) / (1 - share + 1e-4))), *[0.0] * (len(KINDS) + 3)))
+        return Grammar(tuple(listed), tuple(_fitted(np.empty((0, len(KINDS) + 3)), np.empty(0), np.empty(0))))
     units = rows.mapInArrow(_units, "unit string, clean long, toxic long").groupBy("unit").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     a, b, all_ = F.col("toxic"), F.col("clean"), F.col("toxic") + F.col("clean")
     expect = n_toxic / (n_clean + n_toxic)
     g = 2 * (a * F.log(a / (all_ * expect)) + F.when(b > 0, b * F.log(b / (all_ * (1 - expect)))).otherwise(0.0))
     pure = (a / n_toxic) / (a / n_toxic + b / n_clean)
-    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.97)).collect()
-    arcs: list[tuple[str, bool, float]] = []
-    beginnings, whole = set(), set()
+    going_on = units.where("unit like '=%' and toxic > 0 and clean = 0").select(F.explode(F.array(*(F.concat(F.lit("^"), F.substring("unit", 2, k)) for k in BEGINNINGS))).alias("unit")).groupBy("unit").agg(F.count(F.lit(1)).alias("words"))
+    found = units.where(a >= 3).withColumn("g", g).withColumn("pure", pure).where((F.col("g") >= least_g) & (F.col("pure") >= 0.97)).join(going_on, "unit", "left").collect()
+    ordinary = background_words(piece_path or tokenizer_path("piece_bpe_32k.model"))
+    begun = {w[:k] for w in ordinary for k in BEGINNINGS}
+    arcs = list(listed)
+    beginnings, whole = set(), {w for w, _, _ in listed}
     for least in (0.99, 0.97):
         for r in sorted(found, key=lambda r: (len(r["unit"]), r["unit"])):
-            text = r["unit"][1:]
-            if r["pure"] >= least and text not in whole and not any(text[:k] in beginnings for k in range(1, len(text) + 1)):
-                weight = float(np.log((r["toxic"] + 0.5) / (n_toxic + 1)) - np.log((r["clean"] + 0.5) / (n_clean + 1)))
-                (whole if r["unit"][0] == "=" else beginnings).add(text)
-                arcs.append((text, r["unit"][0] == "=", max(weight, 0.1)))
+            text, is_word = r["unit"][1:], r["unit"][0] == "="
+            if r["pure"] < least or text in whole or any(text[:k] in beginnings for k in range(1, len(text) + 1)):
+                continue
+            if not is_word and ((r["words"] or 0) < LEAST_WORDS or text in begun):
+                continue
+            odds = float(np.log((r["toxic"] + 0.5) / (n_toxic + 1)) - np.log((r["clean"] + 0.5) / (n_clean + 1)))
+            weight = min(max(odds / FULL_ODDS, 0.1), 1.0)
+            (whole if is_word else beginnings).add(text)
+            arcs.append((text, is_word, min(weight, ORDINARY) if is_word and text in ordinary else weight))
     grammar = Grammar(tuple(arcs))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,18 +280,39 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, per_class: int = SAMPL
     y, x = sampled["label"].to_numpy(float), np.array(sampled["x"].tolist(), float)
     order = np.lexsort([*x.T, y])
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return Grammar(grammar.arcs, tuple(_logistic(x[order], y[order], weight[order])))
+    return Grammar(grammar.arcs, tuple(_fitted(x[order], y[order], weight[order])))
+
+
+def _fitted(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[float]:
+    """Coefficients of the constant and of `features`, with EXAMPLES beside the documents; those of what is denied or reported, of the
+    largest clause and of the share of clauses are 0, all others are not negative."""
+    used = [*(KINDS.index(k) for k in ("insult", "insult_at_target", "threat", "threat_at_target")), len(KINDS) + 1]
+    shown = np.array([[*np.log1p(sums), np.log1p(matched)] for sums, matched, _ in EXAMPLES])
+    each = EXAMPLE_SHARE * weight.sum() if len(weight) else 1.0
+    found = _logistic(np.concatenate([x[:, used], shown]), np.concatenate([y, [label for *_, label in EXAMPLES]]), np.concatenate([weight, np.full(len(EXAMPLES), each)]))
+    out = np.zeros(len(KINDS) + 4)
+    out[0] = found[0]
+    out[[1 + k for k in used]] = found[1:]
+    return out.tolist()
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05, steps: int = 50) -> list[float]:
-    """Weighted logistic regression with a small ridge by Newton's method; the constant first."""
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02, rounds: int = 2000) -> list[float]:
+    """Weighted logistic regression with a small ridge, a free constant and no negative coefficient, by one coordinate after another."""
     x = np.column_stack([np.ones(len(x)), x])
-    beta, penalty = np.zeros(x.shape[1]), np.diag([1e-3, *[ridge] * (x.shape[1] - 1)])
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (p - y)) + penalty @ beta)
-        beta = beta - np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
+    beta, penalty = np.zeros(x.shape[1]), np.array([1e-3, *[ridge] * (x.shape[1] - 1)])
+    z = x @ beta
+    for _ in range(rounds):
+        largest = 0.0
+        for k in range(len(beta)):
+            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            slope = (weight * (p - y)) @ x[:, k] + penalty[k] * beta[k]
+            bend = (weight * p * (1 - p)) @ (x[:, k] ** 2) + penalty[k]
+            now = beta[k] - np.clip(slope / bend, -1, 1)
+            now = now if k == 0 else max(now, 0.0)
+            z += (now - beta[k]) * x[:, k]
+            largest = max(largest, abs(now - beta[k]))
+            beta[k] = now
+        if largest < 1e-7:
             break
     return beta.tolist()
 
