@@ -16,7 +16,10 @@ STAR = {
     "E6": "select c.date_key, r.site_key, r.supplier_key, r.item_key, r.batch_id, r.quantity, r.cost_c, r.total_c from t_receipts r join t_calendar c on c.day_no = r.day_no join t_batches b on b.batch_id = r.batch_id",
     "E7": "select date_key, site_key, maker, opening, purchased, sold, expired, closing, value_c from t_ledger",
     "E8": "select site, batch_id, expiry_day_no, remaining, remaining * cost_c as lost_value_c from t_lots where remaining > 0 and expiry_day_no <= (select max(day_no) from t_calendar)",
-    "E9": f"select count(*) {where('sold > received')} as over_sold_batches, count(*) {where('remaining < 0')} as negative_batches, count(*) - count(distinct concat(cast(site_key as varchar(9)), '/', batch_id)) as repeated_keys from t_lots",
+    # received less sold before it is floored at zero, and lines against the expiry of their batch
+    "E9": f"""select count(*) {where('sold > received')} as over_sold_batches, count(*) {where('received - sold < 0 and remaining <> 0')} as wrongly_floored, {total('case when received < sold then sold - received else 0 end')} as units_over_sold, count(*) - count(distinct concat(cast(site_key as varchar(9)), '/', batch_id)) as repeated_keys,
+      (select count(*) from t_sales s join t_batches b on b.batch_id = s.batch_id where s.day_no >= b.expiry_day_no) as sold_after_expiry, (select count(*) from t_receipts r join t_batches b on b.batch_id = r.batch_id where r.day_no >= b.expiry_day_no) as received_after_expiry,
+      (select count(*) from t_ledger where closing < 0 or opening < 0) as negative_stock, (select count(*) - count(distinct date_key) from t_calendar) as repeated_days from t_lots""",
     "E10": f"select {total('purchased')} as purchased, {total('sold')} as sold, {total('expired')} as expired, {total('case when day_no = last_day then closing else 0 end')} as closing, {total('case when day_no = last_day then value_c else 0 end')} as value_c from t_ledger cross join (select max(day_no) as last_day from t_calendar) c",
     "E11": f"""select m.item_key, m.category, coalesce(s.price_c, r.cost_c, 100e0) as base_price_c from (select distinct item_key, category from t_sales union select distinct item_key, category from t_receipts) m
       left join (select item_key, {total('total_c')} / {total('quantity')} as price_c from t_sales group by item_key) s on s.item_key = m.item_key

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .operators import cube
 from .operators.dimensions import DIMENSION_SQL
 from .operators.forecasting import TEXTS as FORECASTING
 from .operators.ingest import TEXTS as INGEST
@@ -55,6 +56,8 @@ ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str)
 
 QUERIES |= fitted.QUERIES | decided.QUERIES | forecasts.QUERIES | causality.QUERIES
 ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in (decided.SQL | causality.SQL).items()}
+QUERIES |= {name: (lambda spark, sf_dir, q=q: cube.answer(mart(spark, sf_dir), q)) for name, q in cube.QUESTIONS.items()}
+ORACLES |= {name: with_roles(text) for name, text in cube.SQL.items()}
 ORACLES |= {"N6_items": with_roles(ITEM_SQL.strip()), "N6_dropped": with_roles(f"select count(*) as items, count(*) filter (where f.item_key is null) as dropped from (select distinct item_key from t_sales) s left join ({ITEM_SQL}) f on f.item_key = s.item_key")}
 ORACLES |= {f"V{k}_{name[2:]}": with_roles(f"select * from {name}") for k, name in fitted.VIEWS.items()}
 ORACLES |= {f"E4_{name}": with_roles(text) for name, text in DIMENSION_SQL.items()}
