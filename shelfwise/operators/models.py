@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,12 +15,16 @@ from pyspark.sql import functions as F
 from ..plans.views import with_ranks
 from ..sources.io import stored
 
-#: Rows that a fit of trees takes at most, the first by a hash of their values.
-SAMPLE_ROWS = 4096
+#: Rows that a tree of the forest grows from, and the surplus that is drawn so that chance leaves it enough.
+SAMPLE_ROWS, SURPLUS = 4096, 1.25
 
 
-def _bounded(df: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
-    return df.orderBy(F.xxhash64(*df.columns), *df.columns).limit(rows)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit mix of every value (the public splitmix64 finaliser)."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
 def _path_length(n: float) -> float:
@@ -48,16 +53,48 @@ def _depths(tree: list, x: np.ndarray, out: np.ndarray, rows: np.ndarray) -> Non
     _depths(tree[3], x, out, rows[~left])
 
 
+def grown_forest(known: DataFrame, keys: list[str], features: list[str], trees: int, sample: int) -> tuple[list[list], int]:
+    """The trees, and the rows that each was grown from.
+
+    One pass draws for every tree the rows whose hash with the tree's number is low enough; the rows of a tree, a bounded number, meet
+    in one task that grows it from the `sample` of least hash. Only trees come back, whose size `sample` bounds. Hashes come from the
+    rows' values, so neither order nor partitions matter.
+    """
+    n = known.count()
+    size = min(sample, n)
+    if not size:
+        return [], 0
+    limit = np.uint64(min(1.0, SURPLUS * sample / n) * (2**64 - 1025))
+    numbers = _mixed(np.arange(trees, dtype=np.uint64))
+    columns = [f"f{k}" for k in range(len(features))]
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            own, x = batch["h"].to_numpy().astype(np.int64).view(np.uint64), batch[columns]
+            for t in range(trees):
+                drawn = _mixed(own ^ numbers[t])
+                at = np.flatnonzero(drawn <= limit)
+                yield x.iloc[at].assign(tree=np.int32(t), drawn=drawn[at].view(np.int64))
+
+    def grow(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.assign(order=rows["drawn"].to_numpy().view(np.uint64)).sort_values(["order", *columns]).head(size)
+        t = int(rows["tree"].iloc[0])
+        tree = _grow(rows[columns].to_numpy(float), np.random.default_rng(t), 0, int(np.ceil(np.log2(max(size, 2)))))
+        return pd.DataFrame({"tree": [t], "grown": [json.dumps(tree)]})
+
+    shown = known.select(F.xxhash64(*keys, *features).alias("h"), *(F.col(c).alias(k) for c, k in zip(features, columns)))
+    drawn = shown.mapInPandas(draw, ", ".join(f"{c} double" for c in columns) + ", tree int, drawn long")
+    found = drawn.groupBy("tree").applyInPandas(grow, "tree int, grown string").orderBy("tree").collect()
+    return [json.loads(r["grown"]) for r in found], size
+
+
 def isolation_forest(df: DataFrame, keys: list[str], features: list[str], trees: int = 200, sample: int = SAMPLE_ROWS, share: float = 0.01) -> DataFrame:
     """keys, isolation_score and is_isolation_anomaly: the share of rows with the highest scores.
 
-    Trees are grown from a bounded sample, one seed each; scoring is a map over all rows; the cut is one percentile.
+    Scoring is a map over all rows; the cut is one percentile. Null features are 0. An empty table gives no rows.
     """
     known = df.select(*keys, *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    # at most 4 * sample rows reach the driver; each tree takes `sample` of them
-    x = np.array(_bounded(known.select(*features), 4 * sample).collect(), float).reshape(-1, len(features))
-    size = min(sample, len(x))
-    forest = [_grow(x[np.random.default_rng(k).choice(len(x), size, replace=False)], np.random.default_rng(k), 0, int(np.ceil(np.log2(max(size, 2))))) for k in range(trees)] if size else []
+    forest, size = grown_forest(known, keys, features, trees, sample)
     norm = max(_path_length(size), 1e-9)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -6,7 +6,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from shelfwise.operators import segmentation
+from shelfwise.operators import models, segmentation
 from shelfwise.operators import tree_boosting as boosting
 
 NAMES = ["a", "b", "c", "d"]
@@ -180,3 +180,17 @@ def test_few_and_no_rows(spark):
     same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)] + [(9, [3.0, 3.0])], "id long, vector array<double>")
     runs = segmentation.fit_all(same, "id")
     assert set(runs) == {2} and runs[2].cost == 0.0 and segmentation.quality(same, runs)[0][-1]
+
+
+def test_isolation_trees_grow_where_their_rows_are(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, *map(float, rng.normal(size=2))) for i in range(3000)] + [(9000, 15.0, -12.0), (9001, None, 30.0)]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    one, other = (models.isolation_forest(df.repartition(p), ["id"], ["a", "b"], trees=30, sample=128) for p in (2, 7))
+    scores = {r.id: r.isolation_score for r in one.collect()}
+    assert scores == {r.id: r.isolation_score for r in other.collect()}
+    ranked = sorted(scores, key=scores.get)
+    assert ranked[-1] == 9000 and 9001 in ranked[-30:]
+    forest, size = models.grown_forest(df.na.fill(0.0).repartition(3), ["id"], ["a", "b"], 30, 128)
+    assert size == 128 and len(forest) == 30 and len({str(t) for t in forest}) == 30
+    assert models.isolation_forest(df.limit(0), ["id"], ["a", "b"]).count() == 0 and models.isolation_forest(df.limit(5), ["id"], ["a", "b"], trees=5).count() == 5
