@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -38,8 +38,11 @@ class Graph:
     beam: int = 24
     entries: int = 8
     margin: float = 0.06
-    #: queries of the recall audit, and the recall below which shards are made to overlap more
+    #: queries of the recall audit, which grow until audit_linked of them have a link or audit_most are asked, and the recall below which
+    #: shards are made to overlap more
     audit_queries: int = 256
+    audit_linked: int = 64
+    audit_most: int = 4096
     least_recall: float = 0.98
 
 
@@ -202,7 +205,9 @@ def united_graph(members: DataFrame, how: Graph) -> DataFrame:
         node, to = np.repeat(np.arange(len(ids)), kept.shape[1])[kept.ravel() >= 0], kept.ravel()[kept.ravel() >= 0]
         a, b = np.concatenate([node, to]), np.concatenate([to, node])
         close = np.einsum("nd,nd->n", x[a], x[b]) >= how.threshold - how.margin
-        return pd.DataFrame({"vec_id": ids, "near": _grouped_lists(a, ids[b], len(ids)), "homes": _grouped_lists(a[close], home[b[close]], len(ids))})
+        # its own home is one of them: who finds the vector in a shard that it is a guest of goes on to its home
+        every = np.arange(len(ids))
+        return pd.DataFrame({"vec_id": ids, "near": _grouped_lists(a, ids[b], len(ids)), "homes": _grouped_lists(np.append(a[close], every), np.append(home[b[close]], home), len(ids))})
 
     lists = members.select("shard", "part", "vec_id", "vector", "home").groupBy("shard", "part").applyInPandas(build, "vec_id long, near array<long>, homes array<long>")
     # as many lists a vector as it has shards
@@ -281,7 +286,8 @@ def search_round(walk: DataFrame, members: DataFrame, how: Graph) -> DataFrame:
     def search(group: pd.DataFrame) -> pd.DataFrame:
         own, asked = (group[group["member"] == m].sort_values("vec_id", ignore_index=True) for m in (True, False))
         parts = list(_walked(int(group["shard"].iloc[0]), own, asked, how)) if len(own) and len(asked) else []
-        return pd.concat([pd.DataFrame({"vec_id": []}), *parts], ignore_index=True).reindex(columns=["vec_id", "n_links", "other", "visit"]).astype("Int64")
+        # whole columns of nullable integers, so that large ids aren't turned into floats
+        return pd.concat([p.reindex(columns=["vec_id", "n_links", "other", "visit"]).astype("Int64") for p in (pd.DataFrame({"vec_id": []}), *parts)], ignore_index=True)
 
     visits = walk.where(F.size("new") > 0).select(*columns, F.explode("new").alias("shard"))
     parts = members.groupBy("shard").agg(F.max("parts").alias("parts"))
@@ -304,7 +310,7 @@ def walk_graph(reps: DataFrame, centers: np.ndarray, bits: np.ndarray, overlap:
     """What all rounds find: (vec_id, n_links) to be added up and (vec_id, other)."""
     members = stored(_assigned(reps, centers, bits, overlap), "shards")
     sizes = members.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / how.part_rows).cast("int").alias("parts"))
-    members = _of_shard(members, sizes, how).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int"))
+    members = _of_shard(members, sizes, how).withColumn("part", F.pmod(F.xxhash64("vec_id", "shard"), F.col("parts")).cast("int"))
     union = united_graph(members, how)
     at_home = members.where("shard = home").select("vec_id", "n", "vector", "home")
     none = F.array().cast("array<long>")
@@ -325,10 +331,9 @@ def _links(found: DataFrame) -> DataFrame:
     return found.where("n_links is not null").groupBy("vec_id").agg(F.sum("n_links").alias("links"))
 
 
-def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
-    """Share of a vector's links that the search has found, against all vectors: the mean over those with links in a bounded sample
-    (the first by a hash), so that members of large groups count no more than others."""
-    sample = reps.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(how.audit_queries).collect()
+def _true_links(reps: DataFrame, queries: int, how: Graph) -> DataFrame:
+    """(vec_id, truth): all links of the first `queries` vectors by a hash, against all vectors in blocks; without those that have none."""
+    sample = reps.orderBy(F.xxhash64(F.lit(3), "vec_id"), "vec_id").limit(queries).select("vec_id", "vector").collect()
     by_size: dict[int, list] = {}
     for r in sample:
         by_size.setdefault(len(r["vector"]), []).append(r)
@@ -337,21 +342,58 @@ def audit_recall(reps: DataFrame, found: DataFrame, how: Graph) -> float:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, int] = {}
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
                 ids, n, vectors = batch.column("vec_id").to_numpy(), batch.column("n").to_numpy(), pd.Series(batch.column("vector").to_pylist())
                 for size in set(vectors.map(len)) & set(asked):
                     own = (vectors.map(len) == size).to_numpy()
                     q_ids, q = asked[size]
                     hit = (q @ _unit(vectors[own]).T >= how.threshold) & (q_ids[:, None] != ids[own][None, :])
-                    for q_id, k in zip(q_ids.tolist(), (hit * n[own]).sum(1).tolist()):
-                        total[q_id] = total.get(q_id, 0) + k
+                    for k in np.flatnonzero(hit.any(1)).tolist():
+                        total[int(q_ids[k])] = total.get(int(q_ids[k]), 0) + int(n[own][hit[k]].sum())
         yield pa.RecordBatch.from_arrays([pa.array(total, pa.int64()), pa.array(list(total.values()), pa.int64())], names=["vec_id", "truth"])
 
-    truth = reps.mapInArrow(count, "vec_id long, truth long").groupBy("vec_id").agg(F.sum("truth").alias("truth"))
+    return stored(reps.select("vec_id", "n", "vector").mapInArrow(count, "vec_id long, truth long").groupBy("vec_id").agg(F.sum("truth").alias("truth")), "audit")
+
+
+def linked_sample(reps: DataFrame, total: int, how: Graph) -> DataFrame:
+    """(vec_id, truth) of sampled vectors that have links; four times as many vectors are asked as long as too few have any."""
+    queries = how.audit_queries
+    while True:
+        truth = _true_links(reps, queries, how)
+        if queries >= min(total, how.audit_most) or truth.count() >= how.audit_linked:
+            return truth
+        queries = min(4 * queries, how.audit_most)
+
+
+def audit_recall(truth: DataFrame, found: DataFrame) -> float | None:
+    """Share of a vector's links that the search has found, against all vectors: the mean over the sampled vectors that have links, so
+    that members of large groups count no more than others; None if no sampled vector has any."""
     share = F.least(F.coalesce("links", F.lit(0)), "truth") / F.col("truth")
-    mean = truth.where("truth > 0").join(_links(found), "vec_id", "left").agg(F.avg(share).alias("recall")).first()["recall"]
-    return 1.0 if mean is None else mean
+    return truth.join(_links(found), "vec_id", "left").agg(F.avg(share).alias("recall")).first()["recall"]
+
+
+#: Internal ids of vectors whose vec_id another vector has too begin here.
+SURROGATES = 1 << 62
+
+
+def _classes(named: DataFrame) -> DataFrame:
+    """vector, n, own (the smallest vec_id of equal vectors) and vec_id, an id that no other class has: own but for repeated ids."""
+    classes = stored(named.groupBy("vector").agg(F.min("vec_id").alias("own"), F.count(F.lit(1)).alias("n")), "classes")
+    repeated = stored(classes.groupBy("own").agg(F.count(F.lit(1)).alias("times"), F.min("vector").alias("first")).where("times > 1").drop("times"), "repeated-ids")
+    if repeated.isEmpty():
+        return classes.withColumn("vec_id", F.col("own"))
+    joined = classes.join(repeated, "own", "left")
+    later = F.col("first").isNotNull() & (F.col("first") != F.col("vector"))
+    return stored(joined.withColumn("vec_id", F.when(later, F.lit(SURROGATES) + F.monotonically_increasing_id()).otherwise(F.col("own"))).drop("first"), "classes")
+
+
+def _smallest_ids(classes: DataFrame, groups: DataFrame) -> DataFrame:
+    """(vec_id, component_id) with the smallest own id of the component, where internal ids stand in it."""
+    placed = classes.select("vec_id", "own").join(groups.select(F.col("node").alias("vec_id"), "component_id"), "vec_id", "left").withColumn("component_id", F.coalesce("component_id", "vec_id"))
+    lower = placed.where(F.col("vec_id") >= SURROGATES).groupBy("component_id").agg(F.min("own").alias("lower"))
+    known = F.when(F.col("component_id") < SURROGATES, F.col("component_id"))
+    return placed.join(lower, "component_id", "left").select("vec_id", F.least(known, F.col("lower")).alias("component_id"))
 
 
 def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
@@ -363,8 +405,10 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
     range-expanding greedy search in double precision, from the medoids of its home shard on to other shards as far as neighbours
     within the range lead (search_round). Every task's members and queries are bounded, whatever the shard.
 
-    The recall of vectors with links is always audited, on a bounded sample against all vectors, and returned; while it is below
-    least_recall, vectors become members of twice as many shards. A link that the walk doesn't meet is lost: the audit bounds how many.
+    The recall of vectors with links is always audited against all vectors, on a bounded sample that grows until enough of it has links,
+    and returned (null if none has any: nothing was measured); while it is below least_recall, vectors become members of twice as
+    many shards and searches four times as wide, in the end of all shards and over all of their members, which compares all with all. A link that the walk doesn't meet is lost: the audit tells
+    how many.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing, as do vectors of different
     dimensions with each other. A null vec_id names no vector: n_links 0, component_id null, kept true. Repeated rows count as
@@ -373,9 +417,9 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
     spark = embeddings.sparkSession
     packed = stored(_packed(embeddings), "vectors")
     named = packed.where("vec_id is not null and vector is not null")
-    classes = stored(named.groupBy("vector").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n")), "classes")
+    classes = _classes(named)
     total = classes.count()
-    found, recall = spark.createDataFrame([], "vec_id long, n_links long, other long, visit long"), 1.0
+    found, recall = spark.createDataFrame([], "vec_id long, n_links long, other long, visit long"), None
     if total:
         sample = classes.orderBy(F.xxhash64("vec_id"), "vec_id").limit(how.sample_rows).select("vector").collect()
         size = max(sorted({len(r["vector"]) for r in sample}), key=lambda s: sum(len(r["vector"]) == s for r in sample))
@@ -386,18 +430,20 @@ def near_vectors(embeddings: DataFrame, how: Graph = Graph()) -> DataFrame:
             # a row for each centroid, max_centers at most
             for r in _assigned(classes, centers, bits, 1).where("home >= 0").groupBy("home").count().collect():
                 bits[r["home"]] = max(0, int(np.ceil(np.log2(r["count"] / (4 * how.shard_rows)))))
+        truth = linked_sample(classes, total, how)
+        reps = classes.drop("own")
         while True:
-            found = walk_graph(classes, centers, bits, overlap, how)
-            recall = audit_recall(classes, found, how)
-            if recall >= how.least_recall or overlap >= len(centers) + bits.max():
+            found = walk_graph(reps, centers, bits, overlap, how)
+            recall = audit_recall(truth, found)
+            if recall is None or recall >= how.least_recall or (overlap >= len(centers) + bits.max() and how.beam >= how.part_rows):
                 break
-            overlap *= 2
+            overlap, how = 2 * overlap, replace(how, beam=4 * how.beam)
     groups = components(found.where("other is not null").select(F.col("vec_id").alias("a"), F.col("other").alias("b")))
-    of_class = classes.join(_links(found), "vec_id", "left").join(groups, F.col("vec_id") == F.col("node"), "left").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    of_class = classes.join(_links(found), "vec_id", "left").join(_smallest_ids(classes, groups), "vec_id").select("vector", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component_id")
     joined = packed.join(of_class, "vector", "left")
     unnamed = F.col("vec_id").isNull()
     out = joined.select("vec_id", F.when(unnamed, 0).otherwise(F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.when(~unnamed, F.coalesce("component_id", "vec_id")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(float(recall)))
+    return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True))).withColumn("audited_recall", F.lit(recall).cast("double"))
 
 
 def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
