@@ -13,14 +13,18 @@ KEPT = f"(select b.transaction_id, b.item from {BASKETS} b join {FREQUENT} f on
 PAIRS = f"(select a.item as i1, b.item as i2, count(*) as c from {KEPT} a join {KEPT} b on b.transaction_id = a.transaction_id and a.item < b.item group by a.item, b.item having count(*) >= (select ceil({SUPPORT} * n) from {COUNT} n2))"
 TRIPLES = f"""(select a.item as i1, b.item as i2, c.item as i3, count(*) as c from {KEPT} a join {KEPT} b on b.transaction_id = a.transaction_id and a.item < b.item
   join {KEPT} c on c.transaction_id = b.transaction_id and b.item < c.item group by a.item, b.item, c.item having count(*) >= (select ceil({SUPPORT} * n) from {COUNT} n3))"""
-ITEMSETS = f"(select item as itemset, 1 as size, c from {FREQUENT} a1 union all select concat(i1, '|', i2), 2, c from {PAIRS} a2 union all select concat(i1, '|', i2, '|', i3), 3, c from {TRIPLES} a3)"
-# every way to part an itemset of two or three into antecedent and consequent
-_PARTS = {PAIRS: (("i1", "i2"), ("i2", "i1")), TRIPLES: (("i1", "concat(i2, '|', i3)"), ("i2", "concat(i1, '|', i3)"), ("i3", "concat(i1, '|', i2)"), ("concat(i2, '|', i3)", "i1"), ("concat(i1, '|', i3)", "i2"), ("concat(i1, '|', i2)", "i3"))}
-SPLITS = "(" + " union all ".join(f"select {a} as antecedent, {b} as consequent, c from {sets} p{k}" for k, (sets, sides) in enumerate(_PARTS.items()) for a, b in sides) + ")"
+ITEMSETS = f"""(select item as itemset, 1 as size, c, item as i1, cast(null as varchar(20)) as i2, cast(null as varchar(20)) as i3 from {FREQUENT} a1 union all select concat(i1, '|', i2), 2, c, i1, i2, null from {PAIRS} a2
+  union all select concat(i1, '|', i2, '|', i3), 3, c, i1, i2, i3 from {TRIPLES} a3)"""
+# every way to part an itemset of two or three into antecedent and consequent; v_itemsets are the mined itemsets, stored once
+_PARTS = {2: (("i1", "i2"), ("i2", "i1")), 3: (("i1", "concat(i2, '|', i3)"), ("i2", "concat(i1, '|', i3)"), ("i3", "concat(i1, '|', i2)"), ("concat(i2, '|', i3)", "i1"), ("concat(i1, '|', i3)", "i2"), ("concat(i1, '|', i2)", "i3"))}
+SPLITS = "(" + " union all ".join(f"select {a} as antecedent, {b} as consequent, c, i1, i2, i3 from v_itemsets p{size} where size = {size}" for size, sides in _PARTS.items() for a, b in sides) + ")"
 RULES = f"""(select r.*, c / n as support, c / ca as confidence, c * n / (ca * cb) as lift, c / n - (ca / n) * (cb / n) as leverage, (1 - cb / n) / nullif(1 - c / ca, 0) as conviction from (
-  select p.antecedent, p.consequent, p.c, a.c as ca, b.c as cb, a.size as antecedent_size, b.size as consequent_size, n.n from {SPLITS} p join {ITEMSETS} a on a.itemset = p.antecedent join {ITEMSETS} b on b.itemset = p.consequent cross join {COUNT} n
+  select p.antecedent, p.consequent, p.c, p.i1, p.i2, p.i3, a.c as ca, b.c as cb, a.size as antecedent_size, b.size as consequent_size, n.n from {SPLITS} p join v_itemsets a on a.itemset = p.antecedent join v_itemsets b on b.itemset = p.consequent cross join {COUNT} n
   ) r where c >= {CONFIDENCE} * ca and c * n > ca * cb)"""
 
+# the items of every rule, one a row
+RULE_ITEMS = "(" + " union all ".join(f"select antecedent, consequent, i{k} as item, antecedent_size + consequent_size as items from {RULES} r{k} where i{k} is not null" for k in (1, 2, 3)) + ")"
+
 #: Robust z of the week and of the day, units that a movement has at least, days without stock that make a pattern, days of history.
 Z7, ZD, BIG, RUN, HISTORY, EPISODE_GAP = 5, 6, 5, 7, 70, 3
 KNOWN = f"n_seen > {HISTORY} and z7 is not null and zd is not null"
@@ -65,9 +69,9 @@ ITEM_FEATURES = f"""select p.maker, p.items, p.units, p.revenue_c, p.revenue_c /
 
 TEXTS = {
     "N1": f"select transaction_id, item from {BASKETS} b",
-    "N2": f"select itemset, size, c as support_count, c / n as support from {ITEMSETS} i cross join {COUNT} n",
+    "N2": f"select itemset, size, c as support_count, c / n as support from v_itemsets i cross join {COUNT} n",
     "N3": f"select r.antecedent, r.consequent, r.antecedent_size, r.consequent_size, r.c as support_count, r.ca as antecedent_count, r.cb as consequent_count, r.support, r.confidence, r.lift, r.leverage, r.conviction, case when q.antecedent is null then false else true end as reverse_rule_present from {RULES} r left join {RULES} q on q.antecedent = r.consequent and q.consequent = r.antecedent",
-    "N4": f"select s.support, i.size, count(*) as itemsets from {ITEMSETS} i cross join {COUNT} n join (select 0.002 as support union all select 0.004 union all select 0.008) s on i.c >= ceil(s.support * n.n) group by s.support, i.size",
+    "N4": f"select s.support, i.size, count(*) as itemsets from v_itemsets i cross join {COUNT} n join (select 0.002 as support union all select 0.004 union all select 0.008) s on i.c >= ceil(s.support * n.n) group by s.support, i.size",
     "N5": f"select antecedent, consequent, confidence, lift from (select *, row_number() over (partition by least(antecedent, consequent), greatest(antecedent, consequent) order by confidence desc, antecedent) as place from {RULES} r where antecedent_size = 1 and consequent_size = 1) x where place = 1 order by lift desc, antecedent, consequent limit 15",
     "N6": ITEM_FEATURES,
     "N7": "select grain, site, maker, day_no, units_7d, usual_7d, z7, usual_day, zd, (sold + 1) / (usual_day + 1) as ratio_to_usual_day, (units_7d + 1) / (usual_7d + 1) as ratio_to_usual_week, empty_days_7, stock_run from v_series where z7 is not null",
@@ -79,6 +83,9 @@ TEXTS = {
       from (select event_type, count(*) as events, {total('strict')} as strict_hits, {total('any_hit')} as any_hits, {total('strict')} / count(*) as recall, {total('any_hit')} / count(*) as any_recall from {HITS} h0 group by event_type) h
       left join (select anomaly_type, count(*) as episodes, {total('matched')} as matched, {total('matched')} / count(*) as precision_ from {MATCHED} m0 group by anomaly_type) m on m.anomaly_type = h.event_type""",
     "N19": f"select grain, anomaly_type, count(*) as n, {pct('count(*)', total('count(*)', 'over ()'))} as share_pct from {ANOMALIES} a group by grain, anomaly_type",
-    "N20": f"""select count(*) as rules, {total('case when r.c = q.c then 0 else 1 end')} as differing_counts, count(*) - count(r.lift) as infinite_metrics from (select * from {RULES} r0 where antecedent_size = 1 and consequent_size = 1) r
-      join (select a.item as i1, b.item as i2, count(distinct a.transaction_id) as c from {BASKETS} a join {BASKETS} b on b.transaction_id = a.transaction_id and a.item <> b.item group by a.item, b.item) q on q.i1 = r.antecedent and q.i2 = r.consequent""",
+    # every rule of two and of three items counted again, item by item
+    "N20": f"""select count(*) as rules, {total('case when q.c is null or r.c <> q.c then 1 else 0 end')} as differing_counts, count(*) - count(r.lift) as infinite_metrics from {RULES} r
+      left join (select antecedent, consequent, count(*) as c from (
+          select x.antecedent, x.consequent, b.transaction_id from {RULE_ITEMS} x join {BASKETS} b on b.item = x.item group by x.antecedent, x.consequent, x.items, b.transaction_id having count(*) = x.items) m
+        group by antecedent, consequent) q on q.antecedent = r.antecedent and q.consequent = r.consequent""",
 }

@@ -45,6 +45,11 @@ def _by(keys: str, source: str = SALES_DAYS, cond: str = "", tx: bool = True) ->
     return f"select {keys}, {UNITS}, {REVENUE}{', ' + TX if tx else ''} from {source} {'where ' + cond if cond else ''} group by {keys}"
 
 
+def _top_items(measure: str, n: int = 10) -> str:
+    """The items with most of a measure: a rank among them is one among all."""
+    return f"(select item_key, category, {UNITS}, {total('total_c')} as revenue_c, count(distinct transaction_id) as transaction_count, count(distinct d) as sales_days from t_sales group by item_key, category, maker order by {measure} desc, item_key limit {n})"
+
+
 SALES = {
     "S1": f"""select {money('total_c')} as total_revenue, {total('quantity')} as total_units_sold, {TX}, count(*) as sales_lines,
         {money('total_c')} / nullif(count(distinct transaction_id), 0) as average_transaction_value, {total('quantity')} / nullif(count(distinct transaction_id), 0) as average_units_per_transaction,
@@ -59,9 +64,10 @@ SALES = {
     "S7": f"""select year, month, revenue, units, lag(revenue) over (partition by month order by year) as previous_revenue, lag(units) over (partition by month order by year) as previous_units,
         100 * (revenue - lag(revenue) over (partition by month order by year)) / nullif(lag(revenue) over (partition by month order by year), 0) as yoy_growth_pct
       from ({_by('year, month', tx=False)}) m""",
-    "S8": "select revenue_rank, item_key, category, units, revenue_c / 100e0 as revenue, transaction_count, revenue_share_pct from v_item order by revenue_rank, item_key limit 10",
-    "S9": "select units_rank, item_key, category, units, revenue_c / 100e0 as revenue, avg_daily_units from v_item order by units_rank, item_key limit 10",
-    "S10": "select frequency_rank, item_key, category, units, transaction_count, sales_days from v_item order by frequency_rank, item_key limit 10",
+    # the first items by one measure need no ranks of all items; held against the view that has them
+    "S8": (f"select rank() over (order by revenue_c desc) as revenue_rank, item_key, category, units, revenue_c / 100e0 as revenue, transaction_count, 100 * revenue_c / all_c as revenue_share_pct from {_top_items('revenue_c')} x cross join (select {total('total_c')} as all_c from t_sales) w", "select revenue_rank, item_key, category, units, revenue_c / 100e0 as revenue, transaction_count, revenue_share_pct from v_item order by revenue_rank, item_key limit 10"),
+    "S9": (f"select rank() over (order by units desc) as units_rank, item_key, category, units, revenue_c / 100e0 as revenue, units / n_days as avg_daily_units from {_top_items('units')} x cross join (select count(*) as n_days from t_calendar) w", "select units_rank, item_key, category, units, revenue_c / 100e0 as revenue, avg_daily_units from v_item order by units_rank, item_key limit 10"),
+    "S10": (f"select rank() over (order by transaction_count desc) as frequency_rank, item_key, category, units, transaction_count, sales_days from {_top_items('transaction_count')} x", "select frequency_rank, item_key, category, units, transaction_count, sales_days from v_item order by frequency_rank, item_key limit 10"),
     "S11": f"""select rank() over (order by sum(total_c) desc) as revenue_rank, category, count(distinct item_key) as items, {UNITS}, {REVENUE}, {TX}, {money('total_c')} / {total('quantity')} as average_selling_price,
         {pct(total('total_c'), total('sum(total_c)', 'over ()'))} as revenue_share_pct, {pct(total('quantity'), total('sum(quantity)', 'over ()'))} as units_share_pct
       from t_sales group by category""",
@@ -265,4 +271,5 @@ def run_sql(spark: SparkSession, mart: Mart, text: str) -> DataFrame:
 
 
 def report(spark: SparkSession, mart: Mart, name: str) -> DataFrame:
-    return run_sql(spark, mart, REPORTS[name])
+    text = REPORTS[name]
+    return run_sql(spark, mart, text if isinstance(text, str) else text[0])

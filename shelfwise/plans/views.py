@@ -143,7 +143,7 @@ def expiry_risk(r: Roles) -> DataFrame:
 
 
 #: What the mart keeps once it was asked for: the dense stock facts, the lots, the ranks of all items and the series' features.
-KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries", "v_features")
+KEPT = ("t_ledger", "t_lots", "v_item", "v_series", "v_lotseries", "v_features", "v_itemsets")
 
 
 @dataclass(frozen=True)
@@ -162,6 +162,7 @@ class Mart:
             "t_ledger": lambda: ledger(r), "t_lots": lambda: write_offs(r), "v_monthly": lambda: monthly_sales(r.sales), "v_item": lambda: item_performance(r.sales, r.calendar),
             "v_site": lambda: site_performance(r.sales), "v_demand": lambda: demand_stats(self.table("t_ledger"), r.calendar), "v_stockout": lambda: stockout_summary(self.table("t_ledger")),
             "v_stock": lambda: current_stock(self.table("t_ledger")), "v_expiry": lambda: expiry_risk(r), "v_series": lambda: stock_series(self.table("t_ledger")), "v_lotseries": lambda: lot_series(r.receipts), "v_features": lambda: demand_features(self.table("t_ledger"), r.calendar),
+            "v_itemsets": self._itemsets,
         }
         if r.kept is None or name not in KEPT:
             return made[name]()
@@ -169,6 +170,11 @@ class Mart:
             r.kept[name] = stored(made[name](), f"mart-{name}")
         return r.kept[name]
 
+    def _itemsets(self) -> DataFrame:
+        from ..operators import mining, reports
+
+        return reports.run_sql(self.roles.sales.sparkSession, self, f"select * from {mining.ITEMSETS} s")
+
 
 VIEW_SQL = """
 v_monthly as (

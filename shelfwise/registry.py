@@ -11,6 +11,7 @@ from .operators.dimensions import DIMENSION_SQL
 from .operators.forecasting import TEXTS as FORECASTING
 from .operators.ingest import TEXTS as INGEST
 from .operators.items import ITEM_SQL
+from .operators.mining import ITEMSETS
 from .operators.mining import TEXTS as MINING
 from .operators.quality import CHECKS
 from .operators.relational import TEXTS as RELATIONAL
@@ -33,7 +34,7 @@ def mart(spark: SparkSession, sf_dir: str) -> Mart:
 
 def _prelude() -> str:
     named = ", ".join(f"t_{t} as (select * from {t})" for t in ("sales", "receipts", "batches", "calendar"))
-    return f"with {ROLE_SQL}, {named}, {LEDGER_SQL}, {VIEW_SQL}"
+    return f"with {ROLE_SQL}, {named}, {LEDGER_SQL}, {VIEW_SQL}, v_itemsets as {ITEMSETS}"
 
 
 def with_roles(text: str) -> str:
