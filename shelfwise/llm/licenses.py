@@ -79,8 +79,19 @@ LICENSES = {
     "CC-BY-SA-4.0": ("cc_by_sa", ("CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License"), ()),
     "CC-BY-NC-4.0": ("cc_by_nc", ("CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License"), ()),
 }
-#: What comes before a licence's name in a notice, and the tag that names it by its public identifier.
-NOTICES, TAG = ("Licensed under", "Released under", "Distributed under"), "SPDX-License-Identifier:"
+#: What comes before a licence's name in a notice, words that take a notice back, and the tag that names a licence by its identifier.
+NOTICES, TAG = tuple(f"{verb} under{terms}" for verb in ("Licensed", "Released", "Distributed", "Available") for terms in ("", " the terms of")), "SPDX-License-Identifier:"
+DENIALS = ("not", "never", "longer")
+#: Public identifiers that begin like one of LICENSES but name other licences; the scan knows them, no rule does.
+OTHER_IDS = (
+    "MIT-0 MIT-CMU MIT-Modern-Variant MIT-advertising MIT-enna MIT-feh MIT-open-group MIT-Wu MIT-testregex BSD-2-Clause-Patent BSD-2-Clause-Views BSD-2-Clause-NetBSD BSD-2-Clause-FreeBSD BSD-2-Clause-Darwin BSD-3-Clause-Attribution "
+    "BSD-3-Clause-Clear BSD-3-Clause-LBNL BSD-3-Clause-Modification BSD-3-Clause-No-Military-License BSD-3-Clause-No-Nuclear-License BSD-3-Clause-No-Nuclear-License-2014 BSD-3-Clause-No-Nuclear-Warranty BSD-3-Clause-Open-MPI "
+    "BSD-3-Clause-Sun BSD-3-Clause-acpica BSD-3-Clause-flex BSD-3-Clause-HP ISC-Veillard MPL-2.0-no-copyleft-exception Zlib-acknowledgement CC-BY-4.0-DE"
+)
+#: Identifiers of a version alone and of later ones too, by the licence that they belong to.
+VERSIONS = {f"{x}{end}": x for x in ("GPL-3.0", "GPL-2.0", "LGPL-3.0", "LGPL-2.1", "AGPL-3.0") for end in ("-only", "-or-later")}
+#: What joins identifiers in a tag's expression; each side counts.
+OPERATORS = ("AND", "OR")
 #: A licence whose rules count only where the other's don't.
 UNLESS = {"BSD-2-Clause": "BSD-3-Clause"}
 #: Parts of words of which each known sentence has one; sentences without any aren't searched.
@@ -95,26 +106,40 @@ _SPLIT, _OTHER = f"[.!?;]+[ \\t\\n]+|\\n{_MARKS}\\n|\\n{_MARKS}[0-9]+[.)][ \\t]"
 
 def normalised(text: str) -> list[str]:
     """Sentences of a known text as the scan sees them (one with a semicolon inside counts as two)."""
-    parts = re.split(_SPLIT, text.translate(str.maketrans(_UPPER, _LOWER)))
+    parts = re.split(_SPLIT, text.translate(str.maketrans(_UPPER, _LOWER)).replace("licence", "license"))
     return [x for x in (re.sub(_OTHER, " ", p).strip(" ") for p in parts) if x]
 
 
 def known() -> tuple[dict[str, int], dict[str, list[int]]]:
     """Normalised sentence -> number, the longest sentence first; and the numbers that each identifier's text gives.
 
-    All notices of one licence have one number, so has its tag.
+    All notices of one licence have one number, so have its tags and its places after an operator; what is denied, and identifiers
+    of other licences, have numbers of their own.
     """
     found: dict[str, int] = {}
     numbers: dict[str, list[int]] = {}
     for name, text in SENTENCES.items():
         numbers[name] = [found.setdefault(part, len(found) + 1) for part in normalised(text)]
     last = len(found)
+
+    def add(name: str, texts: list[str]) -> None:
+        nonlocal last
+        last += 1
+        numbers[name] = [last]
+        for t in texts:
+            found.setdefault(normalised(t)[0], last)
+
+    denied = []
     for licence, (prefix, names, _) in LICENSES.items():
-        forms = {f"{prefix}_notice": [f"{verb} {x}" for verb in NOTICES for x in names], f"{prefix}_spdx": [f"{TAG} {licence}"]}
-        for name, texts in forms.items():
-            last += 1
-            numbers[name] = [last]
-            found |= {normalised(t)[0]: last for t in texts}
+        forms = [f"{verb} {x}" for verb in NOTICES for x in (*names, licence)]
+        ids = [licence, *(v for v, of in VERSIONS.items() if of == licence)]
+        denied += [f"{no} {x}" for no in DENIALS for x in forms]
+        add(f"{prefix}_notice", forms)
+        add(f"{prefix}_spdx", [f"{TAG} {x}" for x in ids])
+        add(f"{prefix}_joined", [f"{op} {x}" for op in OPERATORS for x in ids])
+    add("denied", denied)
+    add("other_spdx", [f"{TAG} {x}" for x in OTHER_IDS.split()])
+    add("other_joined", [f"{op} {x}" for op in OPERATORS for x in OTHER_IDS.split()])
     return dict(sorted(found.items(), key=lambda x: (-len(x[0]), x[0]))), numbers
 
 
@@ -125,14 +150,31 @@ def rule_patterns() -> dict[str, list[tuple[str, str]]]:
     def pattern(sentences: tuple[str, ...]) -> str:
         return f"[.]{{0,{GAP}}}".join(f"<{k}>" for s in sentences for k in numbers[s])
 
+    tags, joined = ("|".join(f"<{numbers[n][0]}>" for n in sorted(numbers) if n.endswith(end)) for end in ("_spdx", "_joined"))
     return {
-        licence: [(name, pattern(sentences)) for name, sentences in (*rules, (f"{prefix}_reference", (f"{prefix}_notice",)), (f"{prefix}_tag", (f"{prefix}_spdx",)))]
+        licence: [
+            *((name, pattern(sentences)) for name, sentences in rules), (f"{prefix}_reference", pattern((f"{prefix}_notice",))), (f"{prefix}_tag", pattern((f"{prefix}_spdx",))),
+            (f"{prefix}_expression", f"({tags})({joined})*{pattern((f'{prefix}_joined',))}"),
+        ]
         for licence, (prefix, _, rules) in LICENSES.items()
-    }
+    }
+
+
+def _trie(words: list[str]) -> str:
+    """A pattern of the words in which those that begin alike share their beginning; of several that fit the longest counts."""
+    ends, rest = "" in words, {}
+    for w in filter(None, words):
+        rest.setdefault(w[0], []).append(w[1:])
+    parts = [c + _trie(tails) for c, tails in sorted(rest.items())]
+    if not parts:
+        return ""
+    if len(parts) == 1 and not ends:
+        return parts[0]
+    return f"(?:{'|'.join(parts)})" + ("?" if ends else "")
 
 
 def _search() -> str:
-    return f"\\b({'|'.join(known()[0])})\\b"
+    return f"\\b({_trie(list(known()[0]))})\\b"
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:
@@ -140,7 +182,8 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
 
     One pass without a shuffle or a join: the known sentences are one pattern, tried only on sentences with one of ANCHORS (a text
     without any has no known sentence), and rules are tried only on documents with a known sentence. A known sentence counts wherever it stands, as part of a longer one too; of
-    those that begin at one place the longest counts. n_known counts occurrences. Whole texts count; of a licence with several
+    those that begin at one place the longest counts, so an identifier ends where a longer one doesn't go on, and a denied notice is none.
+    Every identifier of a tag's expression counts. n_known counts occurrences. Whole texts count; of a licence with several
     matching rules the first is reported.
 
     Null or empty text: no sentences, empty strings. Null ids and repeated rows keep their row; an empty table gives no rows; other
@@ -159,7 +202,7 @@ def scan_licenses(documents: DataFrame) -> DataFrame:
     def mark(sentence: Column) -> Column:
         return F.when(anchored(sentence), F.coalesce(F.nullif(hits(sentence), F.lit("")), F.lit("."))).otherwise(".")
 
-    lower = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER)
+    lower = F.replace(F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), _UPPER, _LOWER), F.lit("licence"), F.lit("license"))
     clean = F.filter(F.transform(F.split(F.regexp_replace(lower, "\r\n?", "\n"), _SPLIT), lambda s: F.trim(F.regexp_replace(s, _OTHER, " "))), lambda s: s != "")
     cut = documents.select(F.col("doc_id").alias("doc_id"), clean.alias("sentences"), anchored(lower).alias("searched"))
     placed = cut.select("doc_id", F.size("sentences").alias("n_sentences"), F.when(F.col("searched"), F.array_join(F.transform("sentences", mark), "")).otherwise("").alias("marks"))
@@ -195,7 +238,7 @@ def _oracle() -> str:
     mark = f"array_to_string(list_transform(regexp_extract_all(x, '{_search()}', 1), lambda m: '<' || ([{numbers}])[list_position([{texts}], m)] || '>'), '')"
     return f"""
 with cut as (
-  select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '\\r\\n?', chr(10), 'g'), '{_SPLIT}'),
+  select doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(replace(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), 'licence', 'license'), '\\r\\n?', chr(10), 'g'), '{_SPLIT}'),
     lambda x: trim(regexp_replace(x, '{_OTHER}', ' ', 'g'))), lambda x: x <> '') as s from documents),
 placed as (
   select doc_id, len(s) as n_sentences,
