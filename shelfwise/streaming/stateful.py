@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -32,35 +33,80 @@ def _micros(ts: pd.Series) -> list[int]:
     return ts.astype("datetime64[us]").astype("int64").tolist()
 
 
+def _spans(events: DataFrame, window_s: int, buckets: int = 64) -> DataFrame:
+    """events with `span`, the time at which what came before stops to matter: the last event of the key with no other in the window
+    before it.
+
+    Times are cut into buckets of many windows; a bucket's rows are looked at together, and between buckets only one row each is passed
+    on. So the rows of a key are spread over its buckets, however many they are.
+    """
+    micros = F.unix_micros("ts")
+    width = F.lit(buckets * window_s * 1_000_000)
+    rows = events.select("key", "event_id", "ts").withColumns({"at": micros, "bucket": F.floor(micros / width).cast("long")})
+    last = rows.groupBy("key", "bucket").agg(F.max("at").alias("before")).withColumn("bucket", F.col("bucket") + 1)
+    in_bucket = W.partitionBy("key", "bucket").orderBy("at", "event_id")
+    rows = rows.join(last, ["key", "bucket"], "left").withColumn("previous", F.coalesce(F.lag("at").over(in_bucket), F.col("before")))
+    fresh = F.col("previous").isNull() | (F.col("at") - F.col("previous") >= window_s * 1_000_000)
+    rows = rows.withColumn("own", F.max(F.when(fresh, F.col("at"))).over(in_bucket))
+    # one row for each key and bucket
+    carried = rows.groupBy("key", "bucket").agg(F.max("own").alias("newest"))
+    carried = carried.withColumn("carried", F.max("newest").over(W.partitionBy("key").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)))
+    return rows.join(carried.select("key", "bucket", "carried"), ["key", "bucket"]).select("key", "event_id", "ts", F.coalesce("own", "carried").alias("span"))
+
+
 def admission(events: DataFrame, limit: int, window_s: int) -> DataFrame:
-    """Batch: events (key, event_id, ts) with admitted. Memory of a task: the events of a key in the window, read in order."""
+    """Batch: events (key, event_id, ts) with admitted, by key in the order of time and id.
 
-    def group(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["ts", "event_id"], ignore_index=True)
-        own["admitted"] = admit(_micros(own["ts"]), [], limit, window_s * 1_000_000)[0]
-        return own
+    Spans of a key that can't influence each other are dealt to tasks on their own, and a task walks its rows in order with the
+    accepted times of one span in hand, batch by batch: no key has to fit anywhere, and one with very many events is parted wherever it
+    falls silent for a window. Null keys are one key; null times come first and stand in each other's window.
+    """
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, accepted = None, []
+        for batch in batches:
+            verdicts = []
+            parts = batch[["key", "span"]].astype("string").fillna("null").agg("|".join, axis=1).to_numpy()
+            times = _micros(batch["ts"])
+            for part, at in zip(parts, times):
+                if part != now:
+                    now, accepted = part, []
+                (ok,), accepted = admit([at], accepted, limit, window_s * 1_000_000)
+                verdicts.append(ok)
+            yield batch[["key", "event_id", "ts"]].assign(admitted=verdicts)
 
-    return events.select("key", "event_id", "ts").groupBy("key").applyInPandas(group, ADMITTED)
+    spread = _spans(events, window_s).repartition("key", "span").sortWithinPartitions("key", "span", "ts", "event_id")
+    return spread.mapInPandas(walk, ADMITTED)
 
 
 def admission_stream(events: DataFrame, limit: int, window_s: int, delay: str = "10 minutes") -> DataFrame:
-    """Stream: as `admission`, state by key with the accepted times in the window; disorder has to stay within the watermark's delay."""
+    """Stream: as `admission`, state by key with the accepted times in the window; disorder has to stay within the watermark's delay.
+
+    A key's state goes once the watermark is past the window of its last accepted event, so keys that fall silent cost nothing.
+    """
 
     def group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = pd.concat(list(batches)).sort_values(["ts", "event_id"], ignore_index=True)
         before = list(state.get[0]) if state.exists else []
         own["admitted"], after = admit(_micros(own["ts"]), before, limit, window_s * 1_000_000)
-        state.update((after,))
+        if after:
+            state.update((after,))
+            state.setTimeoutTimestamp(max(max(after) // 1000 + window_s * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
+            state.remove()
         yield own
 
     return (
         events.select("key", "event_id", "ts").withWatermark("ts", delay).groupBy("key")
-        .applyInPandasWithState(group, ADMITTED, "accepted array<bigint>", "append", GroupStateTimeout.NoTimeout)
+        .applyInPandasWithState(group, ADMITTED, "accepted array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
 def run_onset_stream(days: DataFrame, length: int = 7) -> DataFrame:
-    """Stream of (key, day_no, sold): a row when a key reaches `length` days without sales in a row. State: the run so far."""
+    """Stream of (key, day_no, sold): a row when a key reaches `length` days without sales in a row. State: the run so far, for keys in one."""
 
     def group(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run = state.get[0] if state.exists else 0
@@ -69,7 +115,10 @@ def run_onset_stream(days: DataFrame, length: int = 7) -> DataFrame:
             run = run + 1 if sold == 0 else 0
             if run == length:
                 found.append((key[0], int(day)))
-        state.update((run,))
+        if run:
+            state.update((run,))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(found, columns=["key", "day_no"]).astype({"key": "int64", "day_no": "int64"})
 
     return days.groupBy("key").applyInPandasWithState(group, "key long, day_no long", "run long", "append", GroupStateTimeout.NoTimeout)
