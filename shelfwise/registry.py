@@ -16,7 +16,7 @@ from .operators.mining import TEXTS as MINING
 from .operators.quality import CHECKS
 from .operators.relational import TEXTS as RELATIONAL
 from .operators.reports import REPORTS, run_sql
-from .plans import causality, decided, fitted, forecasts
+from .plans import causality, decided, fitted, forecasts, spans
 from .plans.ledger import LEDGER_SQL
 from .plans.views import VIEW_SQL, Mart
 from .sources.roles import ROLE_SQL, roles
@@ -55,8 +55,8 @@ TEXTS = REPORTS | CHECKS | RELATIONAL | MINING | FORECASTING | INGEST | {"ST2_ru
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {_key(name): _run(text if isinstance(text, str) else text[0]) for name, text in TEXTS.items()}
 ORACLES: dict[str, str] = {_key(name): with_roles(text if isinstance(text, str) else text[1]) for name, text in TEXTS.items()}
 
-QUERIES |= fitted.QUERIES | decided.QUERIES | forecasts.QUERIES | causality.QUERIES
-ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in (decided.SQL | causality.SQL).items()}
+QUERIES |= fitted.QUERIES | decided.QUERIES | forecasts.QUERIES | causality.QUERIES | spans.QUERIES
+ORACLES |= fitted.ORACLES | {name: with_roles(text) for name, text in (decided.SQL | causality.SQL | spans.SQL).items()}
 QUERIES |= {name: (lambda spark, sf_dir, q=q: cube.answer(mart(spark, sf_dir), q)) for name, q in cube.QUESTIONS.items()}
 ORACLES |= {name: with_roles(text) for name, text in cube.SQL.items()}
 ORACLES |= {"N6_items": with_roles(ITEM_SQL.strip()), "N6_dropped": with_roles(f"select count(*) as items, count(*) filter (where f.item_key is null) as dropped from (select distinct item_key from t_sales) s left join ({ITEM_SQL}) f on f.item_key = s.item_key")}

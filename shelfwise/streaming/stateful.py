@@ -40,7 +40,9 @@ def _spans(events: DataFrame, window_s: int, buckets: int = 64) -> DataFrame:
     Times are cut into buckets of many windows; a bucket's rows are looked at together, and between buckets only one row each is passed
     on. So the rows of a key are spread over its buckets, however many they are.
     """
-    micros = F.unix_micros("ts")
+    # wall-clock times keep their distances, whatever the session's zone
+    ntz = dict(events.dtypes)["ts"] == "timestamp_ntz"
+    micros = F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)") if ntz else F.unix_micros("ts")
     width = F.lit(buckets * window_s * 1_000_000)
     rows = events.select("key", "event_id", "ts").withColumns({"at": micros, "bucket": F.floor(micros / width).cast("long")})
     last = rows.groupBy("key", "bucket").agg(F.max("at").alias("before")).withColumn("bucket", F.col("bucket") + 1)

@@ -31,6 +31,8 @@ def test_admission_equals_a_plain_walk(spark):
         for partitions in (2, 7):
             got = {(r.key, r.event_id): r.admitted for r in admission(df.repartition(partitions), limit, window).collect()}
             assert got == plain(rows, limit, window)
+    wall = df.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    assert {(r.key, r.event_id): r.admitted for r in admission(wall, 3, 10).collect()} == plain(rows, 3, 10)
     assert admission(df.limit(0), 3, 10).count() == 0
 
 
