@@ -2,7 +2,7 @@
 
 The centres of all starts and all numbers of segments are carried together: a pass assigns every row to the nearest centre of each run
 and adds up rows, vectors and squared distances by centre, one row of sums for each centre and task. So an iteration is one aggregation
-whatever the number of runs. Vectors are whole multiples of 2^-20, so sums don't depend on the order of rows.
+whatever the number of runs, and runs that have settled are left out of it. Vectors are whole multiples of 2^-20, so sums don't depend on the order of rows.
 """
 
 from __future__ import annotations
@@ -49,20 +49,23 @@ def _squared(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ centers.T + (centers * centers).sum(1)[None], 0.0)
 
 
-def _sums(vectors: DataFrame, centers: np.ndarray, bounds: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, sums of vectors and of squared distances of each centre; the centres of a run are those between two bounds."""
+def _sums(vectors: DataFrame, centers: np.ndarray, bounds: list[int], moving: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, sums of vectors and of squared distances of each centre; the centres of a run are those between two bounds. moving: runs to do, others stay zero."""
     p = centers.shape[1]
+    spans = [(bounds[r], bounds[r + 1]) for r in (range(len(bounds) - 1) if moving is None else moving)]
     columns = ["n", "cost", *(f"s{k}" for k in range(p))]
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros((len(centers), 2 + p))
         for batch in batches:
             x = _matrix(batch)
-            away = _squared(x, centers)
-            for a, b in zip(bounds, bounds[1:]):
-                near = away[:, a:b].argmin(1)
+            rows = np.arange(len(x))
+            for a, b in spans:
+                # run by run, so that distances stay in the processor's cache
+                away = _squared(x, centers[a:b])
+                near = away.argmin(1)
                 total[a:b, 0] += np.bincount(near, minlength=b - a)
-                total[a:b, 1] += np.bincount(near, np.rint(away[np.arange(len(x)), a + near] / STEP) * STEP, b - a)
+                total[a:b, 1] += np.bincount(near, np.rint(away[rows, near] / STEP) * STEP, b - a)
                 for k in range(p):
                     total[a:b, 2 + k] += np.bincount(near, x[:, k], b - a)
         yield pd.DataFrame(total, columns=columns).assign(center=np.arange(len(centers)))
@@ -78,7 +81,7 @@ def fit_all(vectors: DataFrame, key: str, ks: range = KS, starts: int = STARTS)
     """For each k the run of least cost of all starts (the first in a tie). vectors: key and an array of doubles, `vector`.
 
     Starts are seeded from at most SEED_ROWS rows, the first by a hash of their key; all else takes every row. A centre without rows
-    stays where it is. Runs go on until no centre of any moves, MOST_ROUNDS passes at most. k goes no further than the sample has
+    stays where it is. A run goes on until none of its centres moves, MOST_ROUNDS passes at most. k goes no further than the sample has
     distinct rows; an empty table gives no runs.
     """
     sample = vectors.select(key, "vector").orderBy(F.xxhash64(key), key).limit(SEED_ROWS).toPandas()
@@ -90,13 +93,19 @@ def fit_all(vectors: DataFrame, key: str, ks: range = KS, starts: int = STARTS)
         return {}
     centers = np.concatenate([_seeded(sample, k, np.random.default_rng([k, s])) for k, s in runs])
     bounds = np.cumsum([0, *(k for k, _ in runs)]).tolist()
+    spans = list(zip(bounds, bounds[1:]))
+    costs, moving = [0.0] * len(runs), list(range(len(runs)))
     for _ in range(MOST_ROUNDS):
-        n, sums, cost = _sums(vectors, centers, bounds)
+        # a run whose centres stay where they are would stay for ever: rows are only held against the others
+        n, sums, cost = _sums(vectors, centers, bounds, moving)
         moved = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centers)
-        if np.abs(moved - centers).max() <= 1e-9:
+        away = np.abs(moved - centers).max(1)
+        for r in moving:
+            costs[r] = float(cost[slice(*spans[r])].sum())
+        if away.max() <= 1e-9:
             break
         centers = moved
-    costs = [float(cost[a:b].sum()) for a, b in zip(bounds, bounds[1:])]
+        moving = [r for r in moving if away[slice(*spans[r])].max() > 0]
     out: dict[int, Run] = {}
     for (k, s), a, b, c in zip(runs, bounds, bounds[1:], costs):
         if k not in out or c < out[k].cost:

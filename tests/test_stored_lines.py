@@ -1,11 +1,13 @@
 """What the mart stores and shuffles: narrow lines, flows made once; a median that no task holds."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.plans.ledger import ledger
-from shelfwise.plans.views import median_of
+from shelfwise.operators import segmentation
+from shelfwise.plans.views import median_of, mid_ranks
 from shelfwise.sources.roles import roles
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +31,30 @@ def test_median_is_exact(spark, values):
     known = [v for v in values if v is not None]
     got = median_of(spark.createDataFrame([(None if v is None else float(v),) for v in values], "x double"), "x").first()["median"]
     assert got is None if not known else got == pytest.approx(float(np.median(known)), rel=1e-12)
+
+
+def test_mid_ranks_of_many_columns_take_two_shuffles(spark):
+    rng = np.random.default_rng(3)
+    values = {"a": rng.integers(0, 5, 700) * 1.0, "b": rng.normal(size=700), "c": np.zeros(700), "d": rng.integers(-300, 300, 700) / 3}
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.arange(700), **values}))
+    ranks = mid_ranks(rows, "k", list(values))
+    got = ranks.toPandas().sort_values("k")
+    for c, v in values.items():
+        assert got[c].tolist() == pd.Series(v).rank(ascending=False).tolist()
+    # the shuffles of whole rows, besides those of one-row aggregates and bucket sizes
+    assert ranks._jdf.queryExecution().optimizedPlan().toString().count("Window [rank(") == 1
+
+
+def test_settled_runs_are_left_out(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([rng.normal(m, 0.3, (60, 2)) for m in (0, 4, 9)])
+    vectors = spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "k long, vector array<double>")
+    seen, whole = [], segmentation._sums
+    monkeypatch.setattr(segmentation, "_sums", lambda v, centers, bounds, moving: (seen.append(len(moving)), whole(v, centers, bounds, moving))[1])
+    runs = segmentation.fit_all(vectors, "k", range(2, 6), 4)
+    assert seen[0] == 16 and seen[-1] < 16
+    exact = segmentation._matrix(pd.DataFrame({"vector": list(x)}))
+    for run in runs.values():
+        near = segmentation._squared(exact, run.centers).argmin(1)
+        for c in np.unique(near):
+            assert np.allclose(exact[near == c].mean(0), run.centers[c], atol=1e-9)
