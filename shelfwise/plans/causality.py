@@ -32,7 +32,7 @@ def _facts(mart: Mart, change: Callable[[str, DataFrame], DataFrame]) -> Mart:
     made = {name: change(name, mart.table(name)) for name in SCRAMBLED}
     r = mart.roles
     # what several plans derive from the changed facts is stored once
-    return Mart(Roles(made["t_sales"], made["t_receipts"], r.batches, r.calendar, {}), {"t_ledger": made["t_ledger"]})
+    return Mart(Roles(made["t_sales"], made["t_receipts"], mart.table("t_batches"), r.calendar, {}), {"t_ledger": made["t_ledger"]})
 
 
 def cut(mart: Mart, day: DataFrame) -> Mart:
