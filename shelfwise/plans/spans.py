@@ -25,7 +25,7 @@ def j10_lots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j10_episodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Episodes and events of a series that overlap, and whether they are of one kind."""
     mart = Mart(roles(spark, sf_dir))
-    episodes = run_sql(spark, mart, f"select site, maker, anomaly_type, episode, first_day, last_day from {mining.EPISODES} e where grain = 'site_maker'")
+    episodes = run_sql(spark, mart, f"select site, maker, anomaly_type, episode, first_day, last_day from {mining.SERIES_EPISODES} e where grain = 'site_maker'")
     events = run_sql(spark, mart, f"select site, maker, event_type, start_day, end_day from {mining.EVENTS} e")
     met = overlap_join(episodes, events, ["site", "maker"], ("first_day", "last_day"), ("start_day", "end_day"), WIDTH)
     return met.select("site", "maker", "anomaly_type", "episode", "event_type", "start_day", (F.col("anomaly_type") == F.col("event_type")).alias("same_kind"))
