@@ -26,6 +26,17 @@ def test_queries_fit_the_models_they_need(spark, monkeypatch):
     assert fitted[1:] == [[f"every_{h}_all" for h in HORIZONS]]
 
 
+def test_search_uses_every_training_origin(spark, monkeypatch):
+    f = forecasts.Forecasts(None)
+    fitted = []
+    f.fit = lambda specs: (fitted.extend(specs), specs)[1]
+    monkeypatch.setattr(forecasts.Forecasts, "_wape", lambda self, spec: float(spec.rounds))
+    assert len(f.search) == len(fitted) == 6
+    origins = spark.createDataFrame([(d, 7, "train", 1, 0) for d in range(9000, 9010)] + [(9010, 7, "validation", 1, 0)], "day_no long, n_seen int, period_7 string, target_7 long, censored_7 long")
+    named = forecasts.uses()
+    assert all(origins.where(named[s.use]).count() == 10 for s in fitted)
+
+
 def test_unused_rows_are_not_kept(monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 7)
     uses = np.array([[1, 0, 0, 1, 0], [0, 0, 1, 0, 0], [1, 1, 1, 1, 1]], bool)
