@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..operators import decisions, forecasting, mining
 from ..operators.reports import run_sql
+from ..sources.io import stored
 from ..sources.roles import Roles, roles
 from .decided import BACK, QUEUE
 from .views import Mart
@@ -56,22 +57,38 @@ def scrambled(mart: Mart, day: DataFrame, seed: int = SEED) -> Mart:
 PERTURBATIONS = {"cut": cut, "scrambled": scrambled}
 
 
+def differing_each(a: DataFrame, others: dict[str, DataFrame]) -> DataFrame:
+    """how, n_rows, differing by name of the others: the rows of a, and how many rows of either have no equal in the other.
+
+    Repeated rows count each. One shuffle serves all of the others, so a is made once.
+    """
+    kind, frames = a.columns, [a, *others.values()]
+    every = reduce(DataFrame.unionByName, (df.select(*kind, F.lit(k).alias("_of")) for k, df in enumerate(frames)))
+    counts = every.groupBy(*kind).agg(*(F.count_if(F.col("_of") == k).alias(f"_n{k}") for k in range(len(frames))))
+    none = F.lit(0).cast("long")
+    sums = counts.agg(F.coalesce(F.sum("_n0"), none).alias("n_rows"), *(F.coalesce(F.sum(F.abs(F.col(f"_n{k}") - F.col("_n0"))), none).alias(f"_d{k}") for k in range(1, len(frames))))
+    found = F.array(*(F.struct(F.lit(name).alias("how"), F.col(f"_d{k}").alias("differing")) for k, name in enumerate(others, 1)))
+    return sums.select("n_rows", F.explode(found).alias("_f")).select("_f.how", "n_rows", "_f.differing")
+
+
 def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: the rows of a, and how many rows of either have no equal in the other; repeated rows count each."""
-    kind = a.columns
-    both = a.select(*kind, F.lit(1).alias("_w")).unionByName(b.select(*kind, F.lit(-1).alias("_w")))
-    sums = both.groupBy(*kind).agg(F.sum("_w").alias("w"), F.sum((F.col("_w") > 0).cast("long")).alias("n"))
-    return sums.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.coalesce(F.sum(F.abs("w")), F.lit(0)).alias("differing"))
+    return differing_each(a, {"": b}).select("n_rows", "differing")
 
 
-def checked(mart: Mart, backs: list[int], plans: dict[str, Callable[[Mart, DataFrame], DataFrame]], how: list[str] | None = None) -> DataFrame:
-    """what, how, days_back, n_rows, differing: each plan (mart, day) -> rows that are known on the day, for each perturbation and day."""
+def checked(mart: Mart, backs: list[int], plans: dict[str, Callable[[Mart, DataFrame], DataFrame]], how: list[str] | None = None, prepare: Callable[[Mart, DataFrame], Mart] = lambda mart, day: mart) -> DataFrame:
+    """what, how, days_back, n_rows, differing: each plan (mart, day) -> rows that are known on the day, for each perturbation and day.
+
+    prepare: gives a mart, as it is or perturbed, the tables that several plans share.
+    """
     out = []
     for back in backs:
         day = decisions.decision_day(mart, back)
-        for name in how or list(PERTURBATIONS):
-            other = PERTURBATIONS[name](mart, day)
-            out += [differing(plan(mart, day), plan(other, day)).select(F.lit(what).alias("what"), F.lit(name).alias("how"), F.lit(back).alias("days_back"), "n_rows", "differing") for what, plan in plans.items()]
+        whole = prepare(mart, day)
+        others = {name: prepare(PERTURBATIONS[name](mart, day), day) for name in how or list(PERTURBATIONS)}
+        for what, plan in plans.items():
+            found = differing_each(plan(whole, day), {name: plan(other, day) for name, other in others.items()})
+            out.append(found.select(F.lit(what).alias("what"), "how", F.lit(back).alias("days_back"), "n_rows", "differing"))
     return reduce(DataFrame.unionByName, out)
 
 
@@ -97,8 +114,14 @@ def lots_known(mart: Mart, day: DataFrame) -> DataFrame:
     return known(mart.table("v_lotseries"), day)
 
 
-def _made(mart: Mart, day: DataFrame) -> decisions.Decisions:
-    return decisions.decide(decisions.pair_state(mart, day), decisions.live_lots(mart, day), decisions.baseline_forecasts(mart, day))
+def with_inputs(mart: Mart, day: DataFrame) -> Mart:
+    """The mart with what the decisions of the day are made from, each made once from the mart's own facts."""
+    made = {"d_state": decisions.pair_state(mart, day), "d_lots": decisions.live_lots(mart, day), "d_forecasts": decisions.baseline_forecasts(mart, day)}
+    return Mart(mart.roles, (mart.given or {}) | {name: stored(df, f"causality-{name}") for name, df in made.items()})
+
+
+def queue_known(mart: Mart, day: DataFrame) -> DataFrame:
+    return decisions.decide(mart.table("d_state"), mart.table("d_lots"), mart.table("d_forecasts")).queue.select(*QUEUE)
 
 
 def h15_causality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -111,10 +134,8 @@ def n20_causality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def y12_causality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """State, lots, forecasts and the whole queue of the historical decision day."""
-    plans = {
-        "state": decisions.pair_state, "lots": decisions.live_lots, "forecasts": decisions.baseline_forecasts, "queue": lambda mart, day: _made(mart, day).queue.select(*QUEUE),
-    }
-    return checked(Mart(roles(spark, sf_dir)), [BACK], plans)
+    plans = {what: lambda mart, _, name=f"d_{what}": mart.table(name) for what in ("state", "lots", "forecasts")} | {"queue": queue_known}
+    return checked(Mart(roles(spark, sf_dir)), [BACK], plans, prepare=with_inputs)
 
 
 QUERIES = {"H15_causality": h15_causality, "N20_causality": n20_causality, "Y12_causality": y12_causality}

@@ -62,3 +62,16 @@ def test_planted_leaks_are_caught_and_causal_plans_pass(facts):
     # a day on which lots are still good
     for r in causality.checked(facts, [100], {"live lots": causality.decisions.live_lots}).collect():
         assert r.n_rows > 0 and r.differing == 0
+
+
+def test_inputs_of_the_queue_are_made_once_for_each_mart(spark, facts, monkeypatch):
+    monkeypatch.setattr(causality, "roles", lambda spark, sf_dir: facts.roles)
+    monkeypatch.setattr(causality, "Mart", lambda roles, given=None: causality.decisions.Mart(roles, given if given is not None else facts.given))
+    made = []
+    for name in ("pair_state", "live_lots", "baseline_forecasts"):
+        real = getattr(causality.decisions, name)
+        monkeypatch.setattr(causality.decisions, name, lambda *args, name=name, real=real: (made.append(name), real(*args))[1])
+    found = {(r.what, r.how): r for r in causality.y12_causality(spark, "").collect()}
+    assert len(found) == 8 and all(r.differing == 0 and r.days_back == 60 for r in found.values())
+    assert found["state", "cut"].n_rows == found["queue", "scrambled"].n_rows == 4
+    assert {name: made.count(name) for name in set(made)} == {"pair_state": 3, "live_lots": 3, "baseline_forecasts": 3}
