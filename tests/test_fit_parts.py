@@ -37,6 +37,31 @@ def test_search_uses_every_training_origin(spark, monkeypatch):
     assert all(origins.where(named[s.use]).count() == 10 for s in fitted)
 
 
+def test_models_on_the_same_rows_are_fitted_once(spark, monkeypatch):
+    """The search has fitted all training origins; without censored ones among them nothing is left to fit for the choice of targets."""
+    monkeypatch.setattr(forecasts.Forecasts, "_wape", lambda self, spec: float(spec.l2))
+    for censored, more in ((0, []), (3, ["train_7_uncensored"])):
+        f = forecasts.Forecasts(None)
+        fitted = []
+        f.fit = lambda specs: (fitted.extend(specs), list(specs))[1]
+        f.kept["rows"] = spark.createDataFrame([(9000, "train", 1, 0), (9001, "train", 2, censored), (9010, "validation", 1, 1)], "day_no long, period_7 string, target_7 long, censored_7 long")
+        models = f.strategies
+        assert [s.use for s in fitted[6:]] == more and models["all"] is fitted[0] and (models["uncensored"] is models["all"]) == (not more)
+
+
+def test_sums_are_sent_as_they_are():
+    rng = np.random.default_rng(3)
+    n = rng.integers(0, 3, (4, 50)) * 70_000
+    held = n > 0
+    small, large = (np.where(held, np.rint(rng.normal(size=n.shape) * scale) * boosting.STEP, 0.0) for scale in (1e3, 2.0**45))
+    for g, h in ((small, None), (large, small), (np.where(held, np.inf, 0.0), large)):
+        back = boosting._unpacked(boosting._packed([None, [g, h, n]]))
+        assert back[0] is None and (back[1][0] == g).all() and (back[1][2] == n).all()
+        assert back[1][1] is None if h is None else (back[1][1] == h).all()
+    wide = [[small, None, n]]
+    assert len(boosting._packed(wide)) < 0.5 * len(boosting.pickle.dumps(wide))
+
+
 def test_unused_rows_are_not_kept(monkeypatch):
     monkeypatch.setattr(boosting, "BLOCK_ROWS", 7)
     uses = np.array([[1, 0, 0, 1, 0], [0, 0, 1, 0, 0], [1, 1, 1, 1, 1]], bool)
